@@ -11,12 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairforge.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairforge.llm.tiff import text_media
 
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairforge.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,7 +38,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_media_columns": op5_media_columns,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
