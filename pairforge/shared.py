@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once for each application, for functions that run in Python."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="pairforge-")) / "pairforge.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, Path(top.name) / file.relative_to(top))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and returns the table read back.
 
