@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.rows import per_row, text_of
+from pairforge.shared import ship
 
 #: What a text is described by; nothing but the text goes in.
 FEATURES = [
@@ -220,6 +221,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_rows=most_rows))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pairforge.shared import ship
+
+
+_FLAT = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def flat_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a list of plain columns; unlike Spark's own parser it needs no session."""
+    return pa.schema([(name, _FLAT[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
 
 def per_row(df: DataFrame, inputs: list[str], schema: str, fn: Callable[[list], list[tuple]]) -> DataFrame:
     """Applies ``fn`` to lists of rows (tuples of the ``inputs``), a batch at a time; it returns as many output rows.
 
     ``fn`` must depend on nothing but its rows, so a task that is run again gives the same rows.
     """
+    ship(df.sparkSession)
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 

@@ -18,10 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from pairforge.llm.rows import per_row, text_of
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from pairforge.llm.rows import per_row, slices, text_of
+from pairforge.shared import ship
 
 # Tags, field types and compression codes of TIFF 6.0.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -327,12 +331,7 @@ def tiff_pages(files: DataFrame, id_column: str, content: str) -> DataFrame:
     16- and 32-bit samples come in little-endian order. Files are read one at a time; a page is the unit of memory.
     Other columns are not read, repeated rows give repeated pages; for broken and null files see the module's text.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql import types as T
-    import pyarrow as pa
-
-    from pairforge.llm.rows import slices
-
+    ship(files.sparkSession)
     schema = T._parse_datatype_string(PAGES)
     arrow = to_arrow_schema(schema)
 
