@@ -6,50 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairforge.llm import bpe, exact, jaccard, licences, lines, mixing, quality, secrets, tiff, warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairforge.llm.secrets import scan_secrets
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
 
-def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairforge.llm.tiff import text_media
 
-    return text_media(table(spark, sf_dir, "documents"))
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairforge.llm.quality import score_quality
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_revisits(table(spark, sf_dir, "pages"))
+
 
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from pairforge.llm.bpe import byte_bpe
-
-    return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return bpe.byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairforge.llm.jaccard import jaccard_components
-
-    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_licence_scan": op2_licence_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_media_columns": op5_media_columns,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_source_mixing": mixing.oracle(),
+    "op2_licence_scan": licences.oracle(),
+    "op3_line_dedup": lines.oracle(),
+    "op7_warc_revisits": warc.ORACLE,
+    "op8_exact_dedup": exact.ORACLE,
+}
