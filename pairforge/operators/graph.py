@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.shared import release, stash
@@ -43,3 +43,143 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("u").alias("id"), F.col("u").alias("component"))
     return links.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots).unionByName(loops).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def top_neighbours(edges: DataFrame, k: int, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
+    """For each node its k best neighbours: (src, dst, score, rank), ties to the lesser node."""
+    one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(score).alias("score"))
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
+    w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def reciprocal(edges: DataFrame, k: int, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
+    """The edges whose ends are among each other's k best neighbours."""
+    top = top_neighbours(edges, k, a, b, score)
+    forth = top.select(F.col("src").alias(a), F.col("dst").alias(b))
+    back = top.select(F.col("dst").alias(a), F.col("src").alias(b))
+    return edges.join(forth, [a, b], "left_semi").join(back, [a, b], "left_semi")
+
+
+def shared_neighbours(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``edges`` with ``shared``, the number of nodes that both ends are linked with.
+
+    Each edge asks the lists of both its ends: an equi-join on one end, then on (other end, neighbour).
+    """
+    both = symmetric(edges, a, b).distinct()
+    asked = edges.select(a, b).join(both.select(F.col("src").alias(a), F.col("dst").alias("_mid")), a)
+    hits = asked.join(both.select(F.col("src").alias(b), F.col("dst").alias("_mid")), [b, "_mid"]).groupBy(a, b).agg(F.count("*").alias("shared"))
+    return edges.join(hits, [a, b], "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("bigint"))
+
+
+def prune_by_neighbours(edges: DataFrame, least: int = 1, *, rounds: int = 0, keep_score: float | None = None, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
+    """Drops edges with fewer than ``least`` shared neighbours, all at once in each round, until none drops.
+
+    ``rounds`` bounds the rounds, 0 means until nothing changes. Edges of at least ``keep_score`` always stay.
+    """
+    here, n, done = stash(edges, "edges"), None, 0
+    while True:
+        counted = shared_neighbours(here, a, b)
+        stays = F.col("shared") >= least
+        if keep_score is not None:
+            stays |= F.col(score) >= keep_score
+        after = stash(counted.filter(stays).select(*edges.columns), "edges")
+        done += 1
+        was, n = (here.count() if n is None else n), after.count()
+        release(here)
+        here = after
+        if n == was or done == rounds:
+            return here
+
+
+def triangle_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The edges that are part of a triangle."""
+    return shared_neighbours(edges, a, b).filter("shared > 0").drop("shared")
+
+
+def filter_cascade(edges: DataFrame, *, threshold: float, reliability: float = 0.3, direct: str | None = None, k: int = 5, least_shared: int = 1, rounds: int = 0, triangles: bool = False) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The graph's filters in order, with the number of edges after each: score, reliability, reciprocity, neighbours.
+
+    ``edges`` has a, b, score, reliability and, if named, the boolean ``direct``: such edges pass the reliability test.
+    """
+    counts = [("all", edges.count())]
+    here = stash(edges.filter(F.col("score") >= threshold), "edges")
+    counts.append(("threshold", here.count()))
+    good = F.col("reliability") >= reliability
+    here = stash(here.filter(good | F.col(direct) if direct else good), "edges")
+    counts.append(("reliability", here.count()))
+    if k:
+        here = stash(reciprocal(here, k), "edges")
+        counts.append(("reciprocal", here.count()))
+    if least_shared:
+        here = prune_by_neighbours(here, least_shared, rounds=rounds)
+        counts.append(("shared_neighbours", here.count()))
+    if triangles:
+        here = stash(triangle_edges(here), "edges")
+        counts.append(("triangles", here.count()))
+    return here, counts
+
+
+def cluster_stats(edges: DataFrame, members: DataFrame, least_size: int = 2) -> DataFrame:
+    """One row for each component of (id, component): size, edges, density, scores, share of leaves, tree or not, set id."""
+    degrees = symmetric(edges).groupBy("src").agg(F.count("*").alias("degree"))
+    nodes = members.join(degrees, F.col("id") == F.col("src"), "left").groupBy("component").agg(
+        F.count("*").alias("size"), F.avg((F.coalesce("degree", F.lit(0)) <= 1).cast("int")).alias("leaf_share"), F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("_ids")
+    )
+    inside = edges.join(members.select(F.col("id").alias("a"), "component"), "a").groupBy("component").agg(
+        F.count("*").alias("edges"), F.min("score").alias("min_score"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score")
+    )
+    out = nodes.filter(F.col("size") >= least_size).join(inside, "component")
+    return out.select(
+        "component", "size", "edges", F.round(F.col("edges") * 2 / (F.col("size") * (F.col("size") - 1)), 6).alias("density"), F.round("min_score", 6).alias("min_score"),
+        F.round("mean_score", 6).alias("mean_score"), F.round("max_score", 6).alias("max_score"), F.round("leaf_share", 6).alias("leaf_share"), (F.col("edges") == F.col("size") - 1).alias("is_tree"), set_id(F.col("_ids")).alias("set_id"),
+    )
+
+
+def set_id(members: Column) -> Column:
+    """A short name for a set of strings: the first digits of the SHA-256 of its sorted members."""
+    return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(members)), "|"), 256), 1, 12)
+
+
+def member_ranks(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, id, degree, max_score, rank): members by degree, then best score, then id."""
+    one = edges.select(F.col("a").alias("id"), "score").unionByName(edges.select(F.col("b").alias("id"), "score"))
+    own = members.join(one.groupBy("id").agg(F.count("*").alias("degree"), F.max("score").alias("max_score")), "id")
+    w = Window.partitionBy("component").orderBy(F.desc("degree"), F.desc("max_score"), "id")
+    return own.withColumn("rank", F.row_number().over(w)).select("component", "id", "degree", "max_score", "rank")
+
+
+def closure(facts: DataFrame, seeds: DataFrame, fact: str = "fact", key: str = "key", max_rounds: int = 50) -> DataFrame:
+    """All keys that seeds reach: a fact with any active key makes all its keys active. Returns (key, round).
+
+    ``facts`` is (fact, key), ``seeds`` is (key). Each round joins only the keys that became active in the last one.
+    """
+    links = stash(facts.select(F.col(fact).alias("fact"), F.col(key).alias("key")).distinct(), "facts")
+    active = stash(seeds.select(F.col(key).alias("key")).distinct().withColumn("round", F.lit(0)), "active")
+    fresh = active
+    for turn in range(1, max_rounds + 1):
+        hit = links.join(fresh.select("key"), "key", "left_semi").select("fact").distinct()
+        found = links.join(hit, "fact", "left_semi").select("key").distinct().join(active, "key", "left_anti")
+        fresh = stash(found.withColumn("round", F.lit(turn)), "active")
+        if fresh.isEmpty():
+            return active
+        active = stash(active.unionByName(fresh), "active")
+    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
+
+
+def consistent_components(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """(id, component) over positive edges, without components that hold both ends of a negative edge."""
+    members = stash(connected_components(positive), "components")
+    left = members.select(F.col("id").alias("a"), F.col("component").alias("c1"))
+    right = members.select(F.col("id").alias("b"), F.col("component").alias("c2"))
+    bad = negative.join(left, "a").join(right, "b").filter("c1 = c2").select(F.col("c1").alias("component")).distinct()
+    return members.join(bad, "component", "left_anti").select("id", "component")
+
+
+def closure_pairs(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Pairs inside a component that are not among ``known`` (a, b), the first ``most`` of each component in key order."""
+    left = members.select(F.col("id").alias("a"), "component")
+    right = members.select(F.col("id").alias("b"), "component")
+    new = left.join(right, "component").filter("a < b").join(known.select("a", "b"), ["a", "b"], "left_anti")
+    w = Window.partitionBy("component").orderBy("a", "b")
+    return new.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
