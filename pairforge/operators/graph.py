@@ -132,7 +132,7 @@ def cluster_stats(edges: DataFrame, members: DataFrame, least_size: int = 2) ->
     out = nodes.filter(F.col("size") >= least_size).join(inside, "component")
     return out.select(
         "component", "size", "edges", F.round(F.col("edges") * 2 / (F.col("size") * (F.col("size") - 1)), 6).alias("density"), F.round("min_score", 6).alias("min_score"),
-        F.round("mean_score", 6).alias("mean_score"), F.round("max_score", 6).alias("max_score"), F.round("leaf_share", 6).alias("leaf_share"), (F.col("edges") == F.col("size") - 1).alias("is_tree"), set_id(F.col("_ids")).alias("set_id"),
+        F.round("mean_score", 5).alias("mean_score"), F.round("max_score", 6).alias("max_score"), F.round("leaf_share", 6).alias("leaf_share"), (F.col("edges") == F.col("size") - 1).alias("is_tree"), set_id(F.col("_ids")).alias("set_id"),
     )
 
 

@@ -188,7 +188,7 @@ ORACLE = {
         select key, min(round)::int as round from r group by key""",
     "cluster_topology": f"""with recursive {_CLUSTERS}, {_INSIDE}, g as (select s, count(*) as degree from (select a as s from kept union all select b from kept) group by s),
         n as (select component, count(*) as size, avg((degree <= 1)::int) as leaf, list_sort(list(id::varchar)) as ids from members join g on id = s group by component)
-        select component, size, edges, round(edges * 2 / (size * (size - 1)), 6) as density, round(lo, 6) as min_score, round(mean, 6) as mean_score, round(hi, 6) as max_score, round(leaf, 6) as leaf_share,
+        select component, size, edges, round(edges * 2 / (size * (size - 1)), 6) as density, round(lo, 6) as min_score, round(mean, 5) as mean_score, round(hi, 6) as max_score, round(leaf, 6) as leaf_share,
             edges = size - 1 as is_tree, substr(sha256(array_to_string(ids, '|')), 1, 12) as set_id from n join inside using (component) where size >= 2""",
     "cluster_members": f"""with recursive {_CLUSTERS}, o as (select a as id, score from kept union all select b, score from kept), g as (select id, count(*) as degree, max(score) as max_score from o group by id)
         select component, id, degree, max_score, row_number() over (partition by component order by degree desc, max_score desc, id)::int as rank from members join g using (id)""",
