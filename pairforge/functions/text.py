@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Common English words that carry no identity.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "we", "will", "with", "you", "your")
@@ -190,24 +191,24 @@ def key_block_digest(x: Column) -> Column:
     return F.sha2(F.regexp_replace(x, r"(?U)\s+", ""), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Compatibility form of Unicode; Spark has no function for it."""
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(x: pd.Series) -> pd.Series:
     """HTML entities as characters; Spark has no function for it."""
     return x.map(lambda v: None if v is None else html.unescape(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefolded(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else v.strip().casefold())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring, by growing runs along the diagonals."""
 

@@ -13,7 +13,8 @@ def event_stream(spark: SparkSession, path: str, schema, files_a_trigger: int =
 def windowed_counters(events: DataFrame, *, time: str = "ts", late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Events, users and values by type in tumbling windows; events later than ``late`` are dropped."""
     return (
-        events.withWatermark(time, late)
+        events.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(F.window(time, window).alias("w"), "event_type")
         .agg(F.count("*").alias("events"), F.approx_count_distinct("user_id").alias("users"), F.sum("value").alias("value"))
         .select(F.col("w.start").alias("window_start"), "event_type", "events", "users", "value")
@@ -22,4 +23,4 @@ def windowed_counters(events: DataFrame, *, time: str = "ts", late: str = "1 hou
 
 def sessions(events: DataFrame, *, time: str = "ts", late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
     """Each user's sessions: runs of events with gaps under ``gap``."""
-    return events.withWatermark(time, late).groupBy("user_id", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy("user_id", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
