@@ -351,3 +351,33 @@ def test_streaming_counters_equal_batch(spark, tmp_path):
     query.awaitTermination(120)
     want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("w"), "event_type").count().count()
     assert spark.table("counted").count() == want and spark.table("counted").agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_rules(spark):
+    from pairforge.operators import rules
+
+    df = spark.createDataFrame([(1, "ab", 0.5), (2, None, 0.9), (3, "xb", None)], "k int, s string, v double")
+    assert [r.k for r in df.filter(rules.condition({"v": {"min": 0.5}, "s": {"starts": ["a", "c"]}})).collect()] == [1]
+    assert [r.k for r in df.orderBy(*rules.ordering(["~0.8:v", "k"])).collect()] == [2, 1, 3]
+    got = [r.d.label for r in df.select(rules.decided([(F.col("v") > 0.6, "yes", "high")], ("no", "else")).alias("d")).collect()]
+    assert got == ["no", "yes", "no"]
+    assert [r[0] for r in df.select(rules.issues({"s": F.col("s") == "ab", "v": F.col("v") < 0.8})).collect()] == [[], ["s", "v"], ["s", "v"]]
+    assert rules.resolved_thresholds(df, "v", [0.4, 0.95], [0.5], 1) == [0.4] and rules.resolved_thresholds(df, "v", [0.95], [0.5], 1) == [0.7]
+    assert rules.guarded({"depth": 5, "rounds": 90}, 30, [(100, {"depth": 3}), (20, {"rounds": 10})]) == {"depth": 3, "rounds": 90}
+    assert [r.k for r in rules.best_appearance(df.withColumn("g", F.lit(1)), "g", ["-v"]).collect()] == [2]
+
+
+def test_files(tmp_path):
+    from pairforge.sources import files
+
+    for name in ("a.csv", "b.csv", "c.csv"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "s.json").write_text('{"x": ["out/a.csv", {"y": "b.csv"}], "n": 3}')
+    keep = files.referenced([str(tmp_path / "s.json")])
+    assert keep == {"a.csv", "b.csv"}
+    assert files.archive_unreferenced(str(tmp_path), "*.csv", keep, str(tmp_path / "old")) == ["c.csv"] and (tmp_path / "c.csv").exists()
+    files.archive_unreferenced(str(tmp_path), "*.csv", keep, str(tmp_path / "old"), dry_run=False)
+    assert (tmp_path / "old" / "c.csv").exists() and files.newest(str(tmp_path), "*.csv") is not None and files.newest(str(tmp_path), "*.x", "f") == "f"
+    saved = files.snapshot([str(tmp_path / "a.csv")], str(tmp_path / "snap"))
+    assert files.sha256_of(saved + "/a.csv") in (tmp_path / "snap" / "manifest.json").read_text()
+    assert files.backup(str(tmp_path / "a.csv")).endswith(".bak") and files.backup(str(tmp_path / "no")) is None
