@@ -12,8 +12,12 @@ Steps, all of them linear in the input but for what really meets:
    back to their blocks. A document with fewer than ceil(t n) of them links with nothing and is out.
 2. Documents with equal sets form classes; one of a class goes on.
 3. Postings of the prefixes under the first order give, for each token, a star of pairs around one document; filters,
-   then exact verification, then components. As only components are asked for, a second star and then all remaining
-   pairs are taken only from tokens whose documents still lie in several components. No link is lost by that.
+   then exact verification, then components. As only components are asked for, a second star is taken only from
+   tokens whose documents still lie in several components.
+4. What is still apart is compared in blocks: tokens with the same documents count once, their documents are dealt
+   into chunks of bounded size, and every two chunks meet in a task, where counts of tokens by 64 hash classes bound
+   the overlap of each pair from above. Pairs that this bound and the filters leave are verified there. No link that
+   joins components is lost: every pair of a token's documents in different components is looked at.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.rows import flat_schema, slices, text_of
 from pairforge.operators.graph import connected_components
-from pairforge.shared import release, ship, stash
+from pairforge.shared import ship, stash
 
 U = np.uint64
 #: Odd multipliers of the hashes.
 _R, _M1, _M2, _K = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 _BITS = 48
 #: A block of documents ends when it has so many shingles or documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 3_000_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 60_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -169,7 +173,8 @@ class _Block:
             sums = np.zeros(len(self.ids), U)
             np.add.at(sums, docs, mix(tokens, salt))
             digests.append(sums.view(np.int64))
-        key = np.full(len(self.ids), -1 - block)
+        # documents travel in groups of 256 until they meet their block's shared tokens
+        key = -1 - (block * 256 + np.arange(len(self.ids)) // 256)
         yield _rows(key=key, kind=np.zeros(len(key), np.int32), block=np.full(len(key), block), place=np.arange(len(key), dtype=np.int32), doc_id=self.ids, n=n, d1=digests[0], d2=digests[1])
         # of equal sets within the block, one is enough
         _, one = np.unique(np.stack([*digests, n]), axis=1, return_index=True)
@@ -288,7 +293,7 @@ def _marks(tokens: np.ndarray, salt: int) -> int:
     return int(np.bitwise_or.reduce(bits).astype(np.int64)) if len(bits) else 0
 
 
-POSTINGS = "token bigint, node string, n bigint, marks2 bigint, marks3 bigint"
+POSTINGS = "token bigint, node bigint, n bigint, s bigint, marks2 bigint, marks3 bigint"
 _postings = flat_schema(POSTINGS)
 
 
@@ -296,19 +301,19 @@ def _post(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                columns: list[list] = [[], [], [], [], []]
+                columns: list[list] = [[], [], [], [], [], []]
                 for node, n, tokens, classes in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     first, second, third = _prefixes(n, tokens, classes, percent)
                     k = len(first)
                     columns[0] += first.tolist()
-                    for column, value in zip(columns[1:], (node, n, _marks(second, 1), _marks(third, 2)), strict=True):
+                    for column, value in zip(columns[1:], (node, n, len(classes), _marks(second, 1), _marks(third, 2)), strict=True):
                         column += [value] * k
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _postings, strict=True)], schema=_postings)
 
     return run
 
 
-_tested = flat_schema("a string, b string, linked boolean")
+_tested = flat_schema("a bigint, b bigint, linked boolean")
 
 
 def _verify(percent: int):
@@ -322,7 +327,7 @@ def _verify(percent: int):
                     a.append(x)
                     b.append(y)
                     linked.append(meet and 100 * both >= percent * (n + m - both))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(linked, pa.bool_())], schema=_tested)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], schema=_tested)
 
     return run
 
@@ -332,17 +337,125 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), "n", "tokens", "classes")
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("tokens2"), F.col("classes").alias("classes2"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "tokens", "classes", "m", "tokens2", "classes2")
-    return stash(rows.mapInArrow(_verify(percent), "a string, b string, linked boolean"), "tested")
+    return stash(rows.mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"), "tested")
 
 
-def _could(percent: int, n: str, m: str, suffix: str):
-    """Filters that need no tokens: lengths, and the marks of the second and third order."""
-    near = (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def _could(percent: int):
+    """Filters that need no tokens: sizes, numbers of shared tokens, and the marks of the second and third order."""
+    n, m = F.col("n"), F.col("n_")
+    near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.least("s", "s_") * (100 + percent) >= (n + m) * percent)
     for marks in ("marks2", "marks3"):
-        near &= F.col(marks).bitwiseAND(F.col(marks + suffix)) != 0
+        near &= F.col(marks).bitwiseAND(F.col(marks + "_")) != 0
     return near
 
 
+#: Documents of a chunk of a token's documents, and hash classes of a document's outline.
+CHUNK, CLASSES = 512, 64
+OUTLINES = "node bigint, outline binary, tokens binary"
+_outlines = flat_schema(OUTLINES)
+_pairs = flat_schema("a bigint, b bigint")
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document the number of its shared tokens in each hash class."""
+    for batch in batches:
+        for part in slices(batch, 4 << 20):
+            counts = [np.bincount((mix(np.frombuffer(t.as_py(), "<u8"), 0x77) >> U(58)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.binary()), part.column(1)], schema=_outlines)
+
+
+def _blocks(percent: int):
+    """Of sorted rows (list, lo, hi, side, node, component, n, marks2, marks3, outline, tokens): links between components.
+
+    Pairs of both sides that no bound excludes are tested exactly, likely ones first. What a link has joined counts as
+    one component for the rest of the group, so a group gives fewer links than it has documents.
+    """
+
+    def links(group: pa.Table) -> Iterator[tuple[int, int]]:
+        side = group.column("side").to_numpy()
+        one = np.flatnonzero(side == 0)
+        other = np.flatnonzero(side == 1) if (side == 1).any() else one
+        names, root = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
+        if (root == root[0]).all():
+            return
+        n, marks = group.column("n").to_numpy(), [group.column(c).to_numpy() for c in ("marks2", "marks3")]
+        outline = np.frombuffer(b"".join(group.column("outline").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int32)
+        tokens = group.column("tokens")
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(tokens[i].as_py(), "<i8")
+            return sets[i]
+
+        for i in one.tolist():
+            ok = (root[other] != root[i]) & (marks[0][other] & marks[0][i] != 0) & (marks[1][other] & marks[1][i] != 0)
+            if other is one:
+                ok &= other > i
+            at = other[ok]
+            if not len(at):
+                continue
+            spare = np.minimum(outline[at], outline[i]).sum(1) * (100 + percent) - (n[at] + n[i]) * percent
+            for j in at[np.argsort(-spare, kind="stable")][: int((spare >= 0).sum())].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
+                    root[root == root[j]] = root[i]
+                    yield (int(names[i]), int(names[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        seen: set[tuple[int, int]] = set()
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            seen.update(links(table))
+            if len(seen) > 20_000:
+                yield flush()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.int64())], schema=_pairs)
+            seen.clear()
+            return out
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            keys = np.stack([table.column(c).to_numpy() for c in ("list", "lo", "hi")])
+            cut = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1) if table.num_rows else np.zeros(1, int)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield from done(table.slice(lo, hi - lo))
+            rest = table.slice(int(cut[-1]))
+        if rest is not None and rest.num_rows:
+            yield from done(rest)
+        if seen:
+            yield flush()
+
+    return run
+
+
+def _apart(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of a token in different components."""
+    lists = open_.groupBy("list1", "list2", "size").agg(F.min("token").alias("token")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rows = here.join(lists.select(F.col("token").alias("list"), "chunks"), F.col("token") == F.col("list")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int"))
+    rows = rows.join(sets.select("node", "tokens").mapInArrow(_outline, OUTLINES), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("list", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "marks2", "marks3", "outline", "tokens")
+    dealt = rows.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "side")
+    return dealt.mapInArrow(_blocks(percent), "a bigint, b bigint")
+
+
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (id, component) after more links (a, b): only the links between components are followed."""
+    if component is None:
+        return stash(connected_components(links), "components")
+    name = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    lifted = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = stash(connected_components(lifted.filter("a <> b")), "components")
+    moved = component.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    new = roots.join(component, "id", "left_anti").select("id", "component")
+    return stash(moved.unionByName(new), "components")
+
+
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """Links documents whose shingle sets have a Jaccard similarity of ``percent`` of 100 or more.
 
@@ -359,53 +472,38 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     shared = parts.groupBy("key").applyInArrow(_shared, PARTS)
     table = stash(shared.groupBy("block").applyInArrow(_gathered(percent), DOCS), "sets")
 
-    node = F.concat(F.hex("d1"), F.lit("-"), F.hex("d2"), F.lit("-"), F.col("n").cast("string"))
-    members = table.filter("n > 0").select(node.alias("node"), "doc_id")
-    classes = stash(members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
-    sets = stash(table.filter("tokens is not null").groupBy(node.alias("node")).agg(F.first("n").alias("n"), F.max(F.struct("tokens", "classes")).alias("s")).select("node", "n", "s.tokens", "s.classes"), "classes")
-    postings = stash(sets.mapInArrow(_post(percent), POSTINGS), "postings")
+    key = F.concat(F.hex("d1"), F.lit("-"), F.hex("d2"), F.lit("-"), F.col("n").cast("string"))
+    members = table.filter("n > 0").select(key.alias("key"), "doc_id")
+    classes = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    one = table.filter("tokens is not null").groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.max(F.struct("tokens", "classes")).alias("s"))
+    # the numbers are fixed by being written: what reads them later sees the same ones
+    sets = stash(one.select("key", F.monotonically_increasing_id().alias("node"), "n", "s.tokens", "s.classes"), "classes")
+    postings = stash(sets.select("node", "n", "tokens", "classes").mapInArrow(_post(percent), POSTINGS), "postings")
 
-    tested = None
     component = None
     for turn in range(3):
-        here = postings
+        here = postings.withColumn("component", F.col("node"))
         if component is not None:
-            here = here.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            here = here.withColumn("component", F.col("node"))
-        here = stash(here, "postings")
-        which = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "marks2", "marks3", "component")
-        open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(which).alias("lead")).filter("lo <> hi")
+            here = stash(postings.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "postings")
+        which = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "s", "marks2", "marks3", "component")
+        open_ = here.groupBy("token").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(which).alias("lead"), F.count("*").alias("size"),
+            F.bit_xor(F.xxhash64("node")).alias("list1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("list2"),
+        ).filter("lo <> hi")
         if turn < 2:
-            lead = open_.select("token", *(F.col(f"lead.{c}").alias(f"{c}_") for c in ("node", "n", "marks2", "marks3", "component")))
-            pairs = here.join(lead, "token").filter("component <> component_").filter(_could(percent, "n", "n_", "_"))
-            pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+            lead = open_.select("token", *(F.col(f"lead.{c}").alias(f"{c}_") for c in ("node", "n", "s", "marks2", "marks3", "component")))
+            pairs = here.join(lead, "token").filter("component <> component_").filter(_could(percent))
+            pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+            links = _links(sets, pairs, percent).filter("linked").select("a", "b")
         else:
-            left = here.join(open_.select("token"), "token", "left_semi")
-            right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "marks2", "marks3", "component")))
-            pairs = left.join(right, "token").filter("node < node_ and component <> component_").filter(_could(percent, "n", "n_", "_")).select(F.col("node").alias("a"), F.col("node_").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = _links(sets, pairs, percent)
-        tested = found if tested is None else tested.unionByName(found)
-        release(here)
-        if found.isEmpty():
-            break
-        if turn < 2 or not found.filter("linked").isEmpty():
-            component = stash(connected_components(tested.filter("linked")), "components")
-
-    ids = classes
-    if component is not None:
-        joined = classes.join(component.withColumnRenamed("id", "node"), "node")
-        least = joined.groupBy("component").agg(F.min("least").alias("low"))
-        linked = joined.join(least, "component").select("node", "low")
-        ids = classes.join(linked, "node", "left").withColumn("least", F.coalesce("low", "least"))
-        ids = ids.filter("size > 1 or low is not null")
-    else:
-        ids = ids.filter("size > 1")
-    ids = ids.select(F.col("node"), F.col("least").alias("_least"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node")).join(ids, "node", "left")
+            links = stash(_apart(here, open_, sets, percent), "links")
+        component = _merged(component, links)
+
+    joined = classes.join(sets.select("key", "node"), "key", "left").join(component.withColumnRenamed("id", "node"), "node", "left")
+    joined = stash(joined.filter("size > 1 or component is not null").select("key", "least", "component"), "classes")
+    low = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("low"))
+    ids = joined.join(low, "component", "left").select(F.col("key"), F.coalesce("low", "least").alias("_least"))
+    out = table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, key).alias("key")).join(ids, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
