@@ -166,3 +166,33 @@ def paired_difference(one: DataFrame, other: DataFrame, value: str = "auc") -> D
     """The difference of two metrics on the same resamples, with its interval and sign probability."""
     both = one.select("resample", F.col(value).alias("x")).join(other.select("resample", F.col(value).alias("y")), "resample").select((F.col("x") - F.col("y")).alias("diff")).filter("diff is not null")
     return both.agg(F.count("*").alias("valid"), F.avg("diff").alias("mean"), F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"), sign_p(F.col("diff")).alias("p"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], ranges: int = 64) -> DataFrame:
+    """Exact quantiles by linear interpolation, for groups of any size: (*by, point, quantile).
+
+    Values are counted first, then cut into ranges at approximate quantiles. Sums of ranges say which of them hold the
+    wanted ranks; only those are ordered, each by itself. So no task orders or holds a whole group.
+    """
+    x = F.col(value).cast("double")
+    present = df.select(*by, x.alias("v")).filter("v is not null and not isnan(v)")
+    cuts = present.groupBy(*by).agg(F.percentile_approx("v", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("cuts"), F.count("*").alias("total"))
+    counts = present.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    names = {c: f"_{c}" for c in by}
+    side = cuts.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
+    placed = counts.join(F.broadcast(side) if not by else side, same).drop(*names.values()).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = placed.groupBy(*by, "range").agg(F.sum("n").alias("inside"), F.first("total").alias("total"))
+    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for p in points)))
+    wanted = sums.withColumn("before", F.coalesce(F.sum("inside").over(order), F.lit(0))).select(*by, "range", "before", "inside", "total", ranks.alias("p")).select("*", "p.point", "p.at", F.explode(F.array(F.floor("p.at"), F.least(F.floor("p.at") + 1, F.col("total") - 1))).alias("rank"))
+    wanted = wanted.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("inside"))).distinct()
+    within = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    needed = wanted.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("range").alias("_range")).distinct()
+    steps = placed.join(needed, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("range") == F.col("_range")], "left_semi").withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    target = wanted.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("range").alias("_range"), "before", "point", "at", "rank")
+    hit = steps.join(target, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("range") == F.col("_range")])
+    hit = hit.filter((F.col("rank") >= F.col("before") + F.col("start")) & (F.col("rank") < F.col("before") + F.col("start") + F.col("n")))
+    share = F.col("at") - F.floor("at")
+    low, high = F.min(F.struct("rank", "v"))["v"], F.max(F.struct("rank", "v"))["v"]
+    return hit.groupBy(*by, "point").agg((low + F.first(share) * (high - low)).alias("quantile"))

@@ -152,7 +152,14 @@ def json_path_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*metrics.distribution(F.col("l_extendedprice")))
+    """Prices by flag and status: number, least, exact quantiles, greatest; without a group's values in one place."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    by = ["l_returnflag", "l_linestatus"]
+    names = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    found = metrics.exact_quantiles(lines, by, "l_extendedprice", list(names.values()))
+    wide = found.groupBy(*by).agg(*(F.round(F.max(F.when(F.col("point") == p, F.col("quantile"))), 6).alias(n) for n, p in names.items()))
+    ends = lines.groupBy(*by).agg(F.count("l_extendedprice").alias("n"), F.min("l_extendedprice").alias("min"), F.max("l_extendedprice").alias("max"))
+    return ends.join(wide, by).select(*by, "n", "min", *names, "max")
 
 
 def customer_orders_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,3 +381,15 @@ def test_files(tmp_path):
     saved = files.snapshot([str(tmp_path / "a.csv")], str(tmp_path / "snap"))
     assert files.sha256_of(saved + "/a.csv") in (tmp_path / "snap" / "manifest.json").read_text()
     assert files.backup(str(tmp_path / "a.csv")).endswith(".bak") and files.backup(str(tmp_path / "no")) is None
+
+
+def test_exact_quantiles_of_uneven_groups(spark):
+    rng = random.Random(3)
+    rows = [("big", rng.choice([0.0, 1.0, rng.random()])) for _ in range(900)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), (None, 7.0), ("none", None)]
+    got = {(r.g, r.point): r.quantile for r in metrics.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.3, 0.5, 1.0], ranges=8).collect()}
+    for group in ("big", "one", "two", None):
+        own = np.array([v for g, v in rows if g == group])
+        assert [got[group, p] for p in (0.0, 0.3, 0.5, 1.0)] == pytest.approx(np.quantile(own, [0.0, 0.3, 0.5, 1.0]).tolist())
+    assert len(got) == 16
+    every = metrics.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), [], "v", [0.5]).first().quantile
+    assert every == pytest.approx(float(np.quantile([v for _, v in rows if v is not None], 0.5)))
