@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.rows import flat_schema, slices, text_of
 from pairforge.operators.graph import connected_components
-from pairforge.shared import ship, stash
+from pairforge.shared import release, ship, stash
 
 U = np.uint64
 #: Odd multipliers of the hashes.
@@ -481,10 +481,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     postings = stash(sets.select("node", "n", "tokens", "classes").mapInArrow(_post(percent), POSTINGS), "postings")
 
     component = None
+    spent = [sets, postings]
     for turn in range(3):
         here = postings.withColumn("component", F.col("node"))
         if component is not None:
             here = stash(postings.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "postings")
+            spent.append(here)
         which = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "s", "marks2", "marks3", "component")
         open_ = here.groupBy("token").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(which).alias("lead"), F.count("*").alias("size"),
@@ -498,9 +500,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
         else:
             links = stash(_apart(here, open_, sets, percent), "links")
         component = _merged(component, links)
+        spent += [links, component]
 
     joined = classes.join(sets.select("key", "node"), "key", "left").join(component.withColumnRenamed("id", "node"), "node", "left")
     joined = stash(joined.filter("size > 1 or component is not null").select("key", "least", "component"), "classes")
+    for known in spent:  # what follows reads only the two tables that are left
+        release(known)
     low = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("low"))
     ids = joined.join(low, "component", "left").select(F.col("key"), F.coalesce("low", "least").alias("_least"))
     out = table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, key).alias("key")).join(ids, "key", "left")
