@@ -3,8 +3,9 @@
 For each kind of labelled credential a prefix tree over character classes is built. States whose futures are
 statistically compatible (Hoeffding bounds on the shares of endings and of each class, down the tree) are merged,
 lowest states first, which gives a probabilistic automaton; every edge also keeps how often it carried each character.
-All candidate strings of a text are scored by all automata: the odds, in bits, of the automaton against characters
-drawn evenly. A candidate whose odds reach what the kind's own examples reach is a secret of the kind "format".
+All candidate strings of a text, the parts of its runs between separators, are scored by all automata: the odds, in
+bits, of the automaton against characters drawn evenly. A candidate whose odds reach what the kind's own examples
+reach is a secret of the kind "format"; of candidates that overlap the one furthest above its bound counts.
 
 Nulls count as empty texts, which hold no secret. Offsets are code points, ends are exclusive.
 """
@@ -30,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "format")
 
-#: Runs of these characters are candidates for the automata.
+#: Runs of these characters hold the candidates for the automata.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Bits a character costs if any of the candidates' characters is as likely as any other.
 EVEN = math.log2(67)
@@ -210,16 +211,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def accepted(moves: dict[int, dict[str, tuple[int, float]]], run: str) -> list[tuple[float, int, int]]:
+    """Parts of a run that the automaton can make, as (odds, start, end): for each end the start of the greatest odds.
+
+    Parts start after a separator and end before one, or at the run's ends. Starts that meet in a state go on as the
+    better one, as all that follows is equal for them: the time is linear in the run, whatever it holds.
+    """
+    found = []
+    live: dict[int, tuple[float, int]] = {}
+    for i, char in enumerate(run):
+        if (i == 0 or not run[i - 1].isalnum()) and (0 not in live or live[0][0] < 0):
+            live[0] = (0.0, i)
+        if not live:
+            continue
+        stepped: dict[int, tuple[float, int]] = {}
+        for state, (total, start) in live.items():
+            step = moves[state].get(char)
+            if step is not None and (step[0] not in stepped or stepped[step[0]][0] < total + step[1]):
+                stepped[step[0]] = (total + step[1], start)
+        live = stepped
+        if live and (i + 1 == len(run) or not run[i + 1].isalnum()):
+            ends = [(total + moves[state][""][1], start) for state, (total, start) in live.items() if "" in moves[state]]
+            if ends:
+                total, start = max(ends)
+                found.append((total, start, i + 1))
+    return found
+
+
 def format_spans(text: str, base: list[tuple[int, int, str]], formats: Formats) -> list[tuple[int, int, int]]:
-    """Candidates of a learned format, as far as they don't lie inside a base span."""
+    """Candidates of a learned format, as far as they don't lie inside a base span: of those that overlap, the best."""
     found = []
     for m in CANDIDATE.finditer(text):
         if any(s <= m.start() and m.end() <= e for s, _, e in base):
             continue
-        core = m[0].strip(".=")
-        if len(core) >= 16 and formats.score(core)[0] >= 0:
-            start = m.start() + m[0].index(core)
-            found.append((start, 3, start + len(core)))
+        near = []
+        for kind, moves in formats.moves.items():
+            longest = {}  # by start: a separator that the format allows does not end a credential
+            for total, start, end in accepted(moves, m[0]):
+                over, start, end = total - formats.least[kind], m.start() + start, m.start() + end
+                if over >= 0 and end - start >= 16 and not any(s <= start and end <= e for s, _, e in base):
+                    longest[start] = (-over, start, end)
+            near += longest.values()
+        kept: list[tuple[int, int, int]] = []
+        for _, start, end in sorted(near):
+            if all(end <= s or e <= start for s, _, e in kept):
+                kept.append((start, 3, end))
+        found += sorted(kept)
     return found
 
 

@@ -160,6 +160,22 @@ def test_inferred_formats_find_unseen_credentials_and_no_prose():
     assert secrets.format_spans(text, [], formats) == [(4, 3, 44)]
 
 
+def test_formats_inside_longer_runs():
+    formats = secrets.learn_formats(secrets.labelled_examples())
+    tokens = [(k, t) for k, t in secrets.labelled_examples(60, seed=991) if k not in ("sendgrid", "hex40", "aws")]
+    for frame in ("STRIPE_KEY={}", "GH_PAT={} ", "api/js?key={}", "path/{}", "a+{}/b", "see {}.git", "x={}.git/y={}"):
+        hit = total = 0
+        for _, token in tokens:
+            text = frame.replace("{}", token)
+            at = [m.start() for m in re.finditer(re.escape(token), text)]
+            hit += sum((a, 3, a + len(token)) in secrets.format_spans(text, secrets.base_spans(text), formats) for a in at)
+            total += len(at)
+        assert hit / total >= 0.95, frame
+    rng = random.Random(6)
+    prose = ["/".join("".join(rng.choices(["the", "er", "in", "tion", "heit", "ung", "Haus"], k=6)) for _ in range(5)) for _ in range(500)]
+    assert not any(secrets.format_spans(t, [], formats) for t in prose)
+
+
 def test_merging_generalises_and_keeps_what_differs():
     rng = random.Random(5)
 
