@@ -159,6 +159,7 @@ class _Block:
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.ids:
             return
+        assert len(self.ids) <= 1 << 16, "places in a block are of 16 bits"
         block = TaskContext.get().partitionId() << 24 | self.number
         self.number += 1
         docs, tokens = np.concatenate(self.docs), np.concatenate(self.tokens)
@@ -202,10 +203,14 @@ def _cut(words: int, buckets: int):
         block = _Block(buckets)
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                docs, tokens, _ = shingles(part.column(1), words)
-                block.add(part.column(0).to_pylist(), docs, tokens)
-                if block.full():
-                    yield from block.send()
+                while part.num_rows:
+                    # no more than the block has room for: places are of 16 bits
+                    piece = part.slice(0, BLOCK_DOCS - len(block.ids))
+                    part = part.slice(piece.num_rows)
+                    docs, tokens, _ = shingles(piece.column(1), words)
+                    block.add(piece.column(0).to_pylist(), docs, tokens)
+                    if block.full():
+                        yield from block.send()
         yield from block.send()
 
     return run

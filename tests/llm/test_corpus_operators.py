@@ -219,6 +219,27 @@ def test_jaccard_in_small_blocks_and_of_long_texts(spark, tmp_path, monkeypatch)
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_blocks_never_outgrow_their_places(monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(jaccard, "TaskContext", Task)
+    n = 70_000
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(lo, hi)), "text": [f"w{i} x" for i in range(lo, hi)]}) for lo, hi in ((0, 59_990), (59_990, 69_990), (69_990, n))]
+    ids, spots = {}, []
+    for r in (r for part in jaccard._cut(2, 8)(iter(batches)) for r in part.to_pylist()):
+        if r["kind"] == 0:
+            ids[r["block"], r["place"]] = r["doc_id"]
+        else:
+            spots += [((r["block"], p), t) for p, t in zip(jaccard._places(r["places"]).tolist(), jaccard._unplanes(r["tokens"]).tolist(), strict=True)]
+    assert sorted(ids.values()) == list(range(n)) and max(p for _, p in ids) < 1 << 16
+    want = jaccard.shingles(pa.array([f"w{i} x" for i in range(n)]), 2)[1].tolist()
+    assert len(spots) == n and all(want[ids[at]] == token for at, token in spots)
+
+
 def test_repeated_ids_stand_for_one_document(spark, tmp_path):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words stand here now"), (None, "a b c")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
