@@ -1,10 +1,18 @@
 """Licence scans: normalised text against licence templates by Dice's coefficient over word bigrams.
 
-Units are a text's lines and, if it has several, the whole text. A unit of A distinct bigrams and a template of T can
+Units are a text's lines and, if it has several, the whole text; where these are no licence and it is asked for, also
+windows of words, over the borders of lines or inside a line. A unit of A distinct bigrams and a template of T can
 reach a coefficient t only if A lies between T t / (2 - t) and T (2 - t) / t: templates outside these bounds are not
 compared. Before that, texts and lines without any of a few words are passed over: the words are chosen so that a
 unit without all of them can't reach t with any template. Only DataFrame functions run, and nothing is shuffled.
 
+Windows start and end where a run of template bigrams does: any other window can be made better, or no worse, by moving
+its ends there. They hold as many bigrams as the template's bounds allow, repeats counted as often as the template
+repeats. A window with a line that is a licence itself counts only for another template with more in common, such as a
+header whose first line is a notice; a text that is a licence as a whole has none. Of windows of one template that
+overlap the one of the greatest coefficient counts, of those of several templates the one that has most in common.
+Only texts that hold enough of a template's bigrams come this far.
+
 Defined cases: null and empty texts and units of fewer than two words have no bigrams and no result; ties between
 templates go to the greatest id; repeated rows give repeated results; other columns are not read.
 """
@@ -69,15 +77,94 @@ def anchors(templates: dict[str, list[str]], least: float) -> list[str]:
     return sorted(set(chosen))
 
 
-def scan_licences(docs: DataFrame, *, least: float = 0.8, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _windows(texts: DataFrame, library, any_gram, least: float) -> DataFrame:
+    """Licences in windows of the words of ``texts`` (doc_id, lowered), as ``scan_licences`` gives them; line is that of the first word."""
+    low, high = least / (2 - least), (2 - least) / least
+    once = lambda x: F.explode(F.array(x))
+    split = lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+    def pairs(words):
+        return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+    def dice(common, own, other):
+        return F.lit(2.0) * common / (own + other)
+
+    def reaches(own, templates):
+        return F.exists(templates, lambda t: dice(F.size(F.array_intersect(t["grams"], own)), F.size(own), t["size"]) >= least)
+
+    # texts that hold enough of some template, wherever it stands
+    own = texts.select("doc_id", "lowered", once(split(F.col("lowered"))).alias("words")).select("doc_id", "lowered", once(F.array_distinct(pairs(F.col("words")))).alias("own"))
+    own = own.select("*", once(F.array_intersect(any_gram, F.col("own"))).alias("held")).filter(F.size("held") > 0)
+    own = own.select("*", once(F.filter(library, lambda t: F.size(F.array_intersect(t["grams"], F.col("held"))) >= t["size"] * low)).alias("near")).filter(F.size("near") > 0)
+    own = own.filter(~reaches(F.col("own"), F.col("near")))
+    # words with their lines, and the lines that are a licence themselves
+    own = own.select("doc_id", "near", once(F.transform(F.split("lowered", "\n"), split)).alias("parts"))
+
+    def best(x, i):
+        grams = F.array_distinct(pairs(x))
+        scored = F.transform(F.col("near"), lambda t: F.struct(dice(F.size(F.array_intersect(t["grams"], grams)), F.size(grams), t["size"]).alias("dice"), t["id"].alias("licence"), F.size(F.array_intersect(t["grams"], grams)).alias("common")))
+        return F.struct((i + 1).alias("line"), F.array_max(scored).alias("best"))
+
+    own = own.select("doc_id", "near", "parts", once(F.filter(F.transform("parts", best), lambda h: h["best"]["dice"] >= least)).alias("hits"))
+    placed = F.flatten(F.transform("parts", lambda x, i: F.transform(x, lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    own = own.select("doc_id", "near", "hits", once(placed).alias("placed"))
+    own = own.select("doc_id", "near", "hits", F.col("placed.line").alias("lines"), once(pairs(F.col("placed.w"))).alias("grams")).filter(F.size("grams") > 0)
+    # for each template its places, then the ends of their runs with the number of places up to there, then windows
+    at = F.transform("near", lambda t: F.struct(t.alias("t"), F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(t["grams"], g), i + 1)), lambda i: i.isNotNull()).alias("at")))
+    own = own.select("doc_id", "hits", "lines", "grams", once(F.filter(at, lambda x: F.size(x["at"]) >= x["t"]["size"] * low)).alias("near"))
+
+    def ends(at, step):
+        return F.filter(F.transform(at, lambda p, i: F.struct(p.alias("at"), i.alias("rank"), F.coalesce(F.get(at, i + step) != p + step, F.lit(True)).alias("end"))), lambda x: x["end"])
+
+    own = own.select("doc_id", "hits", "lines", "grams", once(F.transform("near", lambda x: F.struct(x["t"].alias("t"), ends(x["at"], -1).alias("first"), ends(x["at"], 1).alias("last")))).alias("near"))
+
+    def between(x):
+        fits = lambda a, b: (b["at"] - a["at"] + 1 <= x["t"]["length"] * high) & (b["rank"] - a["rank"] + 1 >= x["t"]["size"] * low)
+        spans = F.flatten(F.transform(x["first"], lambda a: F.transform(F.filter(x["last"], lambda b: fits(a, b)), lambda b: F.struct(a["at"].alias("lo"), b["at"].alias("hi")))))
+        return F.struct(x["t"].alias("t"), spans.alias("spans"))
+
+    own = own.select("doc_id", "hits", "lines", "grams", once(F.filter(F.transform("near", between), lambda x: F.size(x["spans"]) > 0)).alias("near")).filter(F.size("near") > 0)
+
+    def measured(x):
+        def one(p):
+            part = F.slice(F.col("grams"), p["lo"], p["hi"] - p["lo"] + 1)
+            return F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), F.size(F.array_intersect(x["t"]["grams"], part)).alias("common"), F.size(F.array_distinct(part)).alias("unit_size"), x["t"]["id"].alias("licence"), x["t"]["size"].alias("template_size"))
+
+        return F.transform(x["spans"], one)
+
+    own = own.select("doc_id", "hits", "lines", once(F.transform("near", measured)).alias("found"))
+    with_dice = F.transform("found", lambda a: F.transform(a, lambda p: F.struct(dice(p["common"], p["unit_size"], p["template_size"]).alias("dice"), *(p[k].alias(k) for k in ("common", "licence", "lo", "hi", "unit_size", "template_size")))))
+
+    def new(p):
+        inside = lambda h: (F.get("lines", p["lo"] - 1) <= h["line"]) & (h["line"] <= F.get("lines", p["hi"]))
+        known = F.exists("hits", lambda h: inside(h) & ((h["best"]["licence"] == p["licence"]) | (h["best"]["common"] >= p["common"])))
+        return (p["dice"] >= least) & ~known
+
+    own = own.select("doc_id", "lines", once(F.transform(with_dice, lambda a: F.filter(a, new))).alias("found"))
+
+    def apart(spans):
+        """Spans in the given order that overlap none before."""
+        return F.aggregate(F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), F.slice(spans, 1, 1), lambda kept, p: F.when(F.exists(kept, lambda k: (k["lo"] <= p["hi"]) & (p["lo"] <= k["hi"])), kept).otherwise(F.concat(kept, F.array(p))))
+
+    own = own.select("doc_id", "lines", once(F.flatten(F.transform("found", lambda a: apart(F.reverse(F.array_sort(a)))))).alias("found"))
+    names = ("common", "dice", "licence", "lo", "hi", "unit_size", "template_size")
+    order = F.reverse(F.array_sort(F.transform("found", lambda p: F.struct(*(p[k].alias(k) for k in names)))))
+    own = own.select("doc_id", "lines", once(order).alias("found")).select("doc_id", "lines", F.explode(apart(F.col("found"))).alias("p"))
+    return own.select("doc_id", F.get("lines", F.col("p.lo") - 1).alias("line"), "p.licence", "p.common", "p.unit_size", "p.template_size", "p.dice")
+
+
+def scan_licences(docs: DataFrame, *, least: float = 0.8, windows: bool = False, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Units that are a licence: doc_id, line (0 for the whole text, else from 1), licence, common, unit_size,
-    template_size, dice. The best template of each unit with a coefficient of ``least`` or more."""
+    template_size, dice. The best template of each unit with a coefficient of ``least`` or more; with
+    ``windows`` also windows, by the line of their first word."""
     grams = {k: bigrams(t) for k, t in (templates or TEMPLATES).items()}
     grams = {k: g for k, g in grams.items() if g}
     low, high = least / (2 - least), (2 - least) / least
     words = anchors(grams, least)
-    data = json.dumps([{"id": k, "size": len(g), "grams": g} for k, g in sorted(grams.items())])
-    library = F.from_json(F.lit(data), "array<struct<id: string, size: int, grams: array<string>>>")
+    length = {k: len(re.sub("[^a-z0-9]+", " ", t.lower()).split()) - 1 for k, t in (templates or TEMPLATES).items()}
+    data = json.dumps([{"id": k, "size": len(g), "length": length[k], "grams": g} for k, g in sorted(grams.items())])
+    library = F.from_json(F.lit(data), "array<struct<id: string, size: int, length: int, grams: array<string>>>")
+    any_gram = F.from_json(F.lit(json.dumps(sorted({x for g in grams.values() for x in g}))), "array<string>")
 
     def may(column):
         found = F.lit(False)
@@ -90,8 +177,8 @@ def scan_licences(docs: DataFrame, *, least: float = 0.8, templates: dict[str, s
     each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
     # explode of one value: what it holds is computed once, not again in each place that uses it
     once = lambda x: F.explode(F.array(x))
-    units = docs.select(F.col(doc_id).alias("doc_id"), once(F.lower(F.col(text))).alias("lowered")).filter(may(F.col("lowered")))
-    units = units.select("doc_id", F.explode(F.filter(F.concat(whole, each), lambda u: may(u["unit"]))).alias("u"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), once(F.lower(F.col(text))).alias("lowered")).filter(may(F.col("lowered")))
+    units = texts.select("doc_id", F.explode(F.filter(F.concat(whole, each), lambda u: may(u["unit"]))).alias("u"))
     split = F.split(F.trim(F.regexp_replace(F.col("u.unit"), "[^a-z0-9]+", " ")), " ")
     units = units.select("doc_id", F.col("u.line").alias("line"), once(split).alias("words")).filter(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -104,11 +191,12 @@ def scan_licences(docs: DataFrame, *, least: float = 0.8, templates: dict[str, s
         return F.struct((F.lit(2.0) * common / (t["size"] + F.col("unit_size"))).alias("dice"), t["id"].alias("licence"), common.alias("common"), t["size"].alias("template_size"))
 
     best = units.select("doc_id", "line", "unit_size", once(F.array_max(F.transform(near, against))).alias("best")).filter(F.col("best.dice") >= least)
-    return best.select("doc_id", "line", F.col("best.licence").alias("licence"), F.col("best.common").alias("common"), "unit_size", F.col("best.template_size").alias("template_size"), F.col("best.dice").alias("dice"))
+    best = best.select("doc_id", "line", F.col("best.licence").alias("licence"), F.col("best.common").alias("common"), "unit_size", F.col("best.template_size").alias("template_size"), F.col("best.dice").alias("dice"))
+    return best.unionByName(_windows(texts, library, any_gram, least)) if windows else best
 
 
 def oracle(least: float = 0.8) -> str:
-    """The same for ``documents`` in DuckDB's SQL, without any pruning."""
+    """The lines and whole texts of ``documents`` in DuckDB's SQL, without any pruning; it has no windows."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams(t)))}])" for k, t in sorted(TEMPLATES.items()))
     return f"""

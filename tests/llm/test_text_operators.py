@@ -223,6 +223,21 @@ def test_licences_against_brute_force(spark):
     assert got == want and len(want) > 60
 
 
+def test_licences_inside_longer_texts(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choices("the of and to river stone software work is in any for copies".split(), k=n))
+    wrap = lambda t, n, lead="": "\n".join(lead + " ".join(t.split()[a : a + n]) for a in range(0, len(t.split()), n))
+    long = ["mit", "isc", "bsd-2-clause", "apache-2.0-header", "gpl-3.0-header", "mpl-2.0-header", "unlicense"]
+    page = "\n".join(prose(12) for _ in range(40))
+    rows = [(i, f"{page}\n{wrap(licences.TEMPLATES[k], 9, ' * ')}\n{page}") for i, k in enumerate(long)]
+    rows += [(100, f"Copyright 2020 X. {prose(60)}. Released under the MIT License. {prose(60)}"), (101, page), (102, f"{page}\nReleased under the MIT License.\n{page}")]
+    rows += [(103, f"{page}\n{wrap(licences.TEMPLATES['isc'], 7)}\n{page}\nReleased under the BSD License.\n{prose(50)} this work has been released into the public domain. {prose(9)}")]
+    got = sorted((r.doc_id, r.line, r.licence) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string"), windows=True).collect())
+    last = 41 + -(-len(licences.TEMPLATES["isc"].split()) // 7) + 40
+    want = [(i, 41, k) for i, k in enumerate(long)] + [(long.index("apache-2.0-header"), 41, "apache-2.0-notice"), (100, 1, "mit-notice"), (102, 41, "mit-notice"), (103, 41, "isc"), (103, last, "bsd-notice"), (103, last + 1, "public-domain-notice")]
+    assert got == sorted(want)
+
+
 def test_quality_learns_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
