@@ -181,15 +181,15 @@ def platt_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of the score for quality over 500 resamples of sources, with its interval."""
+    """AUC of the score for quality over 5,000 resamples of sources, with its interval."""
     own = scored_labels(spark, sf_dir)
-    return metrics.interval(metrics.bootstrap(own, "source", "score", "quality", resamples=500, seed=20260513), "auc")
+    return metrics.interval(metrics.bootstrap(own, "source", "score", "quality", resamples=5000, seed=20260513), "auc")
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference in AUC of two scores over the same resamples of sources."""
     own = scored_labels(spark, sf_dir).withColumn("other", F.col("chars").cast("double"))
-    draw = lambda s: metrics.bootstrap(own, "source", s, "quality", resamples=500, seed=20260513)
+    draw = lambda s: metrics.bootstrap(own, "source", s, "quality", resamples=5000, seed=20260513)
     return metrics.paired_difference(draw("score"), draw("other"))
 
 

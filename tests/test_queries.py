@@ -28,6 +28,12 @@ def test_every_sql_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
 
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap"])
+def test_bootstraps_draw_the_stated_resamples(spark, name):
+    # resamples of one class only don't count
+    assert 4500 < registry.QUERIES[name](spark, SF).first().valid <= 5000
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
