@@ -88,7 +88,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     counted = joined.withColumn("copies", copies).drop(*names.values()).filter("copies > 0")
     out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = out.withColumn("place", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the session asks for, more if the input has more parts: a range does not grow with the input
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     return out.repartitionById(n, (F.col("place") / float(1 << 60) * n).cast("int")).sortWithinPartitions("place", doc_id, "copy")
 
 

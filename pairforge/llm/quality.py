@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import operator
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, pairwise
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.rows import per_row, text_of
+from pairforge.llm.rows import per_row, slices, text_of
 from pairforge.shared import ship
 
 #: What a text is described by; nothing but the text goes in.
@@ -49,9 +51,11 @@ def describe(text: str) -> list[float]:
     size = len(raw)
     each = Counter(words)
     distinct = len(each)
-    pairs = Counter(pairwise(words)) if n < 400 else Counter(map(hash, pairwise(words)))
+    place = dict(zip(each, range(distinct), strict=True))
+    at = np.fromiter(map(place.__getitem__, words), np.int64, n)
+    pairs = len(np.unique(at[:-1] * distinct + at[1:]))
     return [
-        float(np.log1p(n)), (size - spaces) / n, distinct / n, max(each.values()) / n, sum(map(operator.eq, words, words[1:])) / n, 1 - len(pairs) / max(n - 1, 1) if n > 1 else 0.0,
+        float(np.log1p(n)), (size - spaces) / n, distinct / n, max(each.values()) / n, sum(map(operator.eq, words, words[1:])) / n, 1 - pairs / (n - 1) if n > 1 else 0.0,
         upper / max(letters, 1), digits / size, symbols / size, stops / n, counts[_BAR] / n, spaces / size, sum(map(str.istitle, each)) / distinct,
         1 - sum(map(str.isalpha, each)) / distinct, float(np.log1p(len(lines))), 1 - len(set(lines)) / len(lines), n / len(lines),
         sum(x[-1] in ".!?" for x in lines) / len(lines), float(np.log1p(max(map(len, each)))), 1 - letters / size,
@@ -184,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most_ro
     """Fits the model on at most ``most_rows`` labelled rows, taken in the order of a hash of their ids.
 
     That bound is the only sample here: fitted tables do not get better with more rows. Rows that are held out, whose
-    label is not 0 or 1, or whose id is null are left out; of several labels for an id the least counts.
+    label is not 0 or 1, or whose id is null are left out; of several labels for an id the least counts, and of several
+    texts the one whose features come first, so that the model does not depend on the order of rows.
     """
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     own = own.filter(F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1) & ~is_held_out(F.col("doc_id")))
@@ -192,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most_ro
     # the bound above makes the broadcast side at most most_rows pairs of numbers
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(F.broadcast(own), "doc_id")
     found = per_row(rows, ["doc_id", "_label", "text"], "doc_id bigint, y int, x array<double>", lambda part: [(d, y, describe(t)) for d, y, t in part])
-    kept = found.dropDuplicates(["doc_id"]).collect()
+    kept = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()
     kept.sort(key=lambda r: r["doc_id"])
     return fit(np.array([r["x"] for r in kept]).reshape(len(kept), len(FEATURES)), np.array([r["y"] for r in kept], float))
 
@@ -217,17 +222,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
 def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns, in place (no shuffle).
 
-    A column of the input that is named like the added score keeps its values: the score's name is chosen apart.
+    Null texts are scored as empty and stay null. No column is added, so none of the input's can clash.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_rows=most_rows))
 
     ship(docs.sparkSession)
+    place = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [describe(t or "") for t in part.column(place).to_pylist()]
+                if found:
+                    yield part.filter(pa.array(model.value.score(np.array(found)) >= threshold))
 
-        found = [describe(t) for t in texts]
-        return pd.Series(model.value.score(np.array(found).reshape(len(found), len(FEATURES))), index=texts.index)
-
-    return docs.filter(score(text_of()) >= threshold)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -74,10 +74,13 @@ def test_line_dedup_rules(spark):
     frame = "Home | About"
     rows = [(i, f"{frame}\n text {i} \n\n{frame} ", "a") for i in range(30)] + [(100, frame, "a"), (101, f"{frame}\nx", "b"), (102, None, "a"), (103, "", "a")]
     docs = documents(spark, rows + [rows[0]]).withColumn("n_dropped", F.lit("clash"))
-    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(docs, ratio=0.5, least_pages=5).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(docs, ratio=0.5).collect()}
     assert got[0] == (" text 0 \n", 2)
     assert got[100] == (frame, 0) and got[101] == (f"{frame}\nx", 0) and got[102] == (None, 0) and got[103] == ("", 0)
-    assert lines.drop_boilerplate(docs, ratio=0.5, least_pages=5).count() == len(rows) + 1
+    assert lines.drop_boilerplate(docs, ratio=0.5).count() == len(rows) + 1
+    # the ratio decides on a host of a few pages too, and a lone page keeps its lines
+    few = documents(spark, [(i, f"{frame}\nown {i}", "few") for i in range(4)] + [(9, f"{frame}\nown", "lone")])
+    assert sorted((r.doc_id, r.text) for r in lines.drop_boilerplate(few).collect()) == [(i, f"own {i}") for i in range(4)] + [(9, f"{frame}\nown")]
     odd = documents(spark, odd_rows())
     assert sorted(map(repr, lines.drop_boilerplate(odd).drop("n_dropped").collect())) == sorted(map(repr, odd.collect()))
     assert lines.drop_boilerplate(odd.limit(0)).count() == 0
