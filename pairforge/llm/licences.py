@@ -54,6 +54,10 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+# Words that most English texts hold; as conditions they would pass over nothing.
+COMMON = frozenset("about also any been conditions copy each form from have into other part provided source such that their there these they this under version were when whether which will with without work would".split())
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, sorted. Words are runs of a-z and 0-9 of the text in lower case."""
     words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
@@ -63,8 +67,8 @@ def bigrams(text: str) -> list[str]:
 def anchors(templates: dict[str, list[str]], least: float) -> list[str]:
     """Words of which any unit that reaches ``least`` with any template has one.
 
-    A unit needs T t / (2 - t) of a template's T bigrams at least. For each template, words are added, those of most
-    templates and then the longest first, until the bigrams without an added word are fewer than that.
+    A unit needs T t / (2 - t) of a template's T bigrams at least. For each template, words are added, common words last,
+    those of most templates and then the longest first, until the bigrams without an added word are fewer than that.
     """
     said = Counter(w for grams in templates.values() for w in {w for g in grams for w in g.split()})
     chosen: list[str] = []
@@ -73,7 +77,7 @@ def anchors(templates: dict[str, list[str]], least: float) -> list[str]:
         left = lambda: [g for g in grams if not set(g.split()) & set(chosen)]  # noqa: B023, E731
         while len(free := left()) >= need:
             words = {w for g in free for w in g.split()}
-            chosen.append(max(words, key=lambda w: (len(w) > 3, said[w], len(w), w)))
+            chosen.append(max(words, key=lambda w: (len(w) > 3 and w not in COMMON, said[w], len(w), w)))
     return sorted(set(chosen))
 
 
