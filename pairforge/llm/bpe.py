@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 import re
 import sys
 import unicodedata
@@ -29,10 +28,8 @@ from pairforge.llm.rows import per_row, text_of
 NONE = np.int32(2**31 - 1)
 #: The characters of the Unicode property White_Space, as the library's regular expressions take them.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Pieces of more bytes than this are merged with a heap; a matrix row would take time with the square of its length.
-LONGEST_ROW = 512
-#: Pieces that the cache holds before it is emptied.
-CACHED = 300_000
+#: Bytes that the cache holds, estimated, before it is emptied; a block of texts may pass it by what that block holds.
+CACHED_BYTES = 160 << 20
 
 
 @cache
@@ -130,8 +127,9 @@ class Encoder:
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.byte = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
         self.decimal = [str(i) for i in range(len(tokens))]
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
         self.said: dict[str, str] = {}
+        self.held = 0
 
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)
@@ -165,14 +163,15 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Puts all chunks of a block of texts into the cache, which is emptied first if it is full."""
-        if len(self.ids) > CACHED:
-            self.ids, self.said = {}, {}
+        if self.held > CACHED_BYTES:
+            self.ids, self.said, self.held = {}, {}, 0
         new = list(set().union(*texts).difference(self.ids))
         split = [self.split(self.spelled(chunk)) for chunk in new]
         known = self._pieces(set().union(*split))
         for chunk, pieces in zip(new, split, strict=True):
             self.ids[chunk] = ids = tuple(chain.from_iterable(map(known.__getitem__, pieces)))
-            self.said[chunk] = " ".join([self.decimal[i] for i in ids])
+            self.said[chunk] = said = " ".join([self.decimal[i] for i in ids])
+            self.held += 400 + 4 * len(chunk) + 8 * len(ids) + len(said)
 
     def _pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct matches of the pattern."""
@@ -182,8 +181,6 @@ class Encoder:
             raw = piece.encode()
             if (known := self.whole.get(raw)) is not None:
                 out[piece] = (known,)
-            elif len(raw) > LONGEST_ROW:
-                out[piece] = tuple(self._by_heap(raw))
             else:
                 rows.setdefault(4 << max(0, (len(raw) - 1).bit_length() - 2), []).append((piece, raw))
         for width, bucket in rows.items():
@@ -195,68 +192,84 @@ class Encoder:
         return out
 
     def _by_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """The ids of pieces of up to ``width`` bytes: rows of a matrix that all merge at once, round after round.
+
+        In a round a row merges its leftmost pair of least rank, and with it the next pairs of that rank as long as
+        merging them one by one would go on to them: until a merge makes a pair of lesser rank.
+        """
         sizes = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
         at = np.arange(width)
         ids = np.where(at < sizes[:, None], self.byte[raw], -1).astype(np.int32)
         ranks = np.full((len(pieces), width), NONE, np.int32)
         inside = at[1:] < sizes[:, None]
-        left, right = ids[:, :-1][inside], ids[:, 1:][inside]
-        ranks[:, :-1][inside] = self.table.get(left, right)
+        ranks[:, :-1][inside] = self.table.get(ids[:, :-1][inside], ids[:, 1:][inside])
         out: list[list[int] | None] = [None] * len(pieces)
         row = np.arange(len(pieces))
         while len(row):
-            best = ranks.argmin(1)  # the leftmost of the least
-            line = np.arange(len(row))
-            least = ranks[line, best]
+            least = ranks.min(1)
             over = least == NONE
             if over.any():
                 for r, ended, size in zip(row[over].tolist(), ids[over].tolist(), sizes[over].tolist(), strict=True):
                     out[r] = ended[:size]
                 stay = ~over
-                row, sizes, ids, ranks, best, least = row[stay], sizes[stay], ids[stay], ranks[stay], best[stay], least[stay]
+                row, sizes, ids, ranks, least = row[stay], sizes[stay], ids[stay], ranks[stay], least[stay]
                 if not len(row):
                     break
-                width = int(sizes.max())
-                ids, ranks = ids[:, :width], ranks[:, :width]
-                line = np.arange(len(row))
-            # close the gap: what stands right of the merged pair moves one to the left
-            moves = np.arange(width - 1) > best[:, None]
-            ids, ranks = ids.copy(), ranks.copy()
-            ids[:, :-1] = np.where(moves, ids[:, 1:], ids[:, :-1])
-            ranks[:, :-1] = np.where(moves, ranks[:, 1:], ranks[:, :-1])
-            ids[:, -1] = np.where(best == width - 1, ids[:, -1], -1)
-            ranks[:, -1] = NONE
-            ids[line, best] = least
-            sizes = sizes - 1
-            ranks[line, best] = NONE
-            some = np.flatnonzero(best + 1 < sizes)
-            ranks[some, best[some]] = self.table.get(ids[some, best[some]], ids[some, best[some] + 1])
-            some = np.flatnonzero(best > 0)
-            ranks[some, best[some] - 1] = self.table.get(ids[some, best[some] - 1], ids[some, best[some]])
+            line, place = self._merges(ids, ranks, least, sizes)
+            ids[line, place] = least[line]
+            keep = np.arange(ids.shape[1]) < sizes[:, None]
+            keep[line, place + 1] = False
+            merged = np.zeros(ids.shape, bool)
+            merged[line, place] = True
+            sizes = sizes - np.bincount(line, minlength=len(row))
+            ids, ranks = self._closed(ids[keep], ranks[keep], merged[keep], sizes)
         return out
 
-    def _by_heap(self, raw: bytes) -> list[int]:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        n = len(raw)
-        ids = self.byte[np.frombuffer(raw, np.uint8)].tolist()
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        first = self.table.get(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(rank, i) for i, rank in enumerate(first) if rank != NONE]
-        heapq.heapify(heap)
-        lookup = lambda i, j: self.whole.get(self.tokens[ids[i]] + self.tokens[ids[j]])
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n or lookup(i, j) != rank:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (next_ := lookup(i, after[j])) is not None:
-                    heapq.heappush(heap, (next_, i))
-            if before[i] >= 0 and (next_ := lookup(before[i], i)) is not None:
-                heapq.heappush(heap, (next_, before[i]))
-        return [i for i in ids if i >= 0]
+    def _merges(self, ids: np.ndarray, ranks: np.ndarray, least: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that merge in this round as (row, place), by row and place."""
+        line, place = np.nonzero(ranks == least[:, None])
+        if len(line) == len(least):
+            return line, place
+        # of overlapping pairs in a run every second one, from its first
+        first = np.append(True, (line[1:] != line[:-1]) | (place[1:] != place[:-1] + 1))
+        at = np.arange(len(line))
+        free = (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
+        line, place = line[free], place[free]
+        if len(line) == len(least):
+            return line, place
+        # the pairs that a merge makes with what stands left of it by then and right of it still
+        new = least[line]
+        touched = np.append(False, (line[1:] == line[:-1]) & (place[1:] == place[:-1] + 2))
+        lesser = np.zeros(len(line), bool)
+        some = np.flatnonzero(place > 0)
+        left = np.where(touched[some], new[some], ids[line[some], place[some] - 1])
+        lesser[some] = self.table.get(left, new[some]) < new[some]
+        some = np.flatnonzero(place + 2 < sizes[line])
+        lesser[some] |= self.table.get(new[some], ids[line[some], place[some] + 2]) < new[some]
+        if lesser.any():
+            begin = np.searchsorted(line, np.arange(len(least)))
+            before = np.append(0, np.cumsum(lesser))[:-1]
+            go = before == before[begin][line]
+            line, place = line[go], place[go]
+        return line, place
+
+    def _closed(self, ids: np.ndarray, ranks: np.ndarray, merged: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows without the gaps that merges left, from what stays of all rows one after another, with new ranks beside merges."""
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        flat = np.flatnonzero(inside)
+        ends = np.cumsum(sizes) - 1
+        changed = merged.copy()
+        changed[:-1] |= merged[1:]
+        changed[ends] = False
+        ranks[ends] = NONE
+        at = np.flatnonzero(changed)
+        ranks[at] = self.table.get(ids[at], ids[at + 1])
+        shape = len(sizes), width
+        new_ids, new_ranks = np.full(shape, -1, np.int32), np.full(shape, NONE, np.int32)
+        new_ids.ravel()[flat], new_ranks.ravel()[flat] = ids, ranks
+        return new_ids, new_ranks
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -283,18 +296,23 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, *, with_ids: bool =
 
     def run(rows: list[tuple]) -> list[tuple]:
         own = encoder_of(shipped, pattern)
-        gc.disable()  # the cache holds many small objects and no cycles
         out = []
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            cut = [own.chunks(text) for _, text in part]
-            own.learn(cut)
-            for (doc_id, _), chunks in zip(part, cut, strict=True):
-                said = " ".join(filter(None, map(own.said.__getitem__, chunks)))
-                ids = list(chain.from_iterable(map(own.ids.__getitem__, chunks)))
-                decoded = own.decode(ids)
-                row = (len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                out.append((doc_id, ids, *row) if with_ids else (doc_id, *row))
+        collects = gc.isenabled()
+        gc.disable()  # the cache holds many small objects and no cycles
+        try:
+            for at in range(0, len(rows), 256):
+                part = rows[at : at + 256]
+                cut = [own.chunks(text) for _, text in part]
+                own.learn(cut)
+                for (doc_id, _), chunks in zip(part, cut, strict=True):
+                    said = " ".join(filter(None, map(own.said.__getitem__, chunks)))
+                    ids = list(chain.from_iterable(map(own.ids.__getitem__, chunks)))
+                    decoded = own.decode(ids)
+                    row = (len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    out.append((doc_id, ids, *row) if with_ids else (doc_id, *row))
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     schema = "doc_id bigint, " + "ids array<int>, " * with_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
