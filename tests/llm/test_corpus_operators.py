@@ -113,7 +113,7 @@ def test_revisits(spark):
 
 def test_revisits_of_a_hot_url_against_brute_force(spark):
     rng = random.Random(1)
-    rows = [(i, "http://h/x" if i % 3 else f"http://h/{i % 50}", rng.randrange(40_000), rng.choice(["response", "revisit"]), 200, {}, str(i)) for i in range(1500)]
+    rows = [(i, "http://h/x" if i % 3 else f"http://h/{i % 50}", rng.randrange(40_000), *rng.choice([("response", 200), ("revisit", 304)]), {}, str(i)) for i in range(1500)]
     got = {r.record_id: r.refers_to for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()}
     want = {}
     for i, url, t, kind, *_ in rows:
@@ -122,13 +122,35 @@ def test_revisits_of_a_hot_url_against_brute_force(spark):
     assert got == want
 
 
+def test_only_not_modified_revisits_resolve(spark):
+    address = "http://netpreserve.org/warc/1.1/revisit/"
+    kinds = [(address + "server-not-modified", 304), (address + "Server-Not-Modified/", None), (address + "server-not-modified", 200), (address + "identical-payload-digest", 304), (None, 304), (None, 200), (None, None)]
+    rows = [(100, "http://e/x", 5, "response", 200, {}, "d", None)] + [(i, "http://e/x", 9, "revisit", status, {}, None, profile) for i, (profile, status) in enumerate(kinds)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS + ", profile string")).collect()
+    assert {r.record_id for r in got} == {0, 1, 4} and {r.state for r in got} == {"resolved"}
+
+
+def test_bodies_that_begin_alike_have_other_etags(spark):
+    start = "<!doctype html><html lang=en><head><meta charset=utf-8></head>" + " " * 40
+    pages = spark.createDataFrame([(1, "http://e/x", start + "one"), (2, "http://e/x", start + "two")], "page_id bigint, url string, html string")
+    got = {r.record_id: (r.state, r.refers_to) for r in warc.page_revisits(pages).collect()}
+    # page 1's revisit a day later meets page 2's response, which is another body
+    assert got[4] == ("mismatch", None) and got[7] == ("resolved", 6)
+
+
 def test_warc_files(spark):
     def record(kind, key, body, extra=""):
         head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{key}>\r\nWARC-Date: 2024-01-01T00:00:0{key[-1]}Z\r\nWARC-Target-URI: http://e.org/a\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
         return head.encode() + body + b"\r\n\r\n"
 
     data = record("warcinfo", "u0", b"x") + record("response", "u1", b"HTTP/1.1 200 OK\r\nETag: \"q\"\r\n\r\nbody") + record("revisit", "u2", b"HTTP/1.1 304 Not Modified\r\nETag: \"q\"\r\n\r\n")
-    files = spark.createDataFrame([("a", gzip.compress(data)), ("b", data[:150]), ("c", None)], "path string, content binary")
+    packed = gzip.compress(data)
+    rng = random.Random(3)
+    torn = [data[:k] for k in (0, 5, 60, 150)] + [packed[:k] for k in (2, 11, 40)] + [bytes(rng.randrange(256) for _ in range(300)), packed[:30] + b"\xff" * 40, b"WARC/1.0\r\nContent-Length: -3\r\n\r\n", b"WARC/1.0\r\nContent-Length: 99999999999999999999\r\n\r\nx"]
+    assert [len(list(warc.parse_warc(x))) for x in torn if x[:2] != b"\x1f\x8b"] == [0, 0, 0, 1, 0, 0, 0] and all(len(list(warc.parse_warc(x))) < 3 for x in torn)
+    assert not list(warc.parse_warc(gzip.compress(torn[-1])))
+    assert len(list(warc.parse_warc(data[:-3]))) == 3 and len(list(warc.parse_warc(gzip.compress(data) + gzip.compress(data)[:-9]))) in (5, 6)
+    files = spark.createDataFrame([("a", packed), ("c", None), *(("b", x) for x in torn if len(x) < 100)], "path string, content binary")
     records = warc.read_warc(files)
     assert [(r.kind, r.status, bytes(r.body)) for r in records.orderBy("time").collect()] == [("response", 200, b"body"), ("revisit", 304, b"")]
     out = warc.resolve_revisits(records).collect()
