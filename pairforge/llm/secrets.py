@@ -1,11 +1,13 @@
 """Secret scans: fixed expressions, and formats learned from labelled credentials by grammar inference.
 
 For each kind of labelled credential a prefix tree over character classes is built. States whose futures are
-statistically compatible (Hoeffding bounds on the shares of endings and of each class, down the tree) are merged,
-lowest states first, which gives a probabilistic automaton; every edge also keeps how often it carried each character.
-All candidate strings of a text, the parts of its runs between separators, are scored by all automata: the odds, in
-bits, of the automaton against characters drawn evenly. A candidate whose odds reach what the kind's own examples
-reach is a secret of the kind "format"; of candidates that overlap the one furthest above its bound counts.
+statistically compatible (Hoeffding bounds on the shares of endings and of each class, all the way on) are merged:
+first states of the same depth, so that what stands at a fixed place gathers evidence, then states of any depth, lowest
+first. This gives a probabilistic automaton; every edge also keeps how often it carried each character. All candidate
+strings of a text, the parts of its runs between separators, are scored by all automata: the odds, in bits, of the
+automaton against characters drawn evenly. A candidate whose odds reach what the kind's own examples reach is a secret
+of the kind "format", inside a span of the base expressions too; of candidates that overlap the one furthest above its
+bound counts.
 
 Nulls count as empty texts, which hold no secret. Offsets are code points, ends are exclusive.
 """
@@ -32,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "format")
 
 #: Runs of these characters hold the candidates for the automata.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = "[A-Za-z0-9+/_.=-]"
 #: Bits a character costs if any of the candidates' characters is as likely as any other.
 EVEN = math.log2(67)
 
@@ -49,7 +51,7 @@ FORMS: dict[str, list[tuple[str, int]]] = {
 }
 
 
-def labelled_examples(each: int = 150, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_examples(each: int = 300, seed: int = 7) -> list[tuple[str, str]]:
     """Credentials with their kinds, drawn from the published forms: training data of a fixed size."""
     draw = random.Random(seed)
     one = lambda form: "".join(text if not n else "".join(draw.choices(text, k=n)) for text, n in form)
@@ -67,13 +69,19 @@ def symbol(char: str) -> str:
     return char
 
 
+#: The characters of a class that has several.
+GROUPS = {"0": "0123456789", "f": "abcdef", "F": "ABCDEF", "z": "ghijklmnopqrstuvwxyz", "Z": "GHIJKLMNOPQRSTUVWXYZ"}
+
+
 class Automaton:
     """A prefix tree whose compatible states get merged. State 0 is the start."""
 
     def __init__(self, examples: Iterable[str]):
         self.seen: list[int] = [0]
         self.ends: list[int] = [0]
+        self.depth: list[int] = [0]
         self.edges: list[dict[str, list]] = [{}]  # class -> [target, times, Counter of characters]
+        self.alias: list[int] = [0]  # what a state was merged into
         for example in examples:
             state = 0
             self.seen[0] += 1
@@ -81,6 +89,8 @@ class Automaton:
                 edge = self.edges[state].get(kind := symbol(char))
                 if edge is None:
                     edge = self.edges[state][kind] = [len(self.seen), 0, Counter()]
+                    self.alias.append(len(self.seen))
+                    self.depth.append(self.depth[state] + 1)
                     self.seen.append(0)
                     self.ends.append(0)
                     self.edges.append({})
@@ -90,26 +100,40 @@ class Automaton:
                 self.seen[state] += 1
             self.ends[state] += 1
 
+    def _now(self, state: int) -> int:
+        while self.alias[state] != state:
+            self.alias[state] = self.alias[self.alias[state]]
+            state = self.alias[state]
+        return state
+
     def infer(self, alpha: float = 0.05) -> Automaton:
-        """Merges states: each frontier state with the first settled state that it is compatible with."""
+        """Merges states: of one depth first, then each frontier state with the first settled state it is compatible with."""
         width = math.sqrt(math.log(2 / alpha) / 2)
+        level = [0]
+        while level:
+            found = sorted({self._now(e[0]) for s in level for e in self.edges[self._now(s)].values()})
+            level = []
+            for state in found:
+                if self._now(state) == state:
+                    self._join(level, state, width)
         settled = [0]
         while True:
-            known = set(settled)
-            frontier = sorted({(e[0], s, k) for s in settled for k, e in self.edges[s].items() if e[0] not in known})
+            frontier = {self._now(e[0]) for s in settled for e in self.edges[s].values()}.difference(settled)
             if not frontier:
                 return self
-            state, parent, kind = frontier[0]
-            for other in settled:
-                if self._compatible(other, state, width):
-                    self.edges[parent][kind][0] = other
-                    self._fold(other, state)
-                    break
-            else:
-                settled.append(state)
+            self._join(settled, min(frontier, key=lambda s: (self.depth[s], s)), width)
+            settled = sorted({self._now(s) for s in settled}, key=lambda s: (self.depth[s], s))
+
+    def _join(self, known: list[int], state: int, width: float) -> None:
+        """Merges a state with the first of the known ones that it is compatible with, or makes it one of them."""
+        for other in known:
+            if self._compatible(other, state, width):
+                self._fold(other, state)
+                return
+        known.append(state)
 
     def _compatible(self, a: int, b: int, width: float) -> bool:
-        todo = [(a, b)]
+        todo, asked = [(a, b)], {(a, b)}
         while todo:
             a, b = todo.pop()
             n, m = self.seen[a], self.seen[b]
@@ -121,13 +145,22 @@ class Automaton:
                 if abs((x[1] if x else 0) / n - (y[1] if y else 0) / m) >= bound:
                     return False
                 if x and y:
-                    todo.append((x[0], y[0]))
+                    pair = self._now(x[0]), self._now(y[0])
+                    if pair[0] != pair[1] and pair not in asked:
+                        asked.add(pair)
+                        todo.append(pair)
         return True
 
     def _fold(self, a: int, b: int) -> None:
+        """Makes two states one, and with them those that their equal edges lead to."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._now, todo.pop())
+            if a == b:
+                continue
+            if (self.depth[b], b) < (self.depth[a], a):
+                a, b = b, a
+            self.alias[b] = a
             self.seen[a] += self.seen[b]
             self.ends[a] += self.ends[b]
             for kind, edge in self.edges[b].items():
@@ -142,24 +175,28 @@ class Automaton:
     def scorer(self) -> dict[int, dict[str, tuple[int, float]]]:
         """For each state the next state and the gain in bits for each character; "" stands for the end.
 
-        A character that an edge's class allows but no example had there counts as a small part of one example.
+        To what goes on from a state, 20 examples are added whose classes are as frequent as in the whole automaton, and to
+        an edge's characters 40; classes that a state lacks lead on like its most frequent edge.
         """
-        groups = {"0": "0123456789", "f": "abcdef", "F": "ABCDEF", "z": "ghijklmnopqrstuvwxyz", "Z": "GHIJKLMNOPQRSTUVWXYZ"}
+        own = [s for s in range(len(self.edges)) if self._now(s) == s]
+        usual: dict[str, Counter] = {}
+        for state in own:
+            for kind, (_, _, chars) in self.edges[state].items():
+                usual.setdefault(kind, Counter()).update(chars)
+        of_class = {k: {c: (n[c] + 1) / (n.total() + len(GROUPS.get(k, k))) for c in GROUPS.get(k, k)} for k, n in usual.items()}
+        all_ = sum(n.total() for n in usual.values())
         out: dict[int, dict[str, tuple[int, float]]] = {}
-        todo = [0]
-        while todo:
-            state = todo.pop()
-            if state in out:
-                continue
-            n, moves = self.seen[state], {}
-            for kind, (target, times, chars) in self.edges[state].items():
-                alphabet = groups.get(kind, kind)
-                for char in alphabet:
-                    share = (chars[char] + 0.1) / (times + 0.1 * len(alphabet))
-                    moves[char] = (target, math.log2(times / n * share) + EVEN)
-                todo.append(target)
+        for state in own:
+            n, moves, edges = self.seen[state], {}, self.edges[state]
+            onward = self._now(max(edges.values(), key=lambda e: (e[1], -e[0]))[0]) if edges else None
+            more = 20 if edges else 0
+            for kind, shares in of_class.items() if edges else ():
+                target, times, chars = edges.get(kind, (onward, 0, Counter()))
+                likely = (times + more * usual[kind].total() / all_) / (n + more)
+                for char, share in shares.items():
+                    moves[char] = (self._now(target), math.log2(likely * (chars[char] + 40 * share) / (times + 40)) + EVEN)
             if self.ends[state]:
-                moves[""] = (state, math.log2(self.ends[state] / n))
+                moves[""] = (state, math.log2(self.ends[state] / (n + more)))
             out[state] = moves
         return out
 
@@ -177,6 +214,30 @@ def odds(moves: dict[int, dict[str, tuple[int, float]]], text: str) -> float:
     return total + end[1] if end else -math.inf
 
 
+def shortest(moves: dict[int, dict[str, tuple[int, float]]]) -> int:
+    """The length of the shortest string that the automaton can make."""
+    found, steps, seen = {0}, 0, {0}
+    while not any("" in moves[s] for s in found):
+        found = {t for s in found for t, _ in moves[s].values()} - seen
+        seen |= found
+        steps += 1
+        if not found:
+            return 1
+    return max(steps, 1)
+
+
+def prospects(moves: dict[int, dict[str, tuple[int, float]]]) -> dict[int, float]:
+    """For each state the most that can still be gained up to an end; without bound where a loop gains."""
+    best = {s: m[""][1] if "" in m else -math.inf for s, m in moves.items()}
+    for turn in range(2 * len(moves) + 1):
+        new = {s: max([best[s], *(best[t] + gain for c, (t, gain) in m.items() if c)]) for s, m in moves.items()}
+        if new == best:
+            return best
+        # what still gets better after as many steps as there are states does so in a loop
+        best = new if turn < len(moves) else {s: math.inf if new[s] > best[s] else new[s] for s in new}
+    return best
+
+
 @dataclass(frozen=True)
 class Formats:
     """Scorers of all kinds, and the odds from which a candidate counts."""
@@ -184,19 +245,30 @@ class Formats:
     moves: dict[str, dict]
     least: dict[str, float]
 
+    def __post_init__(self):
+        # runs shorter than what any automaton can make hold no candidate
+        most = min(map(shortest, self.moves.values()), default=1)
+        object.__setattr__(self, "runs", f"{RUN}{{{most},}}")
+        object.__setattr__(self, "more", {k: prospects(m) for k, m in self.moves.items()})
+
     def score(self, text: str) -> tuple[float, str]:
         """By how many bits the best kind is over its bound, and which kind that is."""
         return max(((odds(m, text) - self.least[k], k) for k, m in self.moves.items()), default=(-math.inf, ""))
 
 
 def learn_formats(examples: list[tuple[str, str]], alpha: float = 0.05) -> Formats:
-    """Automata for all kinds. The bound of a kind is 8 bits below what 98 of 100 examples reach, 12 bits at least."""
+    """Automata for all kinds.
+
+    The bound of a kind is 4 bits below what 98 of 100 examples reach, 12 bits at least. Each half of the examples is
+    scored by an automaton of the other half, as an automaton is too sure of what it was made from.
+    """
     moves, least = {}, {}
     for kind in sorted({k for k, _ in examples}):
         own = [text for k, text in examples if k == kind]
         moves[kind] = Automaton(own).infer(alpha).scorer()
-        reached = sorted(odds(moves[kind], text) for text in own)
-        least[kind] = max(12.0, reached[len(reached) // 50] - 8)
+        halves = [(own[1 - k :: 2], own[k::2]) for k in (0, 1)] if len(own) > 1 else [(own, own)]
+        reached = sorted(odds(scorer, text) for made, rest in halves for scorer in [Automaton(made).infer(alpha).scorer()] for text in rest)
+        least[kind] = max(12.0, reached[len(reached) // 50] - 4)
     return Formats(moves, least)
 
 
@@ -211,11 +283,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def accepted(moves: dict[int, dict[str, tuple[int, float]]], run: str) -> list[tuple[float, int, int]]:
+def accepted(moves: dict[int, dict[str, tuple[int, float]]], run: str, least: float = -math.inf, more: dict[int, float] | None = None) -> list[tuple[float, int, int]]:
     """Parts of a run that the automaton can make, as (odds, start, end): for each end the start of the greatest odds.
 
     Parts start after a separator and end before one, or at the run's ends. Starts that meet in a state go on as the
-    better one, as all that follows is equal for them: the time is linear in the run, whatever it holds.
+    better one, as all that follows is equal for them: the time is linear in the run, whatever it holds. Starts that can't
+    come to ``least`` any more, by what ``more`` says that their state can gain, are given up.
     """
     found = []
     live: dict[int, tuple[float, int]] = {}
@@ -229,7 +302,7 @@ def accepted(moves: dict[int, dict[str, tuple[int, float]]], run: str) -> list[t
             step = moves[state].get(char)
             if step is not None and (step[0] not in stepped or stepped[step[0]][0] < total + step[1]):
                 stepped[step[0]] = (total + step[1], start)
-        live = stepped
+        live = stepped if more is None else {s: v for s, v in stepped.items() if v[0] + more[s] >= least}
         if live and (i + 1 == len(run) or not run[i + 1].isalnum()):
             ends = [(total + moves[state][""][1], start) for state, (total, start) in live.items() if "" in moves[state]]
             if ends:
@@ -238,19 +311,16 @@ def accepted(moves: dict[int, dict[str, tuple[int, float]]], run: str) -> list[t
     return found
 
 
-def format_spans(text: str, base: list[tuple[int, int, str]], formats: Formats) -> list[tuple[int, int, int]]:
-    """Candidates of a learned format, as far as they don't lie inside a base span: of those that overlap, the best."""
+def format_spans(text: str, formats: Formats) -> list[tuple[int, int, int]]:
+    """Candidates of a learned format: of those that overlap, the one furthest above its bound."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        if any(s <= m.start() and m.end() <= e for s, _, e in base):
-            continue
+    for m in re.finditer(formats.runs, text):
         near = []
         for kind, moves in formats.moves.items():
             longest = {}  # by start: a separator that the format allows does not end a credential
-            for total, start, end in accepted(moves, m[0]):
-                over, start, end = total - formats.least[kind], m.start() + start, m.start() + end
-                if over >= 0 and end - start >= 16 and not any(s <= start and end <= e for s, _, e in base):
-                    longest[start] = (-over, start, end)
+            for total, start, end in accepted(moves, m[0], formats.least[kind], formats.more[kind]):
+                if total >= formats.least[kind]:
+                    longest[start] = (formats.least[kind] - total, m.start() + start, m.start() + end)
             near += longest.values()
         kept: list[tuple[int, int, int]] = []
         for _, start, end in sorted(near):
@@ -267,8 +337,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """Finds secrets in every whole text; one row for each input row.
 
-    Returns doc_id, spans as array of (kind, start, end, format kind), the base counts n_assign, n_access and n_hex,
-    base_sha256 and spans_text (all spans as kind:start:end, by start and kind, joined by commas). Null and empty
+    Returns doc_id, found as array of (kind, start, end), the base counts n_assign, n_access and n_hex, base_sha256 (of
+    the base spans alone) and spans (all spans as kind:start:end, by start and kind, joined by commas). Null and empty
     texts give no spans and the digest of the empty string; repeated rows give repeated results.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(formats or learn_formats(labelled_examples()))
@@ -277,7 +347,7 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
         out = []
         for doc_id, text in rows:
             base = base_spans(text)
-            spans = sorted(base + format_spans(text, base, shipped.value))
+            spans = sorted(base + format_spans(text, shipped.value))
             counts = Counter(k for _, k, _ in base)
             listed = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
             out.append((doc_id, listed, counts[0], counts[1], counts[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
