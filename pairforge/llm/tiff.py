@@ -1,21 +1,23 @@
 """Media columns: TIFF files as rows, one row for each page.
 
 ``read_pages`` walks the chain of image directories of a TIFF file, decodes strips or tiles that are stored plainly
-or with PackBits, LZW or deflate, undoes horizontal differencing and returns one row per page. ``write_pages`` stores
-8-bit grey pages losslessly in the same forms.
+or with PackBits, LZW or deflate, undoes horizontal differencing of whole numbers and of floating-point ones and returns
+one row per page. Samples have 1, 2, 4, 8, 16, 32 or 64 bits, side by side or in planes. ``write_pages`` stores pages of
+8, 16 or 32 bits losslessly in the same forms.
 
-A file that breaks off or holds something unknown gives one row with ``error`` set and no samples from there on;
-pages before it are kept. Null or empty files give one such row. A directory chain that returns to an earlier
+A file that breaks off, contradicts itself or holds something unknown gives one row with ``error`` set and no samples
+from there on; pages before it are kept. Null or empty files give one such row. A directory chain that returns to an earlier
 directory ends with an error row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pairforge.shared import ship
 
 # Tags, field types and compression codes of TIFF 6.0.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 266, 284, 317, 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
@@ -88,31 +90,34 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Variable-length codes from the high bit on, widened one code early, as TIFF has them."""
-    table: dict[bytes, int] = {bytes([i]): i for i in range(256)}
     out, bits, acc, have = bytearray(), 9, 256, 9
-    word = b""
-
-    for i in range(len(data)):
-        byte = data[i : i + 1]
-        longer = word + byte
-        if longer in table:
-            word = longer
+    table: dict[int, int] = {}  # code of a string, then its next byte -> code of the longer string
+    prefix, after = -1, 258
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
             continue
-        acc, have = acc << bits | table[word], have + bits
-        table[longer] = len(table) + 2
-        word = byte
-        if len(table) + 2 == 4094:
+        key = prefix << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            prefix = longer
+            continue
+        acc, have = acc << bits | prefix, have + bits
+        table[key] = after
+        after += 1
+        prefix = byte
+        if after == 4094:
             acc, have = acc << 12 | 256, have + 12
-            table, bits = {bytes([i]): i for i in range(256)}, 9
-        elif len(table) + 2 in (512, 1024, 2048):
+            table, bits, after = {}, 9, 258
+        elif after in (512, 1024, 2048):
             bits += 1
-        if have > 4096:
+        if have > 512:
             rest = have % 8
             out += (acc >> rest).to_bytes(have // 8, "big")
             acc, have = acc & ((1 << rest) - 1), rest
-    if word:
-        acc, have = acc << bits | table[word], have + bits
-        if len(table) + 3 in (512, 1024, 2048):
+    if prefix >= 0:
+        acc, have = acc << bits | prefix, have + bits
+        if after + 1 in (512, 1024, 2048):
             bits += 1
     acc, have = acc << bits | 257, have + bits
     pad = -have % 8
@@ -198,8 +203,7 @@ class Page:
     tile: tuple[int, int] | None = None  # height, width; both multiples of 16
     rows_per_strip: int | None = None
     photometric: int = 1
-    big: bool = False
-    info: dict = field(default_factory=dict)
+    bits: int | None = None  # of a stored sample; those of the array's type if it says nothing
 
 
 def _blocks(page: Page) -> Iterator[np.ndarray]:
@@ -274,36 +278,65 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, after
 
 
+#: How many times its stored form a page may be: more than any of the codes can make of a byte.
+MOST_GROWTH = 4096
+
+
 def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
     try:
-        (width,), (height,) = tags[WIDTH], tags[HEIGHT]
-        n = tags.get(SAMPLES, [1])[0]
-        bits, (compression,), (predictor,) = tags.get(BITS, [1]), tags.get(COMPRESSION, [PLAIN]), tags.get(PREDICTOR, [1])
-        tiled = TILE_OFFSETS in tags
-        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-        bh, bw = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(tags.get(ROWS_PER_STRIP, [height])[0], height), width)
-    except (KeyError, ValueError) as e:
-        raise TiffError(f"a needed tag is missing: {e}") from e
-    if set(bits) not in ({8}, {16}, {32}) or tags.get(PLANAR, [1])[0] != 1 or predictor not in (1, 2) or not (width and height and n and bh and bw):
-        raise TiffError(f"bits {bits}, planar {tags.get(PLANAR)}, predictor {predictor}, {width} x {height}")
-    kind = np.dtype(f"{order}u{bits[0] // 8}")
+        return _decoded(data, tags, order)
+    except TiffError:
+        raise
+    except (KeyError, ValueError, IndexError, TypeError, OverflowError, struct.error) as e:
+        raise TiffError(f"a needed tag is missing or makes no sense: {e!r}") from e
+
+
+def _decoded(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
+    one = lambda tag, usual=None: tags[tag][0] if usual is None or tag in tags else usual
+    width, height, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    compression, predictor, planes, form = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
+    bits = set(tags.get(BITS, [1]))
+    tiled = TILE_OFFSETS in tags
+    offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    bh, bw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    if min(width, height, n, bh, bw) < 1 or min(offsets, default=0) < 0 or min(sizes, default=0) < 0:
+        raise TiffError(f"{width} x {height} x {n} in blocks of {bw} x {bh}")
+    size = bits.pop()
+    if bits or size not in (1, 2, 4, 8, 16, 32, 64) or planes not in (1, 2) or one(FILL_ORDER, 1) != 1 or form not in (1, 2, 3, 4):
+        raise TiffError(f"samples of {sorted(bits | {size})} bits, planes {planes}, fill order {one(FILL_ORDER, 1)}, format {form}")
+    if predictor not in (1, 2, 3) or (predictor == 2 and size < 8) or (predictor == 3 and (form != 3 or size < 16)):
+        raise TiffError(f"predictor {predictor} of samples of {size} bits and format {form}")
+    together, apart = (n, 1) if planes == 1 else (1, n)
     across, down = -(-width // bw), -(-height // bh)
-    if len(offsets) < across * down or len(sizes) < across * down:
+    if width * height * n * size // 8 > MOST_GROWTH * max(len(data), 1) or across * down * apart > len(offsets) or across * down * apart > len(sizes):
         raise TiffError("strips or tiles are missing")
-    if width * height * n * kind.itemsize > 64 * 1024 * max(len(data), 1):
-        raise TiffError("the page is larger than its data can hold")
+    kind = np.dtype(f"{order}u{max(size // 8, 1)}")
     samples = np.zeros((height, width, n), kind.newbyteorder("="))
-    for i in range(across * down):
-        y, x = i // across * bh, i % across * bw
+    line = -(-bw * together * size // 8)
+    for i in range(across * down * apart):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * bh, place % across * bw
         rows = bh if tiled else min(bh, height - y)
         if offsets[i] + sizes[i] > len(data):
             raise TiffError("strips or tiles lie outside the file")
-        raw = _unpack(data[offsets[i] : offsets[i] + sizes[i]], compression, rows * bw * n * kind.itemsize)
-        block = np.frombuffer(raw, kind).reshape(rows, bw, n).astype(samples.dtype)
+        if rows * line > MOST_GROWTH * max(sizes[i], 1):
+            raise TiffError("a strip or tile is larger than its data can hold")
+        raw = _unpack(data[offsets[i] : offsets[i] + sizes[i]], compression, rows * line)
+        if size < 8:
+            split = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : bw * together * size]
+            weights = (1 << np.arange(size)[::-1]).astype(np.uint8)
+            block = (split.reshape(rows, bw, together, size) * weights).sum(3, dtype=np.uint8)
+        elif predictor == 3:
+            steps = np.frombuffer(raw, np.uint8).reshape(rows, bw * kind.itemsize, together)
+            parts = np.add.accumulate(steps, 1, np.uint8).reshape(rows, kind.itemsize, bw * together)  # the high bytes first
+            block = np.ascontiguousarray(parts.transpose(0, 2, 1)).view(f">u{kind.itemsize}").reshape(rows, bw, together)
+        else:
+            block = np.frombuffer(raw, kind).reshape(rows, bw, together)
+        block = block.astype(samples.dtype)
         if predictor == 2:
             block = np.add.accumulate(block, 1, samples.dtype)
-        samples[y : y + bh, x : x + bw] = block[: height - y, : width - x]
-    return Page(samples, compression, predictor, (bh, bw) if tiled else None, None if tiled else bh, tags.get(PHOTOMETRIC, [1])[0])
+        samples[y : y + bh, x : x + bw, plane : plane + together] = block[: height - y, : width - x]
+    return Page(samples, compression, predictor, (bh, bw) if tiled else None, None if tiled else bh, one(PHOTOMETRIC, 1), size)
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
@@ -325,34 +358,48 @@ def read_pages(data: bytes) -> Iterator[Page]:
 PAGES = "id string, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
 
 
-def tiff_pages(files: DataFrame, id_column: str, content: str) -> DataFrame:
+def _page_rows(key: str | None, data: bytes | None) -> Iterator[tuple]:
+    k = -1
+    try:
+        for k, p in enumerate(read_pages(data or b"")):  # noqa: B007
+            h, w, n = p.samples.shape
+            raw = p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes()
+            yield (key, k, w, h, n, p.bits, p.compression, p.predictor, p.tile is not None, raw, None)
+    except TiffError as e:
+        yield (key, k + 1, None, None, None, None, None, None, None, None, str(e))
+
+
+def tiff_pages(files: DataFrame, id_column: str, content: str, carry: Sequence[str] = (), most_bytes: int = 8 << 20) -> DataFrame:
     """One row for each page of each TIFF file in the binary column ``content``, with its samples row by row.
 
-    16- and 32-bit samples come in little-endian order. Files are read one at a time; a page is the unit of memory.
-    Other columns are not read, repeated rows give repeated pages; for broken and null files see the module's text.
+    Samples of 16 bits and more come in little-endian order, those of fewer than 8 bits as a byte each. Columns named in
+    ``carry`` stand beside every page of their file. Files are read one at a time; a page is the unit of memory. Pages
+    of a file follow each other in its partition, the file's own order kept. Other columns are not read, repeated rows
+    give repeated pages; for broken and null files see the module's text.
     """
     ship(files.sparkSession)
-    schema = T._parse_datatype_string(PAGES)
+    taken = files.select(F.col(id_column).cast("string").alias("id"), F.col(content).cast("binary").alias("content"), *carry)
+    schema = T.StructType([*T._parse_datatype_string(PAGES).fields, *taken.schema.fields[2:]])
     arrow = to_arrow_schema(schema)
 
-    def rows(key: str, data: bytes | None) -> Iterator[tuple]:
-        k = -1
-        try:
-            for k, p in enumerate(read_pages(data or b"")):  # noqa: B007
-                h, w, n = p.samples.shape
-                raw = p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes()
-                yield (key, k, w, h, n, p.samples.dtype.itemsize * 8, p.compression, p.predictor, p.tile is not None, raw, None)
-        except TiffError as e:
-            yield (key, k + 1, None, None, None, None, None, None, None, None, str(e))
-
-    def run(batches):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for part in slices(batch):
-                for key, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for row in rows(key, data):
-                        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True))], schema=arrow)
+                for key, data, *beside in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for row in _page_rows(key, data):
+                        rows.append((*row, *beside))
+                        held += len(row[9] or b"") + 500
+                        if held > most_bytes:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
-    return files.select(F.col(id_column).cast("string").alias("id"), F.col(content).cast("binary").alias("content")).mapInArrow(run, schema)
+    return taken.mapInArrow(run, schema)
 
 
 def payload(text: str) -> bytes:
@@ -361,47 +408,93 @@ def payload(text: str) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // SIDE**2)) * SIDE**2, b"\xff")
 
 
+#: The forms of a payload's pages, in turn.
+FORMS = [{"compression": PACKBITS, "rows_per_strip": 4 * SIDE}, {"compression": LZW, "predictor": 2, "tile": (16, 32)}, {"compression": DEFLATE, "predictor": 2, "rows_per_strip": 14 * SIDE}]
+#: Units of 576 bytes that a page of a payload holds at most.
+MOST_UNITS = 64
+
+
 def store(raw: bytes) -> bytes:
-    """A payload as a TIFF file of one grey page, 24 samples wide.
+    """A payload as a TIFF file of grey pages, 24 samples wide.
 
-    The form follows from the number of 576-byte units alone: a single unit is one PackBits strip, 2 are LZW tiles
-    with differencing, all else are deflate strips of up to 8 KB, with differencing if that number is odd.
+    Its units of 576 bytes are dealt in order to pages of nearly equal size: three, or a multiple of three where pages
+    would pass 64 units, or as many as there are units if those are fewer. Pages are PackBits strips, LZW tiles with
+    differencing and deflate strips with differencing in turn; a checksum of the payload says which form is the first and
+    the order of the file's bytes. So payloads of every size come in every form.
     """
-    units = len(raw) // SIDE**2
-    samples = np.frombuffer(raw, np.uint8).reshape(units * SIDE, SIDE, 1)
-    if units == 1:
-        page = Page(samples, PACKBITS)
-    elif units == 2:
-        page = Page(samples, LZW, 2, tile=(16, 32))
-    else:
-        page = Page(samples, DEFLATE, 1 + units % 2, rows_per_strip=SIDE * 14)
-    return write_pages([page])
+    units, mark = len(raw) // SIDE**2, zlib.crc32(raw)
+    count = min(units, len(FORMS) * -(-units // (len(FORMS) * MOST_UNITS)))
+    cuts = [units * k // count * SIDE**2 for k in range(count + 1)]
+    pages = [Page(np.frombuffer(raw[lo:hi], np.uint8).reshape(-1, SIDE, 1), **FORMS[(mark + k) % len(FORMS)]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return write_pages(pages, "<>"[mark >> 8 & 1])
+
+
+def _stored(rows: list[tuple]) -> list[tuple]:
+    out = []
+    for doc_id, text in rows:
+        media = store(payload(text))
+        out.append((doc_id, len(text.encode()), len(media), hashlib.sha256(media).hexdigest(), media))
+    return out
+
+
+class _Described:
+    """What is gathered of a file's pages, one after another."""
+
+    def __init__(self, row: dict):
+        self.row, self.digest, self.tail, self.size = row, hashlib.sha256(), b"", 0
+        self.pages = self.rows = self.steps = 0
+        self.counts = np.zeros(256, np.int64)
+
+    def add(self, width: int, height: int, data: bytes) -> None:
+        x = np.frombuffer(data, np.uint8).reshape(height, width)
+        self.digest.update(data)
+        self.tail, self.size = (self.tail + data[-32:])[-32:], self.size + len(data)
+        self.pages, self.rows = self.pages + 1, self.rows + height
+        self.steps += int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum(dtype=np.int64))
+        self.counts += np.bincount(x.ravel(), minlength=256)
+
+    def done(self) -> tuple:
+        values, n = np.arange(256), max(self.size, 1)
+        total, squares = int(self.counts @ values), int(self.counts @ values**2)
+        deviation = math.isqrt(max(0, squares * n - total * total) * 1_000_000) // n
+        feature = f"{SIDE}x{self.rows};pages={self.pages};mean={total * 1000 // n};sd={deviation};values={int((self.counts > 0).sum())};steps={self.steps}"
+        r = self.row
+        return (r["doc_id"], r["n_bytes"], self.size, self.digest.hexdigest(), zlib.crc32(self.tail), r["media_bytes"], r["media_sha256"], feature)
+
+
+MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores every whole text as a TIFF file, reads the stored file back and describes it; one row per input row.
+    """Stores every whole text as a TIFF file, reads the stored files' pages back and describes them; one row per input row.
 
-    Null texts count as empty: a page of 576 bytes 255. Equal texts give equal values. The feature is the page's
-    size, mean and standard deviation of its samples in thousandths, number of distinct samples and the sum of
-    absolute differences of neighbours in a row.
+    Null texts count as empty: a page of 576 bytes 255. Equal texts give equal values. The feature is the samples' width
+    and height over all pages, the number of pages, the mean and standard deviation of the samples in thousandths, the
+    number of distinct samples and the sum of absolute differences of neighbours in a row. Nothing is shuffled: pages
+    of a file follow each other, and one file's are gathered at a time.
     """
+    files = per_row(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), ["doc_id", "text"], "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, content binary", _stored)
+    pages = tiff_pages(files, "doc_id", "content", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    schema = T._parse_datatype_string(MEDIA)
+    arrow = to_arrow_schema(schema)
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        out = []
-        for doc_id, text in rows:
-            raw = payload(text)
-            media = store(raw)
-            pages = list(read_pages(media))
-            read = b"".join(p.samples.tobytes() for p in pages)
-            x = pages[0].samples[:, :, 0]
-            counts = np.bincount(x.ravel(), minlength=256).astype(np.int64)
-            n, values = x.size, np.arange(256)
-            total, squares = int(counts @ values), int(counts @ values**2)
-            steps = int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum(dtype=np.int64))
-            deviation = int((max(0, squares * n - total * total)) ** 0.5 * 1000 / n)
-            feature = f"{x.shape[1]}x{x.shape[0]};mean={total * 1000 // n};sd={deviation};values={int((counts > 0).sum())};steps={steps}"
-            out.append((doc_id, len(text.encode()), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        return out
-
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return per_row(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), ["doc_id", "text"], schema, run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, out = None, []
+        for batch in batches:
+            for part in slices(batch):
+                for row in part.to_pylist():
+                    if row["error"] is not None:
+                        raise TiffError(f"the stored file of document {row['doc_id']}: {row['error']}")
+                    if row["page"] == 0:
+                        if file is not None:
+                            out.append(file.done())
+                        file = _Described(row)
+                    file.add(row["width"], row["height"], row["data"])
+                    file.row.pop("data", None)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                    out = []
+        if file is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(file.done(), arrow, strict=True)], schema=arrow)
+
+    return pages.mapInArrow(run, schema)

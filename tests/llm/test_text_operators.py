@@ -117,6 +117,101 @@ def test_tiff_pages_of_good_broken_and_missing_files(spark):
     assert all(len(by[k]) == 1 and by[k][0].error for k in ("none", "empty", "text"))
 
 
+def by_hand(width, height, tags, blocks, order="<", tiled=False):
+    """A TIFF file of one page put together without the writer: blocks are the strips' or tiles' stored bytes."""
+    import struct
+
+    data, places = b"", []
+    for block in blocks:
+        places.append(8 + len(data))
+        data += block + b"\0" * (len(block) % 2)
+    tags = {256: [width], 257: [height], **tags, (324 if tiled else 273): places, (325 if tiled else 279): [len(b) for b in blocks]}
+    at = 8 + len(data)
+    beyond, entries = at + 2 + 12 * len(tags) + 4, b""
+    more = b""
+    for tag, values in sorted(tags.items()):
+        raw = struct.pack(f"{order}{len(values)}I", *values)
+        if len(raw) > 4:
+            more, raw = more + raw, struct.pack(order + "I", beyond + len(more))
+        entries += struct.pack(order + "HHI", tag, 4, len(values)) + raw
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + data + struct.pack(order + "H", len(tags)) + entries + b"\0\0\0\0" + more
+
+
+def test_published_examples_of_the_codes():
+    packed, plain = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.packbits_decode(packed, 24) == plain and tiff.packbits_decode(tiff.packbits_encode(plain), 24) == plain
+    # 7 7 7 8 8 7 7 6 6 as the format's description has it: clear, 7, 258, 8, 8, 258, 6, 6, end
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    stored = int(codes.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.lzw_decode(stored, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) == tiff.lzw_decode(tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])), 9)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_files_put_together_by_hand(order):
+    read = lambda *a, **k: next(tiff.read_pages(by_hand(*a, order=order, **k)))
+    one = read(10, 2, {258: [1], 278: [1]}, [b"\xa5\x40", b"\x0f\x80"])
+    assert one.samples[:, :, 0].tolist() == [[1, 0, 1, 0, 0, 1, 0, 1, 0, 1], [0, 0, 0, 0, 1, 1, 1, 1, 1, 0]] and one.bits == 1
+    assert read(3, 1, {258: [4]}, [b"\x1f\x70"]).samples.ravel().tolist() == [1, 15, 7]
+    assert read(3, 1, {258: [2]}, [b"\x6c"]).samples.ravel().tolist() == [1, 2, 3]
+    planes = read(2, 1, {258: [8, 8, 8], 277: [3], 284: [2]}, [b"\x01\x02", b"\x03\x04", b"\x05\x06"])
+    assert planes.samples.tolist() == [[[1, 3, 5], [2, 4, 6]]]
+    tiles = read(20, 3, {258: [8], 322: [16], 323: [16], 259: [8]}, [zlib.compress(bytes(range(256))), zlib.compress(bytes([9]) * 256)], tiled=True)
+    assert tiles.samples[2, :, 0].tolist() == [*range(32, 48), 9, 9, 9, 9]
+    wide = np.array([1, 65535, 3], order + "u2").tobytes()
+    assert read(3, 1, {258: [16], 259: [32773]}, [bytes([5]) + wide]).samples.ravel().tolist() == [1, 65535, 3]
+    # floating-point differencing: the values' bytes in planes, high ones first, then differences from byte to byte
+    values = np.array([[1.5, -2.25, 3e8, 0.1]], ">f4")
+    parts = np.ascontiguousarray(values.view(np.uint8).reshape(4, 4).T).ravel()
+    steps = np.diff(parts, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+    floats = read(4, 1, {258: [32], 259: [8], 317: [3], 339: [3]}, [zlib.compress(steps)])
+    assert floats.samples.ravel().view(np.float32).tolist() == values.astype(np.float32).ravel().tolist()
+
+
+def test_files_that_make_no_sense_give_errors():
+    bad = [
+        {277: []}, {278: []}, {258: []}, {258: [8, 4]}, {258: [7]}, {259: [99]}, {266: [2]}, {284: [3]}, {317: [9]}, {317: [3]}, {258: [4], 317: [2]}, {256: [0]}, {257: [0]}, {256: [1 << 31]}, {277: [1 << 30]}, {278: [0]},
+    ]
+    for tags in bad:
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_pages(by_hand(2, 2, {258: [8], **tags}, [b"abcd"])))
+    good = by_hand(2, 2, {258: [8]}, [b"abcd"])
+    entry = good.index(b"\x11\x01\x04\x00")  # the strips' places, as a signed number below 0
+    with pytest.raises(tiff.TiffError):
+        list(tiff.read_pages(good[: entry + 2] + b"\x09\x00" + good[entry + 4 : entry + 8] + b"\xf0\xff\xff\xff" + good[entry + 12 :]))
+    rng = random.Random(11)
+    whole = tiff.store(bytes(range(256)) * 18)
+    for _ in range(3000):
+        torn = bytearray(whole[: rng.randrange(len(whole) + 1)] if rng.random() < 0.3 else whole)
+        for _ in range(rng.randrange(1, 6)):
+            if torn:
+                torn[rng.randrange(len(torn))] = rng.choice((0, 255, rng.randrange(256)))
+        try:
+            list(tiff.read_pages(bytes(torn)))
+        except tiff.TiffError:
+            pass
+
+
+def test_payloads_of_every_size_come_in_every_form():
+    rng = random.Random(9)
+    forms = {}
+    for units in (1, 2, 3, 7, 200, 500):
+        for _ in range(30):
+            raw = bytes(rng.choices(b"abc \n", k=units * 576))
+            pages = list(tiff.read_pages(tiff.store(raw)))
+            assert b"".join(p.samples.tobytes() for p in pages) == raw and max(p.samples.size for p in pages) <= 576 * tiff.MOST_UNITS
+            forms.setdefault(units, set()).update((p.compression, p.predictor, p.tile is not None) for p in pages)
+            if units >= 200:
+                break
+    assert all(len(f) == 3 for f in forms.values())
+
+
+def plain_feature(full, pages):
+    rows = [full[i : i + 24] for i in range(0, len(full), 24)]
+    n, total, squares = len(full), sum(full), sum(b * b for b in full)
+    steps = sum(abs(a - b) for r in rows for a, b in zip(r, r[1:], strict=False))
+    return f"24x{len(rows)};pages={pages};mean={total * 1000 // n};sd={int((squares / n - (total / n) ** 2) ** 0.5 * 1000)};values={len(set(full))};steps={steps}"
+
+
 def test_media_query(spark, odd):
     for docs, run in ((spark.read.parquet(f"{SF}/documents.parquet"), queries.op5_media_columns(spark, SF)), (odd, tiff.text_media(odd))):
         got = {}
@@ -129,7 +224,10 @@ def test_media_query(spark, odd):
                 assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
                 stored = tiff.store(full)
                 assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-                assert b"".join(p.samples.tobytes() for p in tiff.read_pages(stored)) == full
+                pages = list(tiff.read_pages(stored))
+                assert b"".join(p.samples.tobytes() for p in pages) == full
+                said, want = r.feature.split(";"), plain_feature(full, len(pages)).split(";")
+                assert said[:3] + said[4:] == want[:3] + want[4:] and abs(int(said[3][3:]) - int(want[3][3:])) <= 1
     assert run.count() == odd.count()
 
 
