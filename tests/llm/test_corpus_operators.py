@@ -175,13 +175,31 @@ def test_exact_groups(spark):
     assert exact.exact_groups(docs.limit(0)).count() == 0
 
 
-def test_merge_of_runs_keeps_the_greatest_and_counts():
-    import pyarrow as pa
+@pytest.mark.parametrize("run_rows", [7, 1 << 17])
+def test_exact_groups_in_many_leaves_and_lanes(spark, tmp_path, monkeypatch, run_rows):
+    monkeypatch.setattr(exact, "RUN_ROWS", run_rows)
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 3 == 0 else str(rng.randrange(400)), "s") for i in range(1500)]
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = sorted(map(tuple, exact.exact_groups(documents(spark, rows).repartition(70)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    last, size = {}, {}
+    for i, t, _ in rows:
+        last[t], size[t] = i, size.get(t, 0) + 1
+    assert got == [(i, last[t], size[t], i == last[t], hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in rows]
 
-    a, b = bytes(32), bytes(31) + b"\x01"
-    runs = pa.table({"node": [5] * 4, "digest": [b, a, a, a], "keep": [1, 7, None, 9], "size": [1, 2, 3, 4]})
-    got = exact.merge_runs(runs).to_pylist()
-    assert got == [{"node": 5, "digest": a, "keep": 9, "size": 9}, {"node": 5, "digest": b, "keep": 1, "size": 1}]
+
+def test_merge_of_runs_keeps_the_greatest_and_counts():
+    import numpy as np
+
+    a, b, c = bytes(32), bytes(31) + b"\x01", b"\xff" * 32
+    run = lambda *rows: (b"".join(d for d, _, _ in rows), np.array([k for _, k, _ in rows]), np.array([n for _, _, n in rows]))
+    digests, keeps, sizes = exact.merge_runs([run((a, 7, 2), (b, 1, 1)), run((a, exact.NO_ID, 3)), run((a, 9, 4), (c, 5, 1))])
+    assert digests == a + b + c and keeps.tolist() == [9, 1, 5] and sizes.tolist() == [9, 1, 1]
+    parts = [(to, d) for to, d, _, _ in exact._sent((digests, keeps, sizes), 5, 0, 8, 1)]
+    assert parts == [(0, a + b), (7, c)]
 
 
 def brute_components(rows, words, percent):
