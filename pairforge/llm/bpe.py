@@ -167,28 +167,37 @@ class Encoder:
             self.ids, self.said, self.held = {}, {}, 0
         new = list(set().union(*texts).difference(self.ids))
         split = [self.split(self.spelled(chunk)) for chunk in new]
-        known = self._pieces(set().union(*split))
-        for chunk, pieces in zip(new, split, strict=True):
-            self.ids[chunk] = ids = tuple(chain.from_iterable(map(known.__getitem__, pieces)))
-            self.said[chunk] = said = " ".join([self.decimal[i] for i in ids])
-            self.held += 400 + 4 * len(chunk) + 8 * len(ids) + len(said)
+        known = self._pieces(set(chain.from_iterable(split)))
+        ids = [known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        decimal = self.decimal
+        said = [" ".join([decimal[i] for i in x]) for x in ids]
+        self.ids.update(zip(new, ids, strict=True))
+        self.said.update(zip(new, said, strict=True))
+        self.held += 400 * len(new) + 4 * sum(map(len, new)) + 3 * sum(map(len, said))
 
     def _pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct matches of the pattern."""
         out: dict[str, tuple[int, ...]] = {}
-        rows: dict[int, list[tuple[str, bytes]]] = {}
+        rows: dict[int, tuple[list[str], list[bytes]]] = {}
+        whole = self.whole.get
         for piece in pieces:
             raw = piece.encode()
-            if (known := self.whole.get(raw)) is not None:
+            if (known := whole(raw)) is not None:
                 out[piece] = (known,)
             else:
-                rows.setdefault(4 << max(0, (len(raw) - 1).bit_length() - 2), []).append((piece, raw))
-        for width, bucket in rows.items():
+                # widths 4, 6, 8, 12, 16, 24 and so on
+                n = max(len(raw), 4) - 1
+                half = 1 << n.bit_length() - 2
+                width = 3 * half if n < 3 * half else 4 * half
+                bucket = rows.get(width)
+                if bucket is None:
+                    bucket = rows[width] = [], []
+                bucket[0].append(piece)
+                bucket[1].append(raw)
+        for width, (names, raws) in rows.items():
             step = max(1, (1 << 20) // width)
-            for at in range(0, len(bucket), step):
-                part = bucket[at : at + step]
-                for (piece, _), ids in zip(part, self._by_matrix([raw for _, raw in part], width), strict=True):
-                    out[piece] = tuple(ids)
+            for at in range(0, len(names), step):
+                out.update(zip(names[at : at + step], map(tuple, self._by_matrix(raws[at : at + step], width)), strict=True))
         return out
 
     def _by_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
