@@ -409,7 +409,7 @@ def payload(text: str) -> bytes:
 
 
 #: The forms of a payload's pages, in turn.
-FORMS = [{"compression": PACKBITS, "rows_per_strip": 4 * SIDE}, {"compression": LZW, "predictor": 2, "tile": (16, 32)}, {"compression": DEFLATE, "predictor": 2, "rows_per_strip": 14 * SIDE}]
+FORMS = [{"compression": PACKBITS, "rows_per_strip": 4 * SIDE}, {"compression": LZW, "rows_per_strip": 8 * SIDE}, {"compression": DEFLATE, "predictor": 2, "tile": (48, 32)}]
 #: Units of 576 bytes that a page of a payload holds at most.
 MOST_UNITS = 64
 
