@@ -1,6 +1,6 @@
 """N-gram Jaccard join with prefix filters under several global orders of the tokens.
 
-Tokens are 48-bit hashes of word shingles. Two documents of sizes n and m that reach a similarity t share a token of
+Tokens are 64-bit hashes of word shingles. Two documents of sizes n and m that reach a similarity t share a token of
 the first n - ceil(t n) + 1 of one and m - ceil(t m) + 1 of the other under *any* order that holds for all documents.
 The join uses three orders, each from rare tokens to frequent ones, with other hashes inside a frequency class; a
 pair is a candidate only if its prefixes meet under all three.
@@ -8,20 +8,24 @@ pair is a candidate only if its prefixes meet under all three.
 Steps, all of them linear in the input but for what really meets:
 
 1. Blocks of documents are cut into shingles; the tokens go out as packed runs by ranges of the token space, where
-   the documents of every token are counted. Tokens of a single document can be in no intersection: the others go
-   back to their blocks. A document with fewer than ceil(t n) of them links with nothing and is out.
+   the documents of every token are counted. A token that many documents of a block share goes out once, with their
+   number. Tokens of a single document can be in no intersection: the others go back to their blocks. A document with
+   fewer than ceil(t n) of them links with nothing and is out.
 2. Documents with equal sets form classes; one of a class goes on.
 3. Postings of the prefixes under the first order give, for each token, a star of pairs around one document; filters,
    then exact verification, then components. As only components are asked for, a second star is taken only from
    tokens whose documents still lie in several components.
 4. What is still apart is compared in blocks: tokens with the same documents count once, their documents are dealt
-   into chunks of bounded size, and every two chunks meet in a task, where counts of tokens by 64 hash classes bound
-   the overlap of each pair from above. Pairs that this bound and the filters leave are verified there. No link that
-   joins components is lost: every pair of a token's documents in different components is looked at.
+   into chunks of bounded size by component and size, and two chunks meet in a task if a pair of theirs can link. A pair
+   is looked at in the list of its first common token, so what its sets hold from there on bounds the overlap; counts
+   of tokens by 64 hash classes bound it too. Pairs that these bounds and the filters leave are verified there. No link
+   that joins components is lost: every pair of a token's documents in different components is looked at, or excluded
+   by a bound on its overlap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +41,10 @@ from pairforge.shared import release, ship, stash
 U = np.uint64
 #: Odd multipliers of the hashes.
 _R, _M1, _M2, _K = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
-_BITS = 48
 #: A block of documents ends when it has so many shingles or documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 60_000
+#: A token that so many documents of a block have leaves the block once, with their number.
+FREQUENT = 32
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -70,7 +75,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All shingles of the texts as (place of the text, 48-bit token), repeated ones too, and each text's number of words.
+    """All shingles of the texts as (place of the text, 64-bit token), repeated ones too, and each text's number of words.
 
     Words are runs of anything but blank and bytes 9 to 13, with A-Z in lower case. A text with fewer words than a
     shingle has, but some, gives all its words as a single one.
@@ -99,7 +104,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
         h = np.full(len(at), U(size))
         for i in range(size):
             h = mix(h * _K + word[at + i])
-        return h >> U(64 - _BITS)
+        return h
 
     at = np.arange(max(0, len(word) - words + 1))
     at = at[doc[at] == doc[at + words - 1]]
@@ -114,17 +119,17 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _planes(values: np.ndarray) -> bytes:
     """Ascending numbers as differences, byte plane by byte plane: the high planes are mostly zeros and compress."""
     steps = np.diff(values, prepend=U(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :6] = planes.T
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T)
     return np.cumsum(steps.view("<u8").ravel(), dtype=U)
 
 
-#: kind 0: a document (block, place, doc_id, n, d1, d2); kind 1: tokens of a block; kind 2: its shared tokens.
+# Kinds of rows: documents (block, place, doc_id, n, d1, d2), tokens of a block with their places and those that come back
+# as shared; a block's frequent tokens with their numbers, what comes back of them, and their places, which stay behind.
+DOCUMENT, TOKENS, SHARED, COUNTED, LEVELS, HELD = range(6)
 PARTS = "key bigint, kind int, block bigint, place int, doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens binary, places binary, classes binary"
 _parts = flat_schema(PARTS)
 
@@ -182,16 +187,34 @@ class _Block:
         sent = np.zeros(len(self.ids), bool)
         sent[one] = True
         keep = sent[docs]
-        docs, tokens = docs[keep].astype("<u2"), tokens[keep]
-        bucket = (tokens * U(self.buckets)) >> U(_BITS) if self.buckets < 1 << 16 else tokens % U(self.buckets)
+        docs, tokens = docs[keep], tokens[keep]
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+        times = np.diff(np.append(starts, len(tokens)))
+        frequent = np.repeat(times >= FREQUENT, times)
+        yield from self._runs(block, TOKENS, tokens[~frequent], docs[~frequent])
+        if frequent.any():
+            yield from self._runs(block, COUNTED, tokens[starts[times >= FREQUENT]], times[times >= FREQUENT])
+            held, places = tokens[frequent], docs[frequent]
+            for at in range(0, len(held), 1 << 18):
+                part = slice(at, at + (1 << 18))
+                yield _rows(key=[-1 - (block * 256 + 255)], kind=[HELD], block=[block], tokens=[_planes(held[part])], places=[_pairs_of_bytes(places[part])])
+        self.clear()
+
+    def _runs(self, block: int, kind: int, tokens: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Ascending tokens with a number of 16 bits each, cut by ranges of the token space."""
+        bucket = ((tokens >> U(32)) * U(self.buckets)) >> U(32)
         cut = np.append(np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)), len(tokens))
         for at in range(0, len(cut) - 1, 64):
             part = list(zip(cut[at : at + 64].tolist(), cut[at + 1 : at + 65].tolist(), strict=False))
             yield _rows(
-                key=[int(bucket[lo]) for lo, _ in part], kind=[1] * len(part), block=[block] * len(part),
-                tokens=[_planes(tokens[lo:hi]) for lo, hi in part], places=[np.ascontiguousarray(docs[lo:hi].view(np.uint8).reshape(-1, 2).T).tobytes() for lo, hi in part],
+                key=[int(bucket[lo]) for lo, _ in part], kind=[kind] * len(part), block=[block] * len(part),
+                tokens=[_planes(tokens[lo:hi]) for lo, hi in part], places=[_pairs_of_bytes(values[lo:hi]) for lo, hi in part],
             )
-        self.clear()
+
+
+def _pairs_of_bytes(values: np.ndarray) -> bytes:
+    """Numbers below 65,536, low bytes first, then high bytes."""
+    return np.ascontiguousarray(values.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
 
 
 def _places(raw: bytes) -> np.ndarray:
@@ -217,32 +240,36 @@ def _cut(words: int, buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one range of the token space: tokens of two documents or more, by block, with their frequency classes."""
-    if table.column("kind")[0].as_py() == 0:
+    """Of one range of the token space: tokens of two documents or more, by block, with their frequency classes.
+
+    Rows of documents and of tokens that stayed behind pass as they are.
+    """
+    if table.column("kind")[0].as_py() in (DOCUMENT, HELD):
         return table
-    blocks = table.column("block").to_numpy()
+    blocks, kinds = table.column("block").to_numpy(), table.column("kind").to_numpy()
     tokens = [_unplanes(x.as_py()) for x in table.column("tokens")]
     places = np.concatenate([_places(x.as_py()) for x in table.column("places")])
     source = np.repeat(np.arange(len(blocks)), [len(t) for t in tokens])
     tokens = np.concatenate(tokens)
+    weight = np.where(kinds[source] == COUNTED, places.astype(np.int64), 1)
     order = np.argsort(tokens, kind="stable")
     sorted_ = tokens[order]
     starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    frequency = np.repeat(np.diff(np.append(starts, len(sorted_))), np.diff(np.append(starts, len(sorted_))))
+    frequency = np.repeat(np.add.reduceat(weight[order], starts), np.diff(np.append(starts, len(sorted_))))
     keep = frequency > 1
     order, frequency = order[keep], frequency[keep]
     level = np.minimum(255, np.log2(frequency) * 8).astype(np.uint8)
     by = np.argsort(source[order], kind="stable")
     order, level = order[by], level[by]
     cut = np.searchsorted(source[order], np.arange(len(blocks) + 1))
-    out = [(b, lo, hi) for b, lo, hi in zip(blocks.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi > lo]
-    made = _rows(
-        key=[b for b, _, _ in out], kind=[2] * len(out), block=[b for b, _, _ in out],
-        tokens=[_planes(tokens[order[lo:hi]]) for _, lo, hi in out],
-        places=[np.ascontiguousarray(places[order[lo:hi]].view(np.uint8).reshape(-1, 2).T).tobytes() for _, lo, hi in out],
-        classes=[level[lo:hi].tobytes() for _, lo, hi in out],
-    ) if out else _parts.empty_table().to_batches()
-    return pa.Table.from_batches([made] if out else [], schema=_parts)
+    out = [(b, LEVELS if k == COUNTED else SHARED, lo, hi) for b, k, lo, hi in zip(blocks.tolist(), kinds.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi > lo]
+    made = [] if not out else [_rows(
+        key=[b for b, _, _, _ in out], kind=[k for _, k, _, _ in out], block=[b for b, _, _, _ in out],
+        tokens=[_planes(tokens[order[lo:hi]]) for _, _, lo, hi in out],
+        places=[_pairs_of_bytes(places[order[lo:hi]]) if k == SHARED else None for _, k, lo, hi in out],
+        classes=[level[lo:hi].tobytes() for _, _, lo, hi in out],
+    )]
+    return pa.Table.from_batches(made, schema=_parts)
 
 
 DOCS = "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens binary, classes binary"
@@ -258,15 +285,23 @@ def _gathered(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block: every document, with its shared tokens from rare to frequent if they can be enough."""
         kind = table.column("kind").to_numpy()
-        docs = table.filter(pa.array(kind == 0)).sort_by("place")
-        runs = table.filter(pa.array(kind == 2))
+        docs = table.filter(pa.array(kind == DOCUMENT)).sort_by("place")
+        runs, levels, held = (table.filter(pa.array(kind == k)) for k in (SHARED, LEVELS, HELD))
         n = docs.column("n").to_numpy()
         tokens: list = [None] * len(n)
         classes: list = [None] * len(n)
-        if len(runs):
-            token = np.concatenate([_unplanes(x.as_py()) for x in runs.column("tokens")])
-            place = np.concatenate([_places(x.as_py()) for x in runs.column("places")])
-            level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in runs.column("classes")])
+        if len(runs) or len(held):
+            joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
+            token = joined([_unplanes(x.as_py()) for x in runs.column("tokens")], U)
+            place = joined([_places(x.as_py()) for x in runs.column("places")], np.uint16)
+            level = joined([np.frombuffer(x.as_py(), np.uint8) for x in runs.column("classes")], np.uint8)
+            if len(held):
+                known = joined([_unplanes(x.as_py()) for x in levels.column("tokens")], U)
+                order = np.argsort(known)
+                of = joined([np.frombuffer(x.as_py(), np.uint8) for x in levels.column("classes")], np.uint8)[order]
+                more = joined([_unplanes(x.as_py()) for x in held.column("tokens")], U)
+                token, level = np.concatenate([token, more]), np.concatenate([level, of[np.searchsorted(known[order], more)]])
+                place = np.concatenate([place, joined([_places(x.as_py()) for x in held.column("places")], np.uint16)])
             enough = np.bincount(place, minlength=len(n)) >= np.maximum(_needed(n, percent), 1)
             keep = enough[place]
             token, place, level = token[keep], place[keep], level[keep]
@@ -298,7 +333,7 @@ def _marks(tokens: np.ndarray, salt: int) -> int:
     return int(np.bitwise_or.reduce(bits).astype(np.int64)) if len(bits) else 0
 
 
-POSTINGS = "token bigint, node bigint, n bigint, s bigint, marks2 bigint, marks3 bigint"
+POSTINGS = "token bigint, pos bigint, node bigint, n bigint, s bigint, marks2 bigint, marks3 bigint"
 _postings = flat_schema(POSTINGS)
 
 
@@ -306,12 +341,14 @@ def _post(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                columns: list[list] = [[], [], [], [], [], []]
+                columns: list[list] = [[] for _ in _postings]
                 for node, n, tokens, classes in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     first, second, third = _prefixes(n, tokens, classes, percent)
                     k = len(first)
                     columns[0] += first.tolist()
-                    for column, value in zip(columns[1:], (node, n, len(classes), _marks(second, 1), _marks(third, 2)), strict=True):
+                    # the token's place in the whole set: tokens of this document alone come before all others
+                    columns[1] += range(n - len(classes), n - len(classes) + k)
+                    for column, value in zip(columns[2:], (node, n, len(classes), _marks(second, 1), _marks(third, 2)), strict=True):
                         column += [value] * k
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _postings, strict=True)], schema=_postings)
 
@@ -355,7 +392,9 @@ def _could(percent: int):
 
 
 #: Documents of a chunk of a token's documents, and hash classes of a document's outline.
-CHUNK, CLASSES = 512, 64
+CHUNK, CLASSES = 256, 64
+#: Sets whose sizes differ by less than this factor are of one size class.
+STEP = 1.05
 OUTLINES = "node bigint, outline binary, tokens binary"
 _outlines = flat_schema(OUTLINES)
 _pairs = flat_schema("a bigint, b bigint")
@@ -370,7 +409,7 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(percent: int):
-    """Of sorted rows (list, lo, hi, side, node, component, n, marks2, marks3, outline, tokens): links between components.
+    """Of sorted rows (list, lo, hi, side, node, component, n, rest, marks2, marks3, outline, tokens): links between components.
 
     Pairs of both sides that no bound excludes are tested exactly, likely ones first. What a link has joined counts as
     one component for the rest of the group, so a group gives fewer links than it has documents.
@@ -383,7 +422,8 @@ def _blocks(percent: int):
         names, root = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
         if (root == root[0]).all():
             return
-        n, marks = group.column("n").to_numpy(), [group.column(c).to_numpy() for c in ("marks2", "marks3")]
+        n, rest = group.column("n").to_numpy(), group.column("rest").to_numpy() * (100 + percent)
+        marks = [group.column(c).to_numpy() for c in ("marks2", "marks3")]
         outline = np.frombuffer(b"".join(group.column("outline").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int32)
         tokens = group.column("tokens")
         sets: dict[int, np.ndarray] = {}
@@ -395,6 +435,8 @@ def _blocks(percent: int):
 
         for i in one.tolist():
             ok = (root[other] != root[i]) & (marks[0][other] & marks[0][i] != 0) & (marks[1][other] & marks[1][i] != 0)
+            both = (n[other] + n[i]) * percent
+            ok &= (rest[other] >= both) & (rest[i] >= both)
             if other is one:
                 ok &= other > i
             at = other[ok]
@@ -439,13 +481,51 @@ def _blocks(percent: int):
     return run
 
 
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """The documents of long lists as (list, lo, hi, side, node, component, n, rest, marks2, marks3), in chunks that meet two by two.
+
+    Chunks hold documents of one size class, and of one component or of small ones. Chunks of one large component don't
+    meet, nor do those whose sizes and remaining tokens exclude every pair of theirs. A document goes to a pair of chunks
+    only if its own remaining tokens can be enough for the least of the other chunk.
+    """
+    large = rows.groupBy("list", "component").agg(F.count("*").alias("_inside")).filter(F.col("_inside") * 2 >= CHUNK).select("list", "component", F.col("component").alias("own"))
+    rows = rows.join(large, ["list", "component"], "left").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int"))
+    cells = rows.groupBy("list", "own", "size_class").agg(F.count("*").alias("_inside"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    cells = stash(cells.withColumn("chunks", F.ceil(F.col("_inside") / CHUNK).cast("int")), "cells")
+    key = lambda sub: F.xxhash64("list", F.coalesce("own", F.lit(-1)), "size_class", sub)
+    sizes = cells.select(F.col("list").alias("_l"), F.col("own").alias("_o"), F.col("size_class").alias("_c"), "chunks")
+    placed = rows.join(sizes, (F.col("list") == F.col("_l")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("size_class") == F.col("_c")))
+    placed = placed.withColumn("unit", key(F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int"))).select("list", "unit", "node", "component", "n", "rest", "marks2", "marks3")
+
+    units = cells.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("unit", key(F.col("sub"))).select("list", "unit", "own", "size_class", "least", "most", "rest")
+    far = math.ceil(math.log(100 / percent) / math.log(STEP)) + 1
+    one = units.withColumn("met_class", F.explode(F.sequence(F.col("size_class"), F.col("size_class") + far)))
+    other = units.select("list", F.col("size_class").alias("met_class"), *(F.col(c).alias(f"{c}_") for c in ("unit", "own", "least", "most", "rest")))
+    pairs = one.join(other, ["list", "met_class"]).filter((F.col("size_class") < F.col("met_class")) | (F.col("unit") <= F.col("unit_")))
+    pairs = pairs.filter(~F.coalesce(F.col("own") == F.col("own_"), F.lit(False)) & (F.col("most") * 100 >= F.col("least_") * percent) & (F.col("most_") * 100 >= F.col("least") * percent))
+    pairs = pairs.filter(F.least("rest", "rest_") * (100 + percent) >= (F.col("least") + F.col("least_")) * percent)
+    pairs = stash(pairs.select("list", F.col("unit").alias("lo"), F.col("unit_").alias("hi"), F.col("least").alias("lo_least"), F.col("least_").alias("hi_least")), "units")
+
+    def side(which: int, mine: str, theirs: str) -> DataFrame:
+        met = pairs.withColumn("unit", F.col(mine)).withColumn("_theirs", F.col(theirs))
+        met = met if not which else met.filter("lo <> hi")
+        enough = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("_theirs")) * percent
+        return placed.join(met, ["list", "unit"]).filter(enough).select("list", "lo", "hi", F.lit(which).alias("side"), "node", "component", "n", "rest", "marks2", "marks3")
+
+    return side(0, "lo", "hi_least").unionByName(side(1, "hi", "lo_least"))
+
+
 def _apart(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between documents of a token in different components."""
-    lists = open_.groupBy("list1", "list2", "size").agg(F.min("token").alias("token")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rows = here.join(lists.select(F.col("token").alias("list"), "chunks"), F.col("token") == F.col("list")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int"))
-    rows = rows.join(sets.select("node", "tokens").mapInArrow(_outline, OUTLINES), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("list", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "marks2", "marks3", "outline", "tokens")
-    dealt = rows.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "side")
+    # of tokens with the same documents the first in the order: no pair meets first under one of the others
+    lists = open_.groupBy("list1", "list2", "size").agg(F.min(F.struct("first", "token")).alias("t")).select(F.col("t.token").alias("list"), "size")
+    rows = here.join(lists, F.col("token") == F.col("list")).select("list", "size", "node", "component", "n", (F.col("n") - F.col("pos")).alias("rest"), "marks2", "marks3")
+    rows = stash(rows, "members")
+    short = rows.filter(F.col("size") <= CHUNK).select("list", F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi"), F.lit(0).alias("side"), "node", "component", "n", "rest", "marks2", "marks3")
+    met = short.unionByName(_dealt(rows.filter(F.col("size") > CHUNK).drop("size"), percent))
+    met = met.join(sets.select("node", "tokens").mapInArrow(_outline, OUTLINES), "node")
+    met = met.select("list", "lo", "hi", "side", "node", "component", "n", "rest", "marks2", "marks3", "outline", "tokens")
+    dealt = met.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "side")
     return dealt.mapInArrow(_blocks(percent), "a bigint, b bigint")
 
 
@@ -492,9 +572,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
         if component is not None:
             here = stash(postings.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "postings")
             spent.append(here)
-        which = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "s", "marks2", "marks3", "component")
+        # first a star around any document, then one around the smallest set: what it can't reach, larger ones can't by size
+        by = F.xxhash64("node") if turn == 0 else F.col("n")
+        which = F.struct(by.alias("by"), "node", "n", "s", "marks2", "marks3", "component")
         open_ = here.groupBy("token").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(which).alias("lead"), F.count("*").alias("size"),
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(which).alias("lead"), F.count("*").alias("size"), F.min("pos").alias("first"),
             F.bit_xor(F.xxhash64("node")).alias("list1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("list2"),
         ).filter("lo <> hi")
         if turn < 2:

@@ -274,9 +274,9 @@ def test_blocks_never_outgrow_their_places(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(lo, hi)), "text": [f"w{i} x" for i in range(lo, hi)]}) for lo, hi in ((0, 59_990), (59_990, 69_990), (69_990, n))]
     ids, spots = {}, []
     for r in (r for part in jaccard._cut(2, 8)(iter(batches)) for r in part.to_pylist()):
-        if r["kind"] == 0:
+        if r["kind"] == jaccard.DOCUMENT:
             ids[r["block"], r["place"]] = r["doc_id"]
-        else:
+        elif r["kind"] != jaccard.COUNTED:
             spots += [((r["block"], p), t) for p, t in zip(jaccard._places(r["places"]).tolist(), jaccard._unplanes(r["tokens"]).tolist(), strict=True)]
     assert sorted(ids.values()) == list(range(n)) and max(p for _, p in ids) < 1 << 16
     want = jaccard.shingles(pa.array([f"w{i} x" for i in range(n)]), 2)[1].tolist()
