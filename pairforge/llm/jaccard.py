@@ -395,6 +395,7 @@ def _could(percent: int):
 CHUNK, CLASSES = 256, 64
 #: Sets whose sizes differ by less than this factor are of one size class.
 STEP = 1.05
+SALTS = 16
 OUTLINES = "node bigint, outline binary, tokens binary"
 _outlines = flat_schema(OUTLINES)
 _pairs = flat_schema("a bigint, b bigint")
@@ -489,12 +490,15 @@ def _dealt(rows: DataFrame, percent: int) -> DataFrame:
     only if its own remaining tokens can be enough for the least of the other chunk.
     """
     large = rows.groupBy("list", "component").agg(F.count("*").alias("_inside")).filter(F.col("_inside") * 2 >= CHUNK).select("list", "component", F.col("component").alias("own"))
-    rows = rows.join(large, ["list", "component"], "left").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int"))
+    # both joins' small sides stand there for each salt, so that one component's documents spread over several tasks
+    salt = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(SALTS)).cast("int")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", salt).join(salted(large), ["list", "component", "salt"], "left").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int"))
     cells = rows.groupBy("list", "own", "size_class").agg(F.count("*").alias("_inside"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     cells = stash(cells.withColumn("chunks", F.ceil(F.col("_inside") / CHUNK).cast("int")), "cells")
     key = lambda sub: F.xxhash64("list", F.coalesce("own", F.lit(-1)), "size_class", sub)
-    sizes = cells.select(F.col("list").alias("_l"), F.col("own").alias("_o"), F.col("size_class").alias("_c"), "chunks")
-    placed = rows.join(sizes, (F.col("list") == F.col("_l")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("size_class") == F.col("_c")))
+    sizes = salted(cells.select(F.col("list").alias("_l"), F.col("own").alias("_o"), F.col("size_class").alias("_c"), "chunks")).withColumnRenamed("salt", "_s")
+    placed = rows.join(sizes, (F.col("list") == F.col("_l")) & (F.col("salt") == F.col("_s")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("size_class") == F.col("_c")))
     placed = placed.withColumn("unit", key(F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int"))).select("list", "unit", "node", "component", "n", "rest", "marks2", "marks3")
 
     units = cells.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("unit", key(F.col("sub"))).select("list", "unit", "own", "size_class", "least", "most", "rest")
