@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 #: The characters of the Unicode property White_Space, as the library's regular expressions take them.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Bytes that the cache holds, estimated, before it is emptied; a block of texts may pass it by what that block holds.
-CACHED_BYTES = 160 << 20
+CACHED_BYTES = 96 << 20
 
 
 @cache
@@ -128,52 +128,31 @@ class Encoder:
         self.byte = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
         self.decimal = [str(i) for i in range(len(tokens))]
         self.ids: dict[str, tuple[int, ...]] = {}
-        self.said: dict[str, str] = {}
         self.held = 0
 
     def encode(self, text: str) -> list[int]:
-        chunks = self.chunks(text)
-        self.learn([chunks])
-        return list(chain.from_iterable(map(self.ids.__getitem__, chunks)))
-
-    def chunks(self, text: str) -> list[str]:
-        """Cuts a text where no match of the split pattern can cross, for the cache; ``spelled`` gives their text.
-
-        Where a single white-space character stands between two others, a match can start with it but none holds
-        both it and what is before it, and no match looks past the end of what is before it. So if blanks and line
-        ends stand singly and inside, the text is cut before each of them. Any other text is cut by the pattern.
-        """
-        if text.replace("\n", " ").split(" ") == text.split():
-            chunks = text.replace("\n", " \n").split(" ")
-            chunks[0] = "\r" + chunks[0]
-            return chunks
-        return ["\r" + piece for piece in self.split(text)]
+        pieces = self.split(text)
+        self.learn([pieces])
+        return self.joined(pieces)
 
     def split(self, text: str) -> list[str]:
         """The matches of the split pattern."""
         return (self.split_latin if text.isascii() or max(text) < "\u0100" else self.split_any)(text)
 
-    @staticmethod
-    def spelled(chunk: str) -> str:
-        """A chunk's text: "\\r" marks one without a leading blank, "\\n" is its own text, others have a blank."""
-        return chunk[1:] if chunk[0] == "\r" else chunk if chunk[0] == "\n" else " " + chunk
+    def joined(self, pieces: list[str]) -> list[int]:
+        """The ids of pieces that were learned."""
+        return list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Puts all chunks of a block of texts into the cache, which is emptied first if it is full."""
+        """Puts all pieces of a block of texts into the cache, which is emptied first if it is full."""
         if self.held > CACHED_BYTES:
-            self.ids, self.said, self.held = {}, {}, 0
-        new = list(set().union(*texts).difference(self.ids))
-        split = [self.split(self.spelled(chunk)) for chunk in new]
-        known = self._pieces(set(chain.from_iterable(split)))
-        ids = [known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
-        decimal = self.decimal
-        said = [" ".join([decimal[i] for i in x]) for x in ids]
-        self.ids.update(zip(new, ids, strict=True))
-        self.said.update(zip(new, said, strict=True))
-        self.held += 400 * len(new) + 4 * sum(map(len, new)) + 3 * sum(map(len, said))
+            self.ids, self.held = {}, 0
+        found = self._pieces(set(chain.from_iterable(texts)).difference(self.ids))
+        self.ids.update(found)
+        self.held += 300 * len(found) + 9 * sum(map(len, found))
 
     def _pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct matches of the pattern."""
@@ -311,11 +290,11 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, *, with_ids: bool =
         try:
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                cut = [own.chunks(text) for _, text in part]
+                cut = [own.split(text) for _, text in part]
                 own.learn(cut)
-                for (doc_id, _), chunks in zip(part, cut, strict=True):
-                    said = " ".join(filter(None, map(own.said.__getitem__, chunks)))
-                    ids = list(chain.from_iterable(map(own.ids.__getitem__, chunks)))
+                for (doc_id, _), pieces in zip(part, cut, strict=True):
+                    ids = own.joined(pieces)
+                    said = " ".join([own.decimal[i] for i in ids])
                     decoded = own.decode(ids)
                     row = (len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     out.append((doc_id, ids, *row) if with_ids else (doc_id, *row))

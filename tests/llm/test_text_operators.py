@@ -45,7 +45,7 @@ def test_bpe_equals_the_library(own, theirs):
 
 
 def test_bpe_with_a_full_cache_and_a_tiny_vocabulary(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_BYTES", 900)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 700)
     tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b"abcabc"]
     own = bpe.Encoder(tokens, r"\S+|\s+")
     for _ in range(2):
