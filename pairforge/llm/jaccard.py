@@ -42,7 +42,7 @@ U = np.uint64
 #: Odd multipliers of the hashes.
 _R, _M1, _M2, _K = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 #: A block of documents ends when it has so many shingles or documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 60_000
 #: A token that so many documents of a block have leaves the block once, with their number.
 FREQUENT = 32
 
@@ -153,7 +153,7 @@ class _Block:
         self.size = 0
 
     def add(self, ids: list, docs: np.ndarray, tokens: np.ndarray) -> None:
-        self.docs.append(docs + len(self.ids))
+        self.docs.append((docs + len(self.ids)).astype(np.uint16))
         self.tokens.append(tokens)
         self.ids += ids
         self.size += len(tokens)
@@ -168,11 +168,13 @@ class _Block:
         block = TaskContext.get().partitionId() << 24 | self.number
         self.number += 1
         docs, tokens = np.concatenate(self.docs), np.concatenate(self.tokens)
+        self.docs, self.tokens = [], []
         order = np.lexsort((docs, tokens))
         docs, tokens = docs[order], tokens[order]
         new = np.ones(len(docs), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (docs[1:] != docs[:-1])
         docs, tokens = docs[new], tokens[new]
+        del order, new
         n = np.bincount(docs, minlength=len(self.ids))
         digests = []
         for salt in (0x51ED, 0xC0FFEE):
