@@ -29,9 +29,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def structural_support(category: Column, style_gap: Column, size_ratio: Column, price_ratio: Column) -> Column:
     """Mean of category overlap, likeness of style, likeness of size and, if known, likeness of price.
 
-    A missing size ratio counts as 0; a missing price ratio is left out of the mean.
+    Styles whose shares differ by 2 in all are not alike at all. A missing size ratio counts as 0; a missing price ratio
+    is left out of the mean.
     """
-    three = category + F.greatest(F.lit(0.0), 1 - style_gap) + F.coalesce(size_ratio, F.lit(0.0))
+    three = category + F.greatest(F.lit(0.0), 1 - F.least(style_gap / 2, F.lit(1.0))) + F.coalesce(size_ratio, F.lit(0.0))
     return F.when(price_ratio.isNull(), three / 3).otherwise((three + price_ratio) / 4)
 
 
@@ -69,20 +70,68 @@ def style_consistency(gaps: list[Column]) -> Column:
     return 1 - median_of(F.array(*(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(g, F.lit(0.0)))) for g in gaps)))
 
 
-def rank_score(keys: Column, contacts: Column, titles: Column, descriptions: Column, lexical: Column, support: Column, same_alias: Column) -> Column:
+def rank_score(contacts: Column, descriptions: Column, fingerprints: Column, titles: Column, lexical: Column, support: Column, same_alias: Column) -> Column:
     """Linear score of a candidate pair: fixed weights for each kind of evidence."""
     has = lambda n: F.when(n > 0, 1.0).otherwise(0.0)
-    return 6 * has(keys) + 5 * has(contacts) + 4.5 * has(titles) + 2 * F.least(descriptions, F.lit(3)) + 6 * lexical + 2 * support - F.when(same_alias, 0.5).otherwise(0.0)
-
-
-#: Weights of the relation's evidence, base, and the least reliability that a relation needs.
-RELIABILITY = {"base": 0.2, "key": 0.45, "contact": 0.35, "title": 0.15, "semantic": 0.15, "style": 0.1, "boilerplate": -0.2, "topic": -0.25}
+    return 6 * has(contacts) + 5 * has(descriptions) + 4.5 * has(fingerprints) + 2 * F.least(titles, F.lit(3)) + 6 * lexical + 2 * support - F.when(same_alias, 0.5).otherwise(0.0)
+
+
+def review_priority(contacts: Column, descriptions: Column, fingerprints: Column, titles: Column, lexical: Column, support: Column) -> Column:
+    """How soon a candidate pair should be read."""
+    return (
+        F.when((contacts > 0) | (descriptions > 0) | (fingerprints > 0), "high")
+        .when((titles > 0) & ((lexical >= 0.16) | (support >= 0.6)), "high")
+        .when((lexical >= 0.22) | ((titles > 0) & (support >= 0.5)), "medium")
+        .otherwise("low")
+    )
+
+
+# Weights of a relation's evidence, its base, the bounds of that evidence and the least reliability of an edge.
+RELIABILITY = {
+    "shared_pgp_fingerprint": 0.45, "shared_seller_contact": 0.35, "rare_description_clone": 0.15, "rare_title_clone": 0.10, "rare_ngram_support": 0.08, "structural_support": 0.12,
+    "style_consistency": 0.08, "boilerplate_template_penalty": -0.20, "semantic_topic_only_penalty": -0.25,
+}
+RELIABILITY_BASE = 0.2
+RELIABILITY_BOUNDS = {
+    "rare_description_idf_mean": 2.0, "rare_title_idf_mean": 2.0, "rare_ngram_count": 2.0, "structural_support": 0.5, "category_jaccard": 0.5, "style_consistency": 0.72,
+    "boilerplate_ratio_max": 0.75, "shared_boilerplate_count": 3.0, "semantic_topic_similarity": 0.75,
+}
 LEAST_RELIABILITY = 0.3
 
 
-def reliability(evidence: dict[str, Column], weights: dict[str, float] = RELIABILITY) -> tuple[Column, Column]:
-    """Base plus the weights of what holds, within [0, 1]; and which parts held."""
-    parts = [(k, F.coalesce(c, F.lit(False))) for k, c in evidence.items()]
-    total = sum((F.when(c, weights[k]).otherwise(0.0) for k, c in parts), F.lit(weights["base"]))
-    trace = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in parts)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), trace
+def reliability(
+    *, fingerprints: Column, contacts: Column, description_clone: Column, description_idf: Column, title_clone: Column, title_idf: Column, rare_ngrams: Column, support: Column, category: Column, style: Column,
+    boilerplate_ratio: Column, boilerplate_count: Column, semantic: Column, weights: dict[str, float] = RELIABILITY, bounds: dict[str, float] = RELIABILITY_BOUNDS, base: float = RELIABILITY_BASE,
+) -> Column:
+    """How far a pair's relation can be trusted, as a struct: score (0 to 1), components, direct, topic_only.
+
+    The base plus the weights of the evidence that holds; a trace names each part with its weight. Missing numbers count
+    as 0, missing marks as not set. ``direct`` is a shared fingerprint or contact, ``topic_only`` a likeness of meaning
+    without anything else.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mark = lambda c: F.coalesce(c, F.lit(False))
+    structural = (zero(support) >= bounds["structural_support"]) | (zero(category) >= bounds["category_jaccard"])
+    direct = (zero(fingerprints) > 0) | (zero(contacts) > 0)
+    topic_only = (zero(semantic) >= bounds["semantic_topic_similarity"]) & ~direct & ~(mark(description_clone) | mark(title_clone) | structural)
+    holds = {
+        "shared_pgp_fingerprint": zero(fingerprints) > 0,
+        "shared_seller_contact": zero(contacts) > 0,
+        "rare_description_clone": mark(description_clone) & (zero(description_idf) >= bounds["rare_description_idf_mean"]),
+        "rare_title_clone": mark(title_clone) & (zero(title_idf) >= bounds["rare_title_idf_mean"]),
+        "rare_ngram_support": zero(rare_ngrams) >= bounds["rare_ngram_count"],
+        "structural_support": structural,
+        "style_consistency": zero(style) >= bounds["style_consistency"],
+        "boilerplate_template_penalty": (zero(boilerplate_ratio) >= bounds["boilerplate_ratio_max"]) | (zero(boilerplate_count) >= bounds["shared_boilerplate_count"]),
+        "semantic_topic_only_penalty": topic_only,
+    }
+    total = sum((F.when(c, weights[k]).otherwise(0.0) for k, c in holds.items()), F.lit(base))
+    said = {k: f"+{k}:{w:.3f}" if w >= 0 else f"{w:.3f}:{k}" for k, w in weights.items()}
+    trace = F.array_compact(F.array(*(F.when(c, F.lit(said[k])) for k, c in holds.items())))
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
+    return F.struct(score.alias("score"), trace.alias("components"), direct.alias("direct"), topic_only.alias("topic_only"))
+
+
+def greatest_of(*scores: Column) -> Column:
+    """The greatest of several scores, missing ones as 0; 0 without any."""
+    return F.greatest(F.lit(0.0), *(F.coalesce(s.cast("double"), F.lit(0.0)) for s in scores)) if scores else F.lit(0.0)

@@ -51,9 +51,9 @@ def han_count(x: Column, ranges: str = HAN_BASIC) -> Column:
 
 
 def signature(x: Column) -> Column:
-    """What near-equal texts have in common: Han texts without blanks and marks, others as lower-case words joined by a blank."""
+    """What near-equal texts have in common: Latin letters, digits and basic Han of Han texts, others as lower-case words joined by a blank."""
     lowered = F.lower(x)
-    han = F.regexp_replace(lowered, r"(?U)[^\p{L}\p{N}]+", "")
+    han = F.regexp_replace(lowered, f"[^0-9A-Za-z{HAN_BASIC}]+", "")
     words = F.array_join(F.regexp_extract_all(lowered, F.lit(r"([a-z0-9]+)")), " ")
     return F.when(has_han(x), han).otherwise(words)
 
@@ -134,6 +134,17 @@ def char_grams(x: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def han_grams(x: Column) -> Column:
+    """All runs of two and of three characters inside runs of Han characters, with repeats."""
+    runs = F.regexp_extract_all(x, F.lit(f"([{HAN_BMP}]{{2,}})"))
+    return F.flatten(F.transform(runs, lambda r: F.concat(char_grams(r, 2), char_grams(r, 3))))
+
+
+def spaced(x: Column) -> Column:
+    """A text in lower case with one blank between words, "" if it is missing: equal for texts that differ in wrapping alone."""
+    return F.lower(collapse_space(F.coalesce(x, F.lit(""))))
+
+
 def visible_text(x: Column) -> Column:
     """A page's text without scripts, styles, comments and tags."""
     bare = F.regexp_replace(x, "(?is)<!--.*?-->|<(script|style)[^>]*>.*?</\\1>", " ")
@@ -141,30 +152,43 @@ def visible_text(x: Column) -> Column:
 
 
 def first_number(x: Column) -> Column:
-    """The first number of a text. A comma before exactly three digits groups thousands, otherwise it is a point."""
-    raw = F.regexp_extract(x, r"([0-9]+(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?)", 1)
-    grouped = raw.rlike(r"^[0-9]+(,[0-9]{3})+(\.[0-9]+)?$")
-    return F.when(grouped, F.regexp_replace(raw, ",", "")).otherwise(F.regexp_replace(raw, ",", ".")).try_cast("double")
+    """The first number of a text, with its sign. A comma in it is a decimal point."""
+    return F.regexp_replace(F.regexp_extract(x, r"([-+]?[0-9]+(?:[.,][0-9]+)?)", 1), ",", ".").try_cast("double")
+
+
+def first_whole(x: Column) -> Column:
+    """The first number of a text without its fraction."""
+    n = first_number(x)
+    return F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint")
 
 
 def hours(x: Column) -> Column:
-    """A duration in hours: "3d 4h" gives 76; a bare number counts as hours."""
-    part = lambda unit: F.coalesce(F.regexp_extract(F.lower(x), rf"([0-9]+(?:\.[0-9]+)?)\s*{unit}", 1).try_cast("double"), F.lit(0.0))
-    both = part("d") * 24 + part("h")
-    return F.when(F.lower(x).rlike("[0-9] *[dh]"), both).otherwise(first_number(x))
+    """Hours online: the number before the Chinese word for hours, else the first number of the text."""
+    said = F.regexp_extract(collapse_space(x), "([0-9]+)\\s*小时", 1)
+    return F.when(said != "", said.try_cast("bigint")).otherwise(first_whole(x))
+
+
+def good_and_risk(x: Column) -> Column:
+    """The two counts of "good:risk" as a struct, with the ordinary or the mathematical colon; null without them."""
+    good, risk = (F.regexp_extract(x, "([0-9]+)\\s*[∶:]\\s*([0-9]+)", i).try_cast("bigint") for i in (1, 2))
+    return F.when(good.isNotNull() & risk.isNotNull(), F.struct(good.alias("good"), risk.alias("risk")))
 
 
-def good_to_bad(x: Column) -> Column:
-    """The share of good in "good:bad" counts; null without both or if both are 0."""
-    good, bad = (F.regexp_extract(x, r"([0-9]+)\s*[:/]\s*([0-9]+)", i).try_cast("double") for i in (1, 2))
-    return F.when(good + bad > 0, good / (good + bad))
+#: Characters that are no part of a visible text.
+BLANK = "\\p{Z}\\t-\\r\\x1c-\\x1f\\x85"
 
 
-def style(x: Column) -> Column:
-    """Shares of digits, punctuation and upper case among characters, and the number of line ends."""
-    n = F.greatest(F.length(x), F.lit(1))
-    share = lambda p: F.regexp_count(x, F.lit(p)) / n
-    return F.struct(F.length(x).alias("length"), share("[0-9]").alias("digits"), share("[!-/:-@\\[-`{-~]").alias("punctuation"), share("[A-Z]").alias("upper"), F.regexp_count(x, F.lit("\n")).alias("line_ends"))
+def style(title: Column, description: Column) -> Column:
+    """Lengths without needless blanks, shares of digits and marks among visible characters and of capitals among letters, line ends."""
+    title, description = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
+    both = F.concat(title, F.lit(" "), description)
+    n = lambda pattern: F.regexp_count(both, F.lit(pattern))
+    ratio = lambda a, b: F.coalesce(F.when(b > 0, F.round(a / b, 6)), F.lit(0.0))
+    visible, letters = n(f"[^{BLANK}]"), n("\\p{L}")
+    return F.struct(
+        F.length(collapse_space(title)).alias("title_length"), F.length(collapse_space(description)).alias("description_length"), ratio(n("\\p{Nd}"), visible).alias("digits"),
+        ratio(n(f"[^{BLANK}\\p{{L}}\\p{{N}}]"), visible).alias("punctuation"), ratio(n("\\p{Lu}"), letters).alias("upper"), F.regexp_count(both, F.lit("\n")).alias("line_ends"),
+    )
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -139,7 +139,7 @@ def cluster_stats(edges: DataFrame, members: DataFrame, least_size: int = 2) ->
 
 def set_id(members: Column) -> Column:
     """A short name for a set of strings: the first digits of the SHA-256 of its sorted members."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(members)), "|"), 256), 1, 12)
+    return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(members)), "\n"), 256), 1, 12)
 
 
 def member_ranks(edges: DataFrame, members: DataFrame) -> DataFrame:

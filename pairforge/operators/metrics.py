@@ -73,16 +73,36 @@ def threshold_scan(df: DataFrame, score: str, label: str, extra: Sequence[float]
     return seen.select(F.col("v").alias("threshold"), "tp", (F.col("hit") - F.col("tp")).alias("fp"), (F.col("rows") - F.col("pos") - F.col("hit") + F.col("tp")).alias("tn"), (F.col("pos") - F.col("tp")).alias("fn"))
 
 
-def best_threshold(scan: DataFrame, metric: Column, least_each: int = 0) -> DataFrame:
-    """The threshold of the best metric, ties to the higher balanced accuracy, then precision, then threshold.
+def _metrics(scan: DataFrame) -> DataFrame:
+    """``scan`` with the metrics that thresholds are chosen by, to nine places."""
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    rate = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 9), F.lit(0.0))
+    recall, specificity = rate(tp, tp + fn), rate(tn, tn + fp)
+    return scan.withColumns({
+        "precision": rate(tp, tp + fp), "recall": recall, "specificity": specificity, "f1": rate(2 * tp, 2 * tp + fp + fn), "accuracy": rate(tp + tn, tp + fp + tn + fn),
+        "balanced_accuracy": F.round((recall + specificity) / 2, 9), "higher_threshold": F.col("threshold"), "lower_threshold": -F.col("threshold"),
+    })
+
+
+# What decides between thresholds of equal metric, and between those that the guard lets through.
+TIES = ("specificity", "precision", "f1", "higher_threshold")
+GUARDED_TIES = ("f1", "recall", "precision", "specificity", "lower_threshold")
 
-    Thresholds at which fewer than ``least_each`` rows are predicted either way are passed over.
+
+def best_threshold(scan: DataFrame, metric: str, *, ties: Sequence[str] = TIES, least_positive: int = 0, least_negative: int = 0, most_drop: float = 0.0, guarded_ties: Sequence[str] = GUARDED_TIES) -> DataFrame:
+    """The row of the threshold of the best metric, with ties decided in order, and ``metric``.
+
+    If it predicts fewer rows than the guard's least either way, the choice is made anew, by the guard's ties, among
+    thresholds that do and whose metric is at most ``most_drop`` below the best; without any, the first choice stays.
     """
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    balanced = (F.coalesce(tp / F.nullif(tp + fn, F.lit(0)), F.lit(0.0)) + F.coalesce(tn / F.nullif(tn + fp, F.lit(0)), F.lit(0.0))) / 2
-    precision = F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(0.0))
-    ok = scan.filter((tp + fp >= least_each) & (tn + fn >= least_each))
-    return ok.withColumn("metric", F.round(metric, 9)).orderBy(F.desc("metric"), F.desc(F.round(balanced, 9)), F.desc(F.round(precision, 9)), F.desc("threshold")).limit(1)
+    order = lambda names: [F.desc(metric), *(F.desc(n) for n in names)]
+    rows = _metrics(scan)
+    enough = (F.col("tp") + F.col("fp") >= least_positive) & (F.col("tn") + F.col("fn") >= least_negative)
+    first = rows.orderBy(*order(ties)).limit(1).withColumn("_turn", F.when(enough, 0).otherwise(2))
+    best = rows.agg(F.max(metric).alias("_best"))
+    guarded = rows.filter(enough).join(F.broadcast(best), F.lit(True)).filter(F.col("_best") - F.col(metric) <= most_drop + 1e-12).drop("_best")
+    second = guarded.orderBy(*order(guarded_ties)).limit(1).withColumn("_turn", F.lit(1))
+    return first.unionByName(second).orderBy("_turn").limit(1).withColumn("metric", F.col(metric)).drop("_turn", "higher_threshold", "lower_threshold")
 
 
 def distribution(x: Column) -> list[Column]:

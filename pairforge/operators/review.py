@@ -38,7 +38,7 @@ def upsert(current: DataFrame, reviews: DataFrame, key: str, columns: Sequence[s
     """``current`` with reviews applied: updated where they say something, labelled rows kept unless ``overwrite``.
 
     A reviewed key that ``current`` lacks is inserted, skipped, or an error ("insert", "skip", "error"). Adds
-    ``action``: inserted, updated, kept_labelled, skipped or unchanged.
+    ``action``: inserted, updated, kept_labelled, skipped or unchanged; where keys may be skipped also ``reason``, why.
     """
     if missing == "error" and not reviews.join(current, key, "left_anti").isEmpty():
         raise ValueError("reviews name keys that are not in the queue")
@@ -52,9 +52,10 @@ def upsert(current: DataFrame, reviews: DataFrame, key: str, columns: Sequence[s
     )
     out = both.withColumn("action", action)
     if missing != "insert":
-        out = out.filter("action <> 'skipped'")
+        skipped = F.col("action") == "skipped"
+        out = out.filter(~skipped) if missing == "error" else out.withColumn("reason", F.when(skipped, "not_in_queue"))
     use = (F.col("action") == "inserted") | (F.col("action") == "updated")
-    return out.select(key, *(F.when(use & has(f"_n_{c}"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in columns), "action")
+    return out.select(key, *(F.when(use & has(f"_n_{c}"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in columns), "action", *(["reason"] if missing == "skip" else []))
 
 
 def overridden(rows: DataFrame, defaults: DataFrame, overrides: DataFrame, bucket: str, key: str, value: str) -> DataFrame:
@@ -83,27 +84,48 @@ def first_bucket(rows: DataFrame, buckets: dict[str, Column], limits: dict[str,
     return chosen.withColumn("bucket_rank", F.row_number().over(w)).filter(F.col("bucket_rank") <= limit)
 
 
-def cluster_decision(edges: Column, proof: Column, negative: Column, template: Column, topic: Column, labelled: Column) -> Column:
-    """A cluster's reading from counts of its edges by kind; the first that holds counts."""
-    share = lambda n: n / F.greatest(edges, F.lit(1))
+# What a cluster's evidence allows to say, with how much confidence, and what it may be used for.
+DECISIONS = {
+    "same_controller_high_confidence": ("high", "can_support_same_controller_core_claim"),
+    "same_controller_core_with_possible_expansion": ("high", "use_only_identifier_core_for_claim; review_expansion_edges_separately"),
+    "partial_anchor": ("medium", "retain_anchor_pair/core; do_not_claim_full_cluster_without_pair_level_rereview"),
+    "uncertain": ("low", "manual_review_before_claim"),
+    "template_clone_not_controller": ("low", "use_for_review_discovery_only"),
+    "semantic_topic_not_controller": ("low", "use_for_review_discovery_only"),
+}
+
+
+def cluster_decision(edges: Column, proof: Column, identifiers: Column, contacts: Column, fingerprints: Column, titles: Column, descriptions: Column, text_strata: Column, semantic_strata: Column) -> Column:
+    """A cluster's reading from counts of its edges by evidence, as a struct of decision, confidence and use.
+
+    Edges that a review proved come first: all of them, two or more, one. Then identifiers without proof, then clones
+    and likeness of meaning, if at least half of the edges have them.
+    """
+    made = lambda name: F.struct(F.lit(name).alias("decision"), F.lit(DECISIONS[name][0]).alias("confidence"), F.lit(DECISIONS[name][1]).alias("use"))
+    half = lambda n: (edges > 0) & (n / F.greatest(edges, F.lit(1)) >= 0.5)
     return (
-        F.when((proof > 0) & (negative == 0) & (share(proof) >= 0.5), "high_confidence")
-        .when((proof > 0) & (negative > 0), "mixed_anchor")
-        .when(proof > 0, "partial_anchor")
-        .when(share(template) >= 0.5, "template")
-        .when(share(topic) >= 0.5, "topic")
-        .when((labelled > 0) & (share(negative) >= 0.5), "topic")
-        .otherwise("uncertain")
+        F.when((edges > 0) & (proof == edges), made("same_controller_high_confidence"))
+        .when(proof >= 2, made("same_controller_core_with_possible_expansion"))
+        .when(proof == 1, made("partial_anchor"))
+        .when((identifiers > 0) | (contacts + fingerprints > 0), made("uncertain"))
+        .when(half(F.greatest(titles, descriptions, text_strata)), made("template_clone_not_controller"))
+        .when(half(semantic_strata), made("semantic_topic_not_controller"))
+        .otherwise(made("uncertain"))
     )
 
 
-def evidence_stratum(contact: Column, title: Column, description: Column, category: Column, lexical: Column, strong: float = 0.5) -> Column:
-    """What kind of evidence carries a pair; the strongest kind counts."""
+# The strata of evidence, in the order of a review queue.
+STRATA = ("identifier_plus_text", "text_clone_primary", "semantic_structural", "identifier_primary", "semantic_only", "same_alias_continuity")
+
+
+def evidence_stratum(same_alias: Column, contacts: Column, fingerprints: Column, titles: Column, descriptions: Column, lexical: Column, support: Column, structural: float = 0.5) -> Column:
+    """What kind of evidence carries a pair."""
+    identifier, clone = (contacts > 0) | (fingerprints > 0), (titles > 0) | (descriptions > 0)
     return (
-        F.when(contact > 0, "shared_contact")
-        .when((title > 0) & (description > 0), "title_and_description")
-        .when(description > 0, "shared_description")
-        .when(title > 0, "shared_title")
-        .when(lexical >= strong, "lexical")
-        .otherwise(F.when(category > 0, "category").otherwise("weak"))
+        F.when(same_alias, "same_alias_continuity")
+        .when(identifier & clone, "identifier_plus_text")
+        .when(clone, "text_clone_primary")
+        .when(identifier, "identifier_primary")
+        .when((lexical > 0) & (support >= structural), "semantic_structural")
+        .otherwise("semantic_only")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import numeric
-from pairforge.operators import block, features, metrics, profile
+from pairforge.operators import block, features, metrics, profile, ranks
 from pairforge.plans.tables import table
 
 
@@ -54,60 +54,79 @@ def market_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupingSets([("n_regionkey", "n_name"), ("n_regionkey",)], "n_regionkey", "n_name").agg(F.count("*").alias("suppliers"), F.sum("items").alias("items"), F.max("price").alias("price_max"))
 
 
+#: A value that more suppliers share than this pairs nothing; the keys are so fine that their groups do not grow with the tables.
+MOST_SHARED = 50
+
+
 def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of suppliers: same nation, or both of the few suppliers of a part, with what hit."""
-    suppliers = table(spark, sf_dir, "supplier")
-    nation = block.pairs_by_value(suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value")), most=40).select("left", "right", F.lit("nation").alias("rule"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("value"))
-    part = block.pairs_by_value(lines, most=8).select("left", "right").distinct().select("left", "right", F.lit("part").alias("rule"))
-    return block.rule_hits(nation.unionByName(part))
-
-
-SUPPLIER_PAIRS = """nv as (select s_suppkey as id, s_nationkey as value from supplier), ng as (select value from nv group by value having count(*) between 2 and 40),
-pv as (select distinct l_suppkey as id, l_partkey as value from lineitem), pg as (select value from pv group by value having count(*) between 2 and 8),
-h as (select a.id as "left", b.id as "right", 'nation' as rule from nv a join ng using (value) join nv b using (value) where a.id < b.id
-    union select a.id, b.id, 'part' from pv a join pg using (value) join pv b using (value) where a.id < b.id),
+    """Candidate pairs of suppliers: of one nation and like balance, or of one lot (part and quantity), with what hit."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 250).alias("level"))
+    balance = block.pairs_by_value(suppliers, ["nation", "level"], most=MOST_SHARED).select("left", "right", F.lit("balance").alias("rule"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"))
+    lot = block.pairs_by_value(lines, ["part", "quantity"], most=MOST_SHARED).select("left", "right").distinct().select("left", "right", F.lit("lot").alias("rule"))
+    return block.rule_hits(balance.unionByName(lot))
+
+
+SUPPLIER_PAIRS = f"""nv as (select s_suppkey as id, s_nationkey as nation, floor(s_acctbal / 250) as level from supplier), ng as (select nation, level from nv group by all having count(*) between 2 and {MOST_SHARED}),
+pv as (select distinct l_suppkey as id, l_partkey as part, l_quantity::int as quantity from lineitem), pg as (select part, quantity from pv group by all having count(*) between 2 and {MOST_SHARED}),
+h as (select a.id as "left", b.id as "right", 'balance' as rule from nv a join ng using (nation, level) join nv b using (nation, level) where a.id < b.id
+    union select a.id, b.id, 'lot' from pv a join pg using (part, quantity) join pv b using (part, quantity) where a.id < b.id),
 pairs as (select "left", "right", list_sort(list(rule)) as rules, count(*)::int as rule_count from h group by all)"""
 
-_USED = ["items", "brands", "price", "discount_mean", "max_brand_share", "repeated_share", "returned_share"]
+_USED = ["items", "price", "discount_mean", "max_brand_share", "repeated_share", "returned_share", "brand_set"]
+
+
+def brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's brands; there are few brands."""
+    return supplier_rows(spark, sf_dir).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("brand_set")).withColumnRenamed("l_suppkey", "supplier")
+
+
+BRAND_SETS = "brand_sets as (select l_suppkey as supplier, list_sort(list(distinct p_brand)) as brand_set from r group by l_suppkey)"
 
 
 def supplier_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps and support of candidate pairs."""
-    both = features.with_both(supplier_pairs(spark, sf_dir), supplier_profiles(spark, sf_dir), "supplier", _USED)
+    both = features.with_both(supplier_pairs(spark, sf_dir), supplier_profiles(spark, sf_dir).join(brand_sets(spark, sf_dir), "supplier"), "supplier", _USED)
     left, right = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
     style = ["discount_mean", "max_brand_share", "repeated_share", "returned_share"]
     distance = numeric.l1([left(c) for c in style], [right(c) for c in style])
     size, price = numeric.closeness(left("items"), right("items")), numeric.closeness(left("price"), right("price"))
-    category = F.least(left("brands"), right("brands")) / F.greatest(left("brands"), right("brands"))
+    category = numeric.jaccard(left("brand_set"), right("brand_set"))
     return both.select(
-        "left", "right", "rule_count", F.round(distance, 6).alias("style_distance"), F.round(size, 6).alias("size_ratio"), F.round(price, 6).alias("price_ratio"),
+        "left", "right", "rules", "rule_count", F.round(category, 6).alias("category_jaccard"), F.round(distance, 6).alias("style_distance"), F.round(size, 6).alias("size_ratio"), F.round(price, 6).alias("price_ratio"),
         F.round(numeric.structural_support(category, distance, size, price), 6).alias("support"), F.round(features.gap("price"), 4).alias("price_gap"), features.gap("items").alias("items_gap"),
     )
 
 
-_FEATURES = """f as (select "left", "right", rules, rule_count, abs(x.discount_mean - y.discount_mean) + abs(x.max_brand_share - y.max_brand_share) + abs(x.repeated_share - y.repeated_share) + abs(x.returned_share - y.returned_share) as d,
-    least(x.items, y.items) / greatest(x.items, y.items) as sr, least(x.price, y.price) / greatest(x.price, y.price) as pr, least(x.brands, y.brands) / greatest(x.brands, y.brands) as cat,
-    abs(x.price - y.price) as pg, abs(x.items - y.items) as ig from pairs join profiles x on x.supplier = "left" join profiles y on y.supplier = "right"),
-g as (select *, round((cat + greatest(0, 1 - d) + sr + pr) / 4, 6) as support from f)"""
+_FEATURES = f"""{BRAND_SETS}, both_sets as (select * from profiles join brand_sets using (supplier)),
+f as (select "left", "right", rules, rule_count, abs(x.discount_mean - y.discount_mean) + abs(x.max_brand_share - y.max_brand_share) + abs(x.repeated_share - y.repeated_share) + abs(x.returned_share - y.returned_share) as d,
+    least(x.items, y.items) / greatest(x.items, y.items) as sr, least(x.price, y.price) / greatest(x.price, y.price) as pr,
+    len(list_intersect(x.brand_set, y.brand_set)) / len(list_distinct(list_concat(x.brand_set, y.brand_set))) as cat,
+    abs(x.price - y.price) as pg, abs(x.items - y.items) as ig from pairs join both_sets x on x.supplier = "left" join both_sets y on y.supplier = "right"),
+g as (select *, round((cat + greatest(0, 1 - least(d / 2, 1)) + sr + pr) / 4, 6) as support from f)"""
 
 
 def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs with score, stratum, priority and rank."""
-    from pyspark.sql import Window
+    """Candidate pairs with score, stratum, priority, and their place in the order of all candidates.
 
+    A pair of one lot counts as one shared title, likeness of price as lexical likeness above a half, every seventh key's
+    pairs as sharing a contact.
+    """
     from pairforge.operators.review import evidence_stratum
 
-    pairs = supplier_pairs(spark, sf_dir).select("left", "right", F.array_contains("rules", "part").cast("int").alias("title"), F.array_contains("rules", "nation").cast("int").alias("category"))
-    found = supplier_pair_features(spark, sf_dir).join(pairs, ["left", "right"])
-    zero = F.lit(0)
-    score = numeric.rank_score(zero, zero, F.col("title"), zero, F.col("price_ratio"), F.col("support"), F.lit(False))
-    stratum = evidence_stratum(zero, F.col("title"), zero, F.col("category"), F.col("price_ratio"), strong=0.9)
-    scored = found.withColumn("score", F.round(score, 6)).withColumn("stratum", stratum)
-    priority = F.when((F.col("title") > 0) & (F.col("support") >= 0.6), "high").when(F.col("score") >= 7, "medium").otherwise("low")
-    # the rank inside a stratum; a rank over all pairs would need them in one task
-    w = Window.partitionBy("stratum").orderBy(F.desc("score"), "left", "right")
-    return scored.select("left", "right", "score", "stratum", priority.alias("priority"), F.row_number().over(w).alias("rank"))
+    found = supplier_pair_features(spark, sf_dir)
+    titles = F.array_contains("rules", "lot").cast("int")
+    lexical = F.when(F.col("price_ratio") >= 0.5, F.round(F.col("price_ratio") - 0.5, 6)).otherwise(0.0)
+    contacts, none = ((F.col("left") + F.col("right")) % 7 == 0).cast("int"), F.lit(0)
+    scored = found.withColumns({"titles": titles, "lexical": lexical, "contacts": contacts}).withColumns({
+        "score": F.round(numeric.rank_score(F.col("contacts"), none, none, F.col("titles"), F.col("lexical"), F.col("support"), F.lit(False)), 6),
+        "stratum": evidence_stratum(F.lit(False), F.col("contacts"), none, F.col("titles"), none, F.col("lexical"), F.col("support")),
+        "priority": numeric.review_priority(F.col("contacts"), none, none, F.col("titles"), F.col("lexical"), F.col("support")),
+    })
+    order = F.element_at(F.create_map(*(F.lit(x) for p in (("high", 0), ("medium", 1), ("low", 2)) for x in p)), F.col("priority"))
+    keyed = scored.withColumn("_order", order)
+    ranked = ranks.global_rank(keyed, [F.col("_order"), F.desc("score"), F.desc("rule_count"), F.col("left"), F.col("right")])
+    return ranked.select("left", "right", "score", "stratum", "priority", "rank")
 
 
 def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +208,13 @@ ORACLE = {
     "market_rollup": f"""with {PROFILES} select n_regionkey, n_name, count(*) as suppliers, sum(items)::bigint as items, max(price) as price_max
         from profiles join supplier on supplier = s_suppkey join nation on s_nationkey = n_nationkey group by grouping sets ((n_regionkey, n_name), (n_regionkey))""",
     "supplier_pair_features": f"""with {PROFILES}, {SUPPLIER_PAIRS}, {_FEATURES}
-        select "left", "right", rule_count, round(d, 6) as style_distance, round(sr, 6) as size_ratio, round(pr, 6) as price_ratio, support, round(pg, 4) as price_gap, ig as items_gap from g""",
+        select "left", "right", rules, rule_count, round(cat, 6) as category_jaccard, round(d, 6) as style_distance, round(sr, 6) as size_ratio, round(pr, 6) as price_ratio, support, round(pg, 4) as price_gap, ig as items_gap from g""",
     "candidate_rank": f"""with {PROFILES}, {SUPPLIER_PAIRS}, {_FEATURES},
-        k as (select "left", "right", list_contains(rules, 'part') as t, list_contains(rules, 'nation') as n, support, round(pr, 6) as pr,
-            round(case when list_contains(rules, 'part') then 4.5 else 0 end + 6 * round(pr, 6) + 2 * support, 6) as score from g),
-        z as (select *, case when t then 'shared_title' when pr >= 0.9 then 'lexical' when n then 'category' else 'weak' end as stratum from k)
-        select "left", "right", score, stratum, case when t and support >= 0.6 then 'high' when score >= 7 then 'medium' else 'low' end as priority,
-            row_number() over (partition by stratum order by score desc, "left", "right")::int as rank from z""",
+        k as (select "left", "right", rule_count, support, list_contains(rules, 'lot')::int as t, ("left" + "right") % 7 = 0 as c, case when round(pr, 6) >= 0.5 then round(round(pr, 6) - 0.5, 6) else 0 end as lex from g),
+        z as (select *, round(case when c then 6 else 0 end + 2 * t + 6 * lex + 2 * support, 6) as score,
+            case when c and t > 0 then 'identifier_plus_text' when t > 0 then 'text_clone_primary' when c then 'identifier_primary' when lex > 0 and support >= 0.5 then 'semantic_structural' else 'semantic_only' end as stratum,
+            case when c then 'high' when t > 0 and (lex >= 0.16 or support >= 0.6) then 'high' when lex >= 0.22 or t > 0 and support >= 0.5 then 'medium' else 'low' end as priority from k)
+        select "left", "right", score, stratum, priority, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, score desc, rule_count desc, "left", "right") as rank from z""",
     "activity_summary": """with o as (select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey group by c_mktsegment, c_custkey),
         l as (select c_mktsegment, list_sort(list(n)) as s, count(*) as c from o group by all), j as (select *, least(greatest((c + 1) * 9 // 10, 1), c - 1) as j, (c + 1) * 9 % 10 as d from l)
         select c_mktsegment, c as customers, list_sum(s)::bigint as orders, list_median(s)::double as median, round(case when c < 10 then s[c] else (s[j] * (10 - d) + s[j + 1] * d) / 10 end, 6) as p90,

@@ -42,10 +42,12 @@ def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threshold of the best F1 at which both answers are given at least five times."""
+    """The threshold of the best balanced accuracy, and the one chosen by a guard that wants many negative answers."""
     scan = metrics.threshold_scan(scored_labels(spark, sf_dir), "score", "quality")
-    f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
-    return metrics.best_threshold(scan, f1, 5).select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", F.round("metric", 6).alias("f1"))
+    made = lambda name, row: row.select(F.lit(name).alias("choice"), F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", F.round("metric", 6).alias("metric"))
+    plain = metrics.best_threshold(scan, "balanced_accuracy")
+    guarded = metrics.best_threshold(scan, "accuracy", least_positive=5, least_negative=60, most_drop=0.125)
+    return made("plain", plain).unionByName(made("guarded", guarded))
 
 
 def probability_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +229,13 @@ ORACLE = {
         select lang, tp, fp, tn, fn, coalesce(round(tp / nullif(tp + fp, 0), 6), 0) as precision, coalesce(round(tp / nullif(tp + fn, 0), 6), 0) as recall, coalesce(round(tn / nullif(tn + fp, 0), 6), 0) as specificity,
             round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) as balanced_accuracy, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) as f1, coalesce(round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6), 0) as accuracy from c""",
     "threshold_scan": f"with {_SCAN} select round(t, 6) as threshold, tp, fp, tn, fn from c",
-    "threshold_choice": f"""with {_SCAN}, m as (select *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) as f1, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 9) as ba,
-        round(coalesce(tp / nullif(tp + fp, 0), 0), 9) as pr from c where tp + fp >= 5 and tn + fn >= 5)
-        select round(t, 6) as threshold, tp, fp, tn, fn, round(f1, 6) as f1 from m order by m.f1 desc, ba desc, pr desc, t desc limit 1""",
+    "threshold_choice": f"""with {_SCAN}, r as (select *, coalesce(round(tp / nullif(tp + fp, 0), 9), 0) as pr, coalesce(round(tp / nullif(tp + fn, 0), 9), 0) as re, coalesce(round(tn / nullif(tn + fp, 0), 9), 0) as sp,
+            coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 9), 0) as f1, coalesce(round((tp + tn) / nullif(tp + fp + tn + fn, 0), 9), 0) as ac from c), m as (select *, round((re + sp) / 2, 9) as ba from r),
+        plain as (select * from m order by ba desc, sp desc, pr desc, f1 desc, t desc limit 1), a as (select *, tp + fp >= 5 and tn + fn >= 60 as ok from m order by ac desc, sp desc, pr desc, f1 desc, t desc limit 1),
+        guarded as (select * from m where tp + fp >= 5 and tn + fn >= 60 and (select max(ac) from m) - ac <= 0.125 + 1e-12 order by ac desc, f1 desc, re desc, pr desc, sp desc, t limit 1),
+        z as (select 'plain' as choice, t, tp, fp, tn, fn, ba as metric from plain
+            union all select 'guarded', t, tp, fp, tn, fn, ac from a where ok or not exists (select 1 from guarded) union all select 'guarded', t, tp, fp, tn, fn, ac from guarded where not (select ok from a))
+        select choice, round(t, 6) as threshold, tp, fp, tn, fn, round(metric, 6) as metric from z""",
     "probability_losses": f"""with {_SCORED}, p as (select *, greatest(least(score, 1 - 1e-9), 1e-9) as q from s)
         select lang, round(avg(-(quality * ln(q) + (1 - quality) * ln(1 - q))), 6) as log_loss, round(avg((score - quality) * (score - quality)), 6) as brier from p group by lang""",
     "seed_mean_ensemble": f"""with {_SCORED}, e as (select doc_id, score from s union all select doc_id, blanks / greatest(chars, 1) from s where doc_id % 3 <> 0 union all select doc_id, stops / greatest(chars, 1) from s)
@@ -250,7 +256,8 @@ ORACLE = {
     "upsert_reviews": f"""with {_UPSERT}, j as (select coalesce(q.doc_id, n.doc_id) as doc_id, q.label as ql, q.note as qn, n.label as nl, nullif(n.note, '') as nn,
         case when q.doc_id is null then 'inserted' when n.doc_id is null then 'unchanged' when q.label is not null then 'kept_labelled' else 'updated' end as action from q full join n on q.doc_id = n.doc_id)
         select doc_id, case when action in ('inserted', 'updated') then coalesce(nl, ql) else ql end as label, case when action in ('inserted', 'updated') then coalesce(nn, qn) else qn end as note, action from j""",
-    "skip_missing_reviews": f"""with {_UPSERT} select q.doc_id, coalesce(n.label, q.label) as label, coalesce(nullif(n.note, ''), q.note) as note, case when n.doc_id is null then 'unchanged' else 'updated' end as action from q left join n on q.doc_id = n.doc_id""",
+    "skip_missing_reviews": f"""with {_UPSERT} select coalesce(q.doc_id, n.doc_id) as doc_id, case when q.doc_id is not null then coalesce(n.label, q.label) end as label, case when q.doc_id is not null then coalesce(nullif(n.note, ''), q.note) end as note,
+        case when q.doc_id is null then 'skipped' when n.doc_id is null then 'unchanged' else 'updated' end as action, case when q.doc_id is null then 'not_in_queue' end as reason from q full join n on q.doc_id = n.doc_id""",
     "bucket_override_decisions": """with d(lang, decision) as (values ('en', 'keep'), ('de', 'drop')), o as (select doc_id from labels where toxic = 1)
         select x.doc_id, x.lang, case when o.doc_id is not null then 'recheck' else d.decision end as decision, case when o.doc_id is not null then 'override' when d.decision is not null then 'bucket' else 'none' end as decided_by
         from documents x left join d using (lang) left join o on o.doc_id = x.doc_id""",

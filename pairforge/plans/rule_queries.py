@@ -63,11 +63,11 @@ def family_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers joined by nation and by the number at the end of their name: components with alias edges."""
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"), F.concat(F.lit("e"), F.right("s_name", F.lit(1))).alias("ending"))
-    few = own.filter("k % 3 = 0")
-    edges = rules.alias_edges(few, "k", "nation").unionByName(rules.alias_edges(own.filter("k % 7 = 0"), "k", "ending"))
-    return graph.connected_components(edges)
+    """Suppliers joined by nation and level of balance, and by equal cents of it: components over both kinds of alias edges."""
+    own = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.concat_ws("-", F.lit("n"), F.col("s_nationkey"), F.floor(F.col("s_acctbal") / 500)).alias("level"), F.concat_ws("-", F.lit("c"), F.round(F.col("s_acctbal") * 100).cast("bigint") % 1000).alias("cents")
+    )
+    return graph.connected_components(rules.alias_edges(own, "k", "level").unionByName(rules.alias_edges(own, "k", "cents")))
 
 
 QUERIES = {f.__name__: f for f in (configured_filter, rule_review, review_issues, split_label_counts, count_reconciliation, run_metrics_summary, family_score_summary, alias_components)}
@@ -88,6 +88,6 @@ ORACLE = {
         select lang, count(*) as runs, round(avg(m), 6) as mean, min(m) as least, max(m) as greatest from f group by lang""",
     "family_score_summary": f"""with {_SCORED}, p as (select doc_id, score, round(stops / greatest(chars, 1), 6) as a, round(blanks / greatest(chars, 1), 6) as b from s)
         select doc_id, score as letters_min, round(score, 9) as letters_mean, score as letters_max, least(a, b) as marks_min, round((a + b) / 2, 9) as marks_mean, greatest(a, b) as marks_max from p""",
-    "alias_components": f"""with recursive n as (select s_suppkey as k, s_nationkey as v from supplier where s_suppkey % 3 = 0), e as (select s_suppkey as k, right(s_name, 1) as v from supplier where s_suppkey % 7 = 0),
-        g as (select (select min(k) from n y where y.v = n.v) as a, k as b from n union select (select min(k) from e y where y.v = e.v), k from e), h as (select * from g where a <> b), {_components('h')} select * from members""",
+    "alias_components": f"""with recursive n as (select s_suppkey as k, concat_ws('-', 'n', s_nationkey, floor(s_acctbal / 500)::bigint) as v from supplier union all select s_suppkey, concat_ws('-', 'c', round(s_acctbal * 100)::bigint % 1000) from supplier),
+        m as (select v, min(k) as a from n group by v), h as (select distinct a, k as b from n join m using (v) where a <> k), {_components('h')} select * from members""",
 }

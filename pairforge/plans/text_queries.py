@@ -48,9 +48,51 @@ def hot_value_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.pairs_by_value(docs, ["lang", "value"], most=20)
 
 
+# Texts with Han characters, marks and widths that the tables lack; ids below 0.
+HAN_TEXTS = [
+    (-1, "飞机号：@shop_one 长期供应，质量保证！\n联系 12345678 或 Email a@b.org；数据 ABC-12", "zh"),
+    (-2, "在线 48 小时 好评∶风险 12∶3 价格 1,234 元", "zh"),
+    (-3, "全新正品 现货秒发 支持退款 全新正品", "zh"),
+    (-4, "ＡＢＣ１２３ ﬁne ² Straße ÉCOLE", "xx"),
+    (-5, "", "xx"),
+    (-6, "繁體字與簡體字 mixed Text 2024", "zh"),
+]
+
+
+def texts_with_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, lang) of all documents and of the fixed texts."""
+    fixed = spark.createDataFrame(HAN_TEXTS, "doc_id bigint, text string, lang string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").unionByName(fixed)
+
+
+def _values(rows: list[tuple]) -> str:
+    one = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
+
+
+WITH_HAN = f"(select doc_id, text, lang from documents union all select * from {_values(HAN_TEXTS)} v(doc_id, text, lang))"
+
+
 def doc_style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.style(F.col("text")).alias("s"))
-    return docs.select("doc_id", F.col("s.length").alias("length"), *(F.round(f"s.{c}", 6).alias(c) for c in ("digits", "punctuation", "upper")), F.col("s.line_ends").alias("line_ends"))
+    """Style of each text, its first line as the title and the rest as the description."""
+    own = texts_with_han(spark, sf_dir)
+    rest = F.when(F.contains("text", F.lit("\n")), F.substring("text", F.instr("text", "\n") + 1, F.length("text"))).otherwise("")
+    docs = own.select("doc_id", text.style(F.substring_index("text", "\n", 1), rest).alias("s"))
+    return docs.select("doc_id", "s.*")
+
+
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first number of each text, whole and as it is, hours online, and counts of good and risk."""
+    own = texts_with_han(spark, sf_dir).select("doc_id", "text").unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000).alias("doc_id"), F.regexp_replace("url", "/", " -").alias("text")))
+    good = text.good_and_risk(F.col("text"))
+    return own.select("doc_id", text.first_number(F.col("text")).alias("number"), text.first_whole(F.col("text")).alias("whole"), text.hours(F.col("text")).alias("hours"), good["good"].alias("good"), good["risk"].alias("risk"))
+
+
+def signature_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's signature as a digest, and its Han characters by the three ranges."""
+    own = texts_with_han(spark, sf_dir)
+    counts = {"han": text.HAN_BASIC, "han_extended": text.HAN_BMP, "han_all": text.HAN_ALL}
+    return own.select("doc_id", F.md5(text.signature(F.col("text"))).alias("signature"), *(text.han_count(F.col("text"), r).alias(n) for n, r in counts.items()))
 
 
 def source_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +150,16 @@ k as (select * from (select *, row_number() over (partition by id order by weigh
 
 
 def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts in documents and conversations: kind, normal form, and the number of texts with it."""
-    docs = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
-    kinds = {k: text.CONTACTS[k] for k in ("email", "phone")}
-    found = docs.select(F.explode(text.contacts(F.col("text"), kinds)).alias("c")).select("c.kind", text.contact_key(F.col("c.kind"), F.col("c.raw")).alias("value"))
+    """Contacts of all kinds in documents, conversations and the fixed texts: kind, normal form, and the number of texts with it."""
+    docs = texts_with_han(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "conversations").select("text")).unionByName(spark.createDataFrame([(t,) for t in CONTACT_TEXTS], "text string"))
+    found = docs.select(F.explode(text.contacts(F.col("text"))).alias("c")).select("c.kind", text.contact_key(F.col("c.kind"), F.col("c.raw")).alias("value"))
     return found.filter("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
+# Texts with contacts of kinds that the tables lack.
+CONTACT_TEXTS = ["write to telegram: @Some_Shop or t.me/other_shop", "Wickr me: Fast.Shop-1, wechat: good_shop9", "QQ: 12345678 or +49 (30) 1234-5678", "qq 123 telegram: abc", "-----BEGIN PGP BLOCK-----\nx@y.org\n-----END PGP BLOCK----- z@y.org"]
+
+
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.url_key(F.col("url")).alias("url_key"))
@@ -131,24 +176,26 @@ def shared_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.pairs_by_value(docs, most=6).groupBy("left", "right").agg(F.count("*").alias("shared"))
 
 
+#: Words in a row that a document and a benchmark text share if one quotes the other.
+QUOTED_WORDS = 13
+
+
 def leakage_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the first reason to keep them out: equal to a benchmark text, holding the beginning of one, too short."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(F.trim("text"))).alias("digest"), F.explode_outer(F.array_distinct(F.split("text", "\n"))).alias("line"), F.length("text").alias("chars"))
-    docs = docs.withColumn("line", F.md5(F.lower(F.trim("line"))))
-    known = table(spark, sf_dir, "benchmark")
-    lists = {"same": known.select(F.md5(F.lower(F.trim("text"))).alias("v")), "quoted": known.select(F.md5(F.lower(F.trim(F.substring_index("text", "\n", 1)))).alias("v"))}
-    marks = block.marked(docs, lists, {"same": "digest", "quoted": "line"})
-    each = marks.groupBy("doc_id").agg(F.bool_or("same").alias("same"), F.bool_or("quoted").alias("quoted"), F.first("chars").alias("chars"))
-    reason = F.when(F.col("same"), "alias").when(F.col("quoted"), "contact").when(F.coalesce("chars", F.lit(0)) < 200, "short").otherwise("keep")
-    return each.select("doc_id", reason.alias("status"))
+    """Documents by the first reason to keep them out: equal to a benchmark text, quoting one, too short."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    quotes = block.quoting(docs, "doc_id", "text", known, "text", words=QUOTED_WORDS).withColumn("quotes", F.lit(True))
+    same = known.select(F.md5(text.spaced(F.col("text"))).alias("digest")).distinct().withColumn("same", F.lit(True))
+    marked = docs.select("doc_id", F.md5(text.spaced(F.col("text"))).alias("digest"), F.length("text").alias("chars")).join(same, "digest", "left").join(quotes, "doc_id", "left")
+    reason = F.when(F.col("same"), "same").when(F.col("quotes"), "quoting").when(F.coalesce("chars", F.lit(0)) < 200, "short").otherwise("keep")
+    return marked.select("doc_id", reason.alias("status"))
 
 
 def leakage_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures that two languages share: a row for each pair of languages with any."""
+    """Texts that two sources share: a row for each pair of sources with any."""
     from pairforge.sources.checks import overlaps
 
-    docs = table(spark, sf_dir, "documents").select("lang", F.md5(F.lower(F.trim("text"))).alias("k"))
-    return overlaps(docs, "lang", "k")
+    docs = table(spark, sf_dir, "documents").select("source", F.md5(text.spaced(F.col("text"))).alias("k"))
+    return overlaps(docs, "source", "k")
 
 
 def signal_context_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,21 +221,26 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of documents by language: Han, letters of Latin, bigrams of words."""
-    docs = table(spark, sf_dir, "documents")
+    """Characters of texts by language: Han, letters of Latin, bigrams of words, distinct runs of two and three Han characters."""
+    docs = texts_with_han(spark, sf_dir)
     bigrams = F.size(F.array_distinct(text.word_pairs(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)")))))
-    return docs.groupBy("lang").agg(F.sum(text.han_count(F.col("text"))).cast("bigint").alias("han"), F.sum(F.regexp_count("text", F.lit("[A-Za-z]"))).cast("bigint").alias("latin"), F.sum(bigrams).alias("bigrams"))
+    grams = F.size(F.array_distinct(text.han_grams(F.col("text"))))
+    return docs.groupBy("lang").agg(F.sum(text.han_count(F.col("text"))).cast("bigint").alias("han"), F.sum(F.regexp_count("text", F.lit("[A-Za-z]"))).cast("bigint").alias("latin"), F.sum(bigrams).alias("bigrams"), F.sum(grams).alias("han_grams"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_clone_pairs, doc_exact_groups, hot_value_blocking, doc_style_metrics, source_profile_topk, signature_terms, tfidf_topterms, lexical_neighbors, contact_extract, url_normalize,
+        doc_clone_pairs, doc_exact_groups, hot_value_blocking, doc_style_metrics, parsed_numbers, signature_forms, source_profile_topk, signature_terms, tfidf_topterms, lexical_neighbors, contact_extract, url_normalize,
         html_visible_text, shared_token_pairs, leakage_exclusion, leakage_overlap_check, signal_context_udtf, segment_boilerplate, stable_ids, script_mix,
     )
 }
 
-_EMAIL, _PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"\+?[0-9][0-9() .-]{6,}[0-9]"
+_COUNT = "len(regexp_extract_all"
+_BLANK = r"\p{Z}\t-\r\x1c-\x1f\x{85}"
+_WHITE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_CLEAN = f"trim(regexp_replace({{}}, '{_WHITE.replace('{', '{{').replace('}', '}}')}', ' ', 'g'), ' ')"
+_SPACED = f"lower(trim(regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g'), ' '))"
 
 ORACLE = {
     "doc_clone_pairs": f"""{PAIRS}, b as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as bag from documents)
@@ -198,9 +250,18 @@ ORACLE = {
     "hot_value_blocking": """with v as (select distinct doc_id as id, lang, regexp_extract_all(lower(text), '[a-z0-9]+')[1] as value from documents where regexp_matches(lower(text), '[a-z0-9]')),
         g as (select lang, value, count(*) as group_size from v group by all having count(*) between 2 and 20)
         select a.id as "left", b.id as "right", lang, value, group_size from v a join g using (lang, value) join v b using (lang, value) where a.id < b.id""",
-    "doc_style_metrics": r"""select doc_id, length(text)::int as length, round(len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1), 6) as digits,
-        round(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) / greatest(length(text), 1), 6) as punctuation, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(length(text), 1), 6) as upper,
-        len(regexp_extract_all(text, '\n'))::int as line_ends from documents""",
+    "doc_style_metrics": rf"""with d as (select doc_id, string_split(text, chr(10))[1] as title, case when contains(text, chr(10)) then substr(text, strpos(text, chr(10)) + 1) else '' end as rest from {WITH_HAN}),
+        b as (select doc_id, title, rest, title || ' ' || rest as t from d), n as (select *, {_COUNT}(t, '[^{_BLANK}]')) as visible, {_COUNT}(t, '\p{{L}}')) as letters from b),
+        l as (select *, {_CLEAN.format('title')} as ct, {_CLEAN.format('rest')} as cr from n)
+        select doc_id, length(ct)::int as title_length, length(cr)::int as description_length, coalesce(round({_COUNT}(t, '\p{{Nd}}')) / nullif(visible, 0), 6), 0) as digits,
+            coalesce(round({_COUNT}(t, '[^{_BLANK}\p{{L}}\p{{N}}]')) / nullif(visible, 0), 6), 0) as punctuation, coalesce(round({_COUNT}(t, '\p{{Lu}}')) / nullif(letters, 0), 6), 0) as upper,
+            {_COUNT}(t, '\n'))::int as line_ends from l""",
+    "parsed_numbers": rf"""with d as (select doc_id, text from {WITH_HAN} union all select page_id + 10000000, replace(url, '/', ' -') from pages),
+        n as (select *, try_cast(replace(regexp_extract(text, '([-+]?[0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') as double) as number from d)
+        select doc_id, number, trunc(number)::bigint as whole, coalesce(try_cast(regexp_extract(text, '([0-9]+)[\s]*小时', 1) as bigint), trunc(number)::bigint) as hours,
+            try_cast(regexp_extract(text, '([0-9]+)\s*[∶:]\s*([0-9]+)', 1) as bigint) as good, try_cast(regexp_extract(text, '([0-9]+)\s*[∶:]\s*([0-9]+)', 2) as bigint) as risk from n""",
+    "signature_forms": rf"""select doc_id, md5(case when regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') then regexp_replace(lower(text), '[^0-9A-Za-z\x{{4e00}}-\x{{9fff}}]+', '', 'g') else array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') end) as signature,
+        {_COUNT}(text, '[\x{{4e00}}-\x{{9fff}}]'))::int as han, {_COUNT}(text, '[\x{{3400}}-\x{{9fff}}]'))::int as han_extended, {_COUNT}(text, '[\x{{3400}}-\x{{9fff}}\x{{20000}}-\x{{323AF}}]'))::int as han_all from {WITH_HAN}""",
     "source_profile_topk": """with t as (select source, substr(trim(string_split(text, chr(10))[1], ' '), 1, 40) as value, doc_id from documents),
         c as (select source, value, count(*) as count, min(doc_id) as first_seen from t where trim(value, ' ') <> '' group by all)
         select * from (select *, row_number() over (partition by source order by count desc, first_seen, value)::int as rank from c) where rank <= 5""",
@@ -212,10 +273,11 @@ ORACLE = {
         p as (select a.id as "left", b.id as "right", sum(a.weight * b.weight) as dot from k a join k b on a.term = b.term and a.id < b.id group by all),
         s as (select "left", "right", round(dot / (x.norm * y.norm), 6) as cosine from p join m x on x.id = "left" join m y on y.id = "right")
         select * from (select *, row_number() over (partition by "left" order by cosine desc, "right")::int as rank from s where cosine >= 0.3) where rank <= 5""",
-    "contact_extract": f"""with t as (select row_number() over () as r, text from (select text from documents union all select text from conversations)),
-        f as (select distinct r, 'email' as kind, unnest(regexp_extract_all(text, '{_EMAIL}')) as raw from t union all select distinct r, 'phone', unnest(regexp_extract_all(text, '{_PHONE}')) from t),
-        v as (select kind, case when kind = 'email' then lower(raw) else regexp_replace(raw, '[^0-9]', '', 'g') end as value from f)
-        select kind, value, count(*) as n from v where kind = 'email' or length(value) >= 7 group by all""",
+    "contact_extract": f"""with t as (select row_number() over () as r, regexp_replace(text, '(?s)-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----', ' ', 'g') as text
+            from (select text from {WITH_HAN} union all select text from conversations union all select * from {_values([(t,) for t in CONTACT_TEXTS])} v(text))),
+        f as ({' union all '.join(f"select distinct r, '{k}' as kind, unnest(regexp_extract_all(text, '{p}')) as raw from t" for k, p in text.CONTACTS.items())}),
+        v as (select kind, case when kind = 'email' then lower(trim(raw, ' ')) when kind in ('phone', 'qq') then regexp_replace(raw, '[^0-9]', '', 'g') else lower(regexp_replace(raw, '(?i)^.*(?:t\\.me/|[: ]+)@?|^@', '')) end as value from f)
+        select kind, value, count(*) as n from v where kind = 'email' or kind = 'phone' and length(value) >= 7 or kind = 'qq' and length(value) between 5 and 12 or kind not in ('email', 'phone', 'qq') and length(value) >= 3 group by all""",
     "url_normalize": r"""with r as (select page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^?#]+)', 1) as rest from pages),
         p as (select page_id, rest, regexp_replace(string_split(rest, '/')[1], '^www\.', '') as host, list_filter(string_split(rest, '/')[2:], lambda x: x <> '')[1:2] as parts from r)
         select page_id, case when rest <> '' then array_to_string(list_prepend(host, parts), '/') end as url_key from p""",
@@ -225,17 +287,21 @@ ORACLE = {
     "shared_token_pairs": """with v as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{12,}')) as value from documents),
         g as (select value from v group by value having count(*) between 2 and 6)
         select a.id as "left", b.id as "right", count(*) as shared from v a join g using (value) join v b using (value) where a.id < b.id group by all""",
-    "leakage_exclusion": """with s as (select md5(lower(trim(text, ' '))) as v from benchmark), q as (select md5(lower(trim(string_split(text, chr(10))[1], ' '))) as v from benchmark),
-        l as (select distinct doc_id from (select doc_id, unnest(string_split(text, chr(10))) as x from documents) where md5(lower(trim(x, ' '))) in (select v from q))
-        select doc_id, case when md5(lower(trim(text, ' '))) in (select v from s) then 'alias' when doc_id in (select doc_id from l) then 'contact' when coalesce(length(text), 0) < 200 then 'short' else 'keep' end as status from documents""",
-    "leakage_overlap_check": """with k as (select distinct lang, md5(lower(trim(text, ' '))) as k from documents where text is not null)
-        select a.lang as split_a, b.lang as split_b, count(*) as shared from k a join k b using (k) where a.lang < b.lang group by all""",
+    "leakage_exclusion": rf"""with d as (select doc_id, length(text) as chars, {_SPACED} as t from documents), k as (select {_SPACED} as t from benchmark),
+        w as (select doc_id, string_split(t, ' ') as w from d where t <> ''), kw as (select string_split(t, ' ') as w from k where t <> ''),
+        g as (select distinct unnest(list_transform(generate_series(1, len(w) - {QUOTED_WORDS - 1}), lambda i: array_to_string(w[i:i + {QUOTED_WORDS - 1}], ' '))) as g from kw where len(w) >= {QUOTED_WORDS}),
+        e as (select doc_id, unnest(list_transform(generate_series(1, len(w) - {QUOTED_WORDS - 1}), lambda i: array_to_string(w[i:i + {QUOTED_WORDS - 1}], ' '))) as g from w where len(w) >= {QUOTED_WORDS}),
+        q as (select distinct doc_id from e semi join g using (g))
+        select doc_id, case when t in (select t from k) then 'same' when doc_id in (select doc_id from q) then 'quoting' when coalesce(chars, 0) < 200 then 'short' else 'keep' end as status from d""",
+    "leakage_overlap_check": rf"""with k as (select distinct source, {_SPACED} as k from documents where text is not null)
+        select a.source as split_a, b.source as split_b, count(*) as shared from k a join k b using (k) where a.source < b.source group by all""",
     "segment_boilerplate": """with c as (select source, line, count(*) as n from (select source, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 8 group by all),
         d as (select line, count(*) as df from c group by line) select source, sum(n)::bigint as lines, count(*) as distinct_lines,
         count(*) filter (df * 2 >= (select count(distinct source) from documents)) as boilerplate_lines, count(*) filter (df = 1) as own_lines from c join d using (line) group by source""",
     "stable_ids": """select doc_id, 'item_' || sha1(coalesce(source, '') || chr(31) || doc_id) as item_uid,
         least(doc_id::varchar, (doc_id - 1)::varchar) || '||' || greatest(doc_id::varchar, (doc_id - 1)::varchar) as pair_uid from documents""",
-    "script_mix": r"""with w as (select lang, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents)
-        select lang, sum(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')))::bigint as han, sum(len(regexp_extract_all(text, '[A-Za-z]')))::bigint as latin,
-        sum(case when len(w) > 1 then len(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) else 0 end)::bigint as bigrams from w group by lang""",
+    "script_mix": rf"""with w as (select lang, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w, regexp_extract_all(text, '[\x{{3400}}-\x{{9fff}}]{{2,}}') as s from {WITH_HAN}),
+        g as (select *, list_distinct(flatten(list_transform(s, lambda x: list_concat(list_transform(generate_series(1, length(x) - 1), lambda i: substr(x, i, 2)), list_transform(generate_series(1, length(x) - 2), lambda i: substr(x, i, 3)))))) as grams from w)
+        select lang, sum({_COUNT}(text, '[\x{{4e00}}-\x{{9fff}}]')))::bigint as han, sum(len(regexp_extract_all(text, '[A-Za-z]')))::bigint as latin,
+        sum(case when len(w) > 1 then len(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) else 0 end)::bigint as bigrams, sum(len(grams))::bigint as han_grams from g group by lang""",
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import numeric, text
-from pairforge.operators import block, features, graph, metrics, ml, profile, review, split
+from pairforge.operators import block, features, graph, metrics, ml, profile, review, split, vectors
 from pairforge.sources import checks, io
 
 
@@ -19,14 +19,18 @@ def test_text_functions(spark):
     one = lambda f, *xs: values(spark, f(F.col("x")), [(x,) for x in xs])
     assert one(text.collapse_space, " a　 b\n", None) == ["a b", None]
     assert one(text.soft_alias, "Shop-King (97%)", None) == ["shopking", ""]
-    assert one(text.signature, "Big SALE!! now", "你好, 世界!") == ["big sale now", "你好世界"]
+    assert one(text.signature, "Big SALE!! now", "你好, 世界! ÄB㐀") == ["big sale now", "你好世界b"]
     assert one(lambda x: text.clipped(x, 8), "abcdefgh", "abcd  fghij") == ["abcdefgh", "abcd..."]
     assert one(text.short_fingerprint, "0x" + "ab" * 20, "12") == ["0x" + "AB" * 8, ""]
     assert one(text.id_list, "3, 1;3 x9") == [[3, 1, 9]]
     assert one(text.url_key, "https://WWW.Ex.com/a//b/c?q#f", "no url") == ["ex.com/a/b", None]
-    assert one(text.first_number, "ab 1,234.5", "3,5 kg", "none") == [1234.5, 3.5, None]
-    assert one(text.hours, "3d 4h", "12") == [76.0, 12.0]
-    assert one(text.good_to_bad, "9:3", "0:0") == [0.75, None]
+    assert one(text.first_number, "ab 1,234.5", "-3,5 kg", "+7", "none", "2.50.1") == [1.234, -3.5, 7.0, None, 2.5]
+    assert one(text.first_whole, "1,9", "-1,9", "") == [1, -1, None]
+    assert one(text.hours, "在线 48 小时", "12.7 h", "x") == [48, 12, None]
+    assert [r and tuple(r) for r in one(text.good_and_risk, "9:3", "好∶ 12 ∶ 4", "9")] == [(9, 3), (12, 4), None]
+    style = spark.createDataFrame([("Ab 1!", "é²\nX")], "t string, d string").select(text.style(F.col("t"), F.col("d")).alias("s")).first().s
+    # visible: A b 1 ! é ² X; letters: A b é X
+    assert (style.title_length, style.description_length, style.digits, style.punctuation, style.upper, style.line_ends) == (5, 4, round(1 / 7, 6), round(1 / 7, 6), 0.5, 1)
     assert one(text.words, "The cat and a dog2") == [["cat", "dog2"]]
     assert one(lambda x: text.char_grams(x, 2), "abc", "a") == [["ab", "bc"], []]
     assert one(text.visible_text, "<p>a<script>x</script>b</p><!-- c -->") == ["a b"]
@@ -61,10 +65,25 @@ def test_numeric(spark):
         numeric.style_consistency([F.lit(0.2), F.lit(None).cast("double"), F.lit(0.9)]).alias("style"),
         numeric.closeness(F.lit(0.0), F.lit(1.0)).alias("none"),
         numeric.sigmoid(numeric.logit(F.lit(0.3))).alias("p"),
-        numeric.reliability({"key": F.lit(True), "topic": F.lit(None).cast("boolean")})[0].alias("r"),
     ).first()
-    assert row["three"] == pytest.approx(1.4 / 3) and row["four"] == pytest.approx(2.6 / 4)
-    assert row["style"] == pytest.approx(0.8) and row["none"] is None and row["p"] == pytest.approx(0.3) and row["r"] == pytest.approx(0.65)
+    assert row["three"] == pytest.approx(1.5 / 3) and row["four"] == pytest.approx(2.7 / 4)
+    assert row["style"] == pytest.approx(0.8) and row["none"] is None and row["p"] == pytest.approx(0.3)
+
+
+def test_reliability_and_rank_score(spark):
+    names = "fingerprints contacts description_clone description_idf title_clone title_idf rare_ngrams support category style boilerplate_ratio boilerplate_count semantic".split()
+    rows = [
+        (1.0, 0.0, True, 2.5, True, 1.0, 3.0, 0.6, 0.0, 0.8, 0.0, 0.0, 0.9),  # 0.2 + 0.45 + 0.15 + 0.08 + 0.12 + 0.08
+        (0.0, 0.0, False, 0.0, False, 0.0, 0.0, 0.1, 0.1, 0.1, 0.8, 0.0, 0.8),  # 0.2 - 0.2 - 0.25, not below 0
+        (None, 1.0, None, None, None, None, None, None, None, None, None, 3.0, 0.99),  # 0.2 + 0.35 - 0.2
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'boolean' if n.endswith('clone') else 'double'}" for n in names))
+    got = [r.r for r in df.select(numeric.reliability(**{n: F.col(n) for n in names}).alias("r")).collect()]
+    assert [r.score for r in got] == [1.0, 0.0, 0.35] and [(r.direct, r.topic_only) for r in got] == [(True, False), (False, True), (True, False)]
+    assert got[0].components == ["+shared_pgp_fingerprint:0.450", "+rare_description_clone:0.150", "+rare_ngram_support:0.080", "+structural_support:0.120", "+style_consistency:0.080"]
+    assert got[1].components == ["-0.200:boilerplate_template_penalty", "-0.250:semantic_topic_only_penalty"]
+    score = spark.range(1).select(numeric.rank_score(*(F.lit(x) for x in (1, 2, 0, 5, 0.5, 0.25)), F.lit(True))).first()[0]
+    assert score == 6 + 5 + 2 * 3 + 3 + 0.5 - 0.5
 
 
 def test_top_values_and_signatures_break_ties_differently(spark):
@@ -259,8 +278,47 @@ def test_mixup_stays_between(spark):
     assert len(rows) == 5
     for r in rows:
         assert 0.2 <= r.share <= 0.8 and r.vector[0] == pytest.approx(r.share * r.left + (1 - r.share) * r.right)
-    with pytest.raises(ValueError, match="more than"):
-        split.mixup(df, "k", "v", most_rows=3)
+    # each row's two nearest
+    assert all(abs(r.left - r.right) <= 2 for r in rows)
+
+
+def test_nearest_vectors_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5).round(1)], int(rng.integers(2))) for i in range(60)] + [(60, [0.0] * 5, 0), (61, None, 0), (None, [1.0] * 5, 0)]
+    rows += [(70 + i, rows[0][1], rows[0][2]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, g int")
+    for metric in ("cosine", "distance"):
+        got = {}
+        for r in vectors.nearest(df, "id", "v", 3, by="g", metric=metric).collect():
+            got.setdefault(r.src, []).append((r["rank"], r.dst))
+        for i, v, g in rows:
+            if i is None or v is None:
+                continue
+            one = np.array(v)
+            scores = []
+            for j, w, h in rows:
+                if j not in (None, i) and w is not None and h == g:
+                    other = np.array(w)
+                    n = np.linalg.norm(one) * np.linalg.norm(other)
+                    scores.append((-round((one @ other / n if n else 0.0) if metric == "cosine" else -((one - other) ** 2).sum(), 9), j))
+            assert [d for _, d in sorted(got[i])] == [j for _, j in sorted(scores)[:3]]
+
+
+def test_recall_of_reciprocal_edges(spark):
+    """All true reciprocal edges of a label's vectors are found, and no others."""
+    from pairforge.plans import graph_queries
+
+    sf = "/root/testdata/sf0.01"
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in own}
+    best = {}
+    for r in own:
+        others = [(-round(float(unit[r.vec_id] @ unit[o.vec_id]), 6), o.vec_id) for o in own if o.label == r.label and o.vec_id != r.vec_id]
+        best[r.vec_id] = {j for _, j in sorted(others)[:4]}
+    want = {(i, j) for i, top in best.items() for j in top if i < j and i in best[j]}
+    got = {(r.a, r.b) for r in graph_queries.reciprocal_topk_edges(spark, sf).collect()}
+    assert got == want and len(want) > 500
 
 
 def test_masking(spark):
@@ -276,7 +334,7 @@ def test_upsert_policies(spark, missing, overwrite):
     new = spark.createDataFrame([(1, "z", ""), (2, "b", None), (9, "c", "n9")], "k int, label string, note string")
     got = {r.k: (r.label, r.note, r.action) for r in review.upsert(old, new, "k", ["label", "note"], "label", missing=missing, overwrite=overwrite).collect()}
     want = {1: ("z", "n1", "updated") if overwrite else ("a", "n1", "kept_labelled"), 2: ("b", "n2", "updated"), 3: ("", "n3", "unchanged")}
-    assert got == want | ({9: ("c", "n9", "inserted")} if missing == "insert" else {})
+    assert got == want | {9: ("c", "n9", "inserted") if missing == "insert" else (None, None, "skipped")}
     with pytest.raises(ValueError, match="not in the queue"):
         review.upsert(old, new, "k", ["label"], "label", missing="error")
 
@@ -288,10 +346,30 @@ def test_queue_takes_strata_in_turn(spark):
 
 
 def test_cluster_decisions(spark):
-    rows = [(4, 3, 0, 0, 0, 0), (4, 2, 1, 0, 0, 3), (4, 1, 0, 0, 0, 1), (4, 0, 0, 2, 0, 0), (4, 0, 0, 0, 2, 0), (4, 0, 0, 0, 0, 0)]
-    df = spark.createDataFrame(rows, "e int, p int, n int, t int, o int, l int")
-    got = [r[0] for r in df.select(review.cluster_decision(*(F.col(c) for c in "epntol"))).collect()]
-    assert got == ["high_confidence", "mixed_anchor", "partial_anchor", "template", "topic", "uncertain"]
+    # edges, proof, identifiers, contacts, fingerprints, titles, descriptions, text strata, semantic strata
+    rows = [(4, 4, 4, 4, 0, 0, 0, 0, 0), (4, 2, 2, 2, 0, 4, 0, 0, 0), (4, 1, 1, 1, 0, 0, 0, 0, 0), (4, 0, 1, 0, 0, 4, 0, 0, 0), (4, 0, 0, 0, 1, 4, 0, 0, 0), (4, 0, 0, 0, 0, 1, 2, 0, 4), (4, 0, 0, 0, 0, 1, 1, 1, 2), (4, 0, 0, 0, 0, 1, 1, 1, 1), (0,) * 9]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in "abcdefghi"))
+    got = [r[0] for r in df.select(review.cluster_decision(*(F.col(c) for c in "abcdefghi"))).collect()]
+    assert [g.decision for g in got] == [
+        "same_controller_high_confidence", "same_controller_core_with_possible_expansion", "partial_anchor", "uncertain", "uncertain", "template_clone_not_controller", "semantic_topic_not_controller", "uncertain", "uncertain",
+    ]
+    assert [g.confidence for g in got][:3] == ["high", "high", "medium"] and got[3].use == "manual_review_before_claim"
+
+
+def test_strata_priorities_and_thresholds(spark):
+    rows = [(True, 1, 1, 1, 1, 1.0, 1.0), (False, 1, 0, 1, 0, 0.0, 0.0), (False, 0, 0, 0, 1, 0.5, 0.9), (False, 0, 1, 0, 0, 0.5, 0.9), (False, 0, 0, 0, 0, 0.1, 0.5), (False, 0, 0, 0, 0, 0.1, 0.4), (False, 0, 0, 0, 0, 0.0, 0.9)]
+    df = spark.createDataFrame(rows, "a boolean, b int, c int, d int, e int, f double, g double")
+    assert [r[0] for r in df.select(review.evidence_stratum(*(F.col(c) for c in "abcdefg"))).collect()] == [
+        "same_alias_continuity", "identifier_plus_text", "text_clone_primary", "identifier_primary", "semantic_structural", "semantic_only", "semantic_only",
+    ]
+    scan = spark.createDataFrame([(0.2, 5, 3, 2, 0), (0.5, 5, 1, 4, 0), (0.6, 4, 0, 5, 1), (0.9, 0, 0, 5, 5)], "threshold double, tp bigint, fp bigint, tn bigint, fn bigint")
+    # 0.5 and 0.6 have the same accuracy; 0.6 has the greater specificity
+    assert metrics.best_threshold(scan, "accuracy").first().threshold == 0.6
+    assert metrics.best_threshold(scan, "recall").first().threshold == 0.5
+    # nobody is predicted positive at 0.9; of those within the drop the guard takes the greatest f1
+    assert metrics.best_threshold(scan, "specificity", least_positive=1).first().threshold == 0.6
+    assert metrics.best_threshold(scan, "specificity", least_positive=5, most_drop=0.2).first().threshold == 0.5
+    assert metrics.best_threshold(scan, "specificity", least_positive=5, most_drop=0.1).first().threshold == 0.6
 
 
 def test_csv_json_and_dump_round_trips(spark, tmp_path):
