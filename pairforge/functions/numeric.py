@@ -49,6 +49,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Of two maps of weights: the sum of products over what the smaller has and the other too."""
+    of = lambda small, large: F.aggregate(F.map_entries(small), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(large, e["key"]), F.lit(0.0)))
+    return F.when(F.size(a) <= F.size(b), of(a, b)).otherwise(of(b, a))
+
+
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two maps of weights; 0 if either is empty or missing."""
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v))
+    both = norm(a) * norm(b)
+    return F.coalesce(F.when(both > 0, sparse_dot(a, b) / both), F.lit(0.0))
+
+
 def logit(p: Column, eps: float = 1e-6) -> Column:
     inside = F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
     return F.log(inside / (1 - inside))

@@ -13,8 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Common English words that carry no identity.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "we", "will", "with", "you", "your")
+# English words of listings that carry no identity.
+STOP_WORDS = (
+    "about", "after", "again", "also", "and", "any", "are", "back", "been", "before", "between", "but", "can", "custom", "description", "details", "direct", "from", "free", "fresh", "get",
+    "has", "have", "high", "into", "item", "its", "just", "like", "listing", "more", "most", "new", "not", "only", "order", "our", "out", "please", "product", "quality", "sale", "same",
+    "ship", "shipping", "specified", "stealth", "test", "that", "the", "their", "this", "title", "too", "use", "very", "was", "with", "you", "your",
+)
 #: Ranges of Han characters: the basic block, with extension A, and with the supplementary planes.
 HAN_BASIC, HAN_BMP, HAN_ALL = "\\u4e00-\\u9fff", "\\u3400-\\u9fff", "\\u3400-\\u9fff\\x{20000}-\\x{323AF}"
 CONTACTS = {
@@ -117,12 +121,49 @@ def sentences(x: Column, long: int = 240) -> Column:
     return F.filter(clauses, lambda s: s != "")
 
 
-def words(x: Column, least: int = 2) -> Column:
-    """Lower-case Latin words of ``least`` letters and digits or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(x), F.lit(f"([a-z0-9]{{{least},}})"))
+def words(x: Column) -> Column:
+    """Lower-case Latin words of a letter and 2 to 23 letters or digits, without stop words."""
+    found = F.regexp_extract_all(F.lower(x), F.lit("([a-z][a-z0-9]{2,23})"))
     return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
+def is_contentful(x: Column) -> Column:
+    """Whether a segment says enough to tell entities apart: 10 Han characters, 40 Latin letters and digits, or 7 words."""
+    n = lambda p: F.regexp_count(x, F.lit(p))
+    return (n(f"[{HAN_BASIC}]") >= 10) | (n("[A-Za-z0-9]") >= 40) | (n("[A-Za-z0-9]+") >= 7)
+
+
+def segments(x: Column, long: int = 240) -> Column:
+    """The sentences of a text in one line, cut at 。！？!?；;, those over ``long`` characters with commas at these too."""
+    cut = F.filter(F.transform(F.split(collapse_space(x), "[。！？!?；;]+"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = lambda s: F.filter(F.transform(F.split(s, "[，,]+"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.flatten(F.transform(cut, lambda s: F.when((F.length(s) > long) & (F.size(parts(s)) > 1), parts(s)).otherwise(F.array(s))))
+
+
+def cut_hard(x: Column, most: int) -> Column:
+    """At most ``most`` characters without blanks at the end of a cut."""
+    return F.when(F.length(x) > most, F.rtrim(F.substring(x, 1, most))).otherwise(x)
+
+
+def alias_relation(a: Column, b: Column) -> Column:
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.when(blank(a) | blank(b), "alias_missing").when(a == b, "same_alias").otherwise("different_alias")
+
+
+def candidate_scope(a: Column, b: Column) -> Column:
+    return F.when(alias_relation(a, b) == "same_alias", "same_alias_identity_continuity").otherwise("sockpuppet_primary")
+
+
+def first_present(*parts: Column) -> Column:
+    """The first text that is not blank; "" without any."""
+    return F.coalesce(*(F.when(F.trim(p.cast("string")) != "", F.trim(p.cast("string"))) for p in parts), F.lit(""))
+
+
+def number_token(x: Column) -> Column:
+    """A number between 0 and 1 as part of a name: 0.735 gives 0735, 0.72054 gives 072054."""
+    return F.regexp_replace(F.regexp_replace(F.format_number(x, "0.000000"), "\\.", ""), "(?<=.{4})0+$", "")
+
+
 def word_pairs(tokens: Column) -> Column:
     n = F.size(tokens)
     return F.when(n > 1, F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))

@@ -56,7 +56,7 @@ def cluster_ranks(stats: DataFrame) -> DataFrame:
 
 
 # The classes of cluster sizes, as (name, least, most).
-SIZES = (("size_2", 2, 2), ("size_3_to_5", 3, 5), ("size_6_to_10", 6, 10), ("size_11_to_20", 11, 20), ("size_21_plus", 21, None))
+SIZES = (("size_2", 2, 2), ("size_3_to_5", 3, 5), ("size_6_to_10", 6, 10), ("size_11_plus", 11, None))
 
 
 def size_class(size: Column) -> Column:
@@ -68,13 +68,16 @@ def size_class(size: Column) -> Column:
 
 
 def member_table(edges: DataFrame, members: DataFrame, top: int = 3) -> DataFrame:
-    """(component, id, rank, degree, score_sum, score_mean, score_max, strongest): members by degree, best score, id."""
+    """(component, id, rank, degree, score_sum, score_mean, score_max, strongest): members by degree, best score, id.
+
+    The mean is that of scores to six places, cut to six places.
+    """
     own = inside(edges, members)
     both = own.select("component", F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(own.select("component", F.col("b").alias("id"), F.col("a").alias("other"), "score"))
     near = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     named = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= top, F.struct("_k", "other")))), lambda v: v["other"].cast("string"))
     stats = both.withColumn("_k", F.row_number().over(near)).groupBy("component", "id").agg(
-        F.count("*").alias("degree"), F.round(F.sum("score"), 6).alias("score_sum"), F.round(F.avg("score"), 6).alias("score_mean"), F.max("score").alias("score_max"), F.array_join(named, " || ").alias("strongest")
+        F.count("*").alias("degree"), F.round(F.sum("score"), 6).alias("score_sum"), (F.floor(F.sum(F.round(F.col("score") * 1_000_000).cast("bigint")) / F.count("*")) / 1_000_000).alias("score_mean"), F.max("score").alias("score_max"), F.array_join(named, " || ").alias("strongest")
     )
     w = Window.partitionBy("component").orderBy(F.desc("degree"), F.desc("score_max"), "id")
     return stats.withColumn("rank", F.row_number().over(w))

@@ -105,14 +105,13 @@ def source_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, term, doc_id): every Latin word of every text."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("source", F.explode(text.words(F.col("text"), 3)).alias("term"), "doc_id")
+    return docs.select("source", F.explode(text.words(F.col("text"))).alias("term"), "doc_id")
 
 
-def _stop(least: int) -> str:
-    return ", ".join(f"'{w}'" for w in text.STOP_WORDS if len(w) >= least)
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-TERMS = f"(select source, t as term, doc_id from (select source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) as t from documents) where t not in ({_stop(3)}))"
+TERMS = f"(select source, t as term, doc_id from (select source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,23}}')) as t from documents) where t not in ({_STOP}))"
 
 
 def signature_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +122,8 @@ def signature_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("value").alias("term"), "count", "first_seen", "entity_df", F.round("specificity", 6).alias("specificity"), "rank")
 
 
-def doc_terms(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(text.words(F.col("text"), least)).alias("term"))
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(text.words(F.col("text"))).alias("term"))
     return docs.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -142,8 +141,8 @@ def lexical_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(k: int, most: int) -> str:
-    return f"""t as (select doc_id as id, w as term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) as w from documents)
-    where w not in ({_stop(3)}) group by all), n as (select count(*)::double as n from documents),
+    return f"""t as (select doc_id as id, w as term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,23}}')) as w from documents)
+    where w not in ({_STOP}) group by all), n as (select count(*)::double as n from documents),
 d as (select term, count(*) as df from t group by term having count(*) >= 2 and count(*) <= least((select n from n) * 0.5, {most})),
 w as (select id, term, round((1 + ln(1 + tf)) * (ln(((select n from n) + 1) / (df + 1)) + 1), 9) as weight from t join d using (term)),
 k as (select * from (select *, row_number() over (partition by id order by weight desc, term) as rank from w) where rank <= {k})"""
