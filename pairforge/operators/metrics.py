@@ -4,30 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.shared import stash
+
+
+def running(points: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], *, ranges: int = 64) -> DataFrame:
+    """``points`` with before_* for each of ``sums``: its sum over all rows of the group that come earlier in ``order``.
+
+    Rows are cut into ranges at approximate quantiles of the order; a window runs inside a range, and what a range adds to
+    those after it is one row, so no task orders a whole group. ``order`` is unique within a group, and no number is missing.
+    """
+    names = {c: f"_{c}" for c in by}
+    cuts = points.groupBy(*by).agg(F.percentile_approx(order, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("_cuts"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
+    side = cuts.withColumnsRenamed(names)
+    placed = points.join(side if by else F.broadcast(side), same).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts", *names.values())
+    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    totals = placed.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_in_{c}") for c in sums))
+    over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_in_{c}").over(over), F.lit(0)).alias(f"_off_{c}") for c in sums))
+    out = placed.join(offsets, [*same, F.col("_range") == F.col("_r")] if by else F.col("_range") == F.col("_r"))
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_off_{c}") for c in sums}).drop("_range", "_r", *names.values(), *(f"_off_{c}" for c in sums))
+
 
 def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve for each group, ties by average rank; null without both labels.
 
-    Rows are first counted by (group, score), so windows run over distinct scores and not over rows.
+    Rows are first counted by (group, score), and sums run inside ranges of scores.
     """
     points = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("p"))
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = points.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("before") + F.col("n") + 1)).alias("r2"), F.sum("p").alias("pos"), F.sum("n").alias("rows"))
+    ranked = running(points, by, "_s", ["n"])
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("before_n") + F.col("n") + 1)).alias("r2"), F.sum("p").alias("pos"), F.sum("n").alias("rows"))
     neg = F.col("rows") - F.col("pos")
     auc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("r2") - F.col("pos") * (F.col("pos") + 1)) / (2 * F.col("pos") * neg))
     return sums.select(*by, "rows", F.col("pos").alias("positives"), F.round(auc, 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str], score: str, label: str, tie: str) -> DataFrame:
-    """Mean of the precision at each positive along falling scores; equal scores go in the order of ``tie``."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = df.select(*by, F.col(label).cast("bigint").alias("y"), F.sum(F.col(label).cast("bigint")).over(w).alias("tp"), F.count("*").over(w).alias("k"))
+    """Mean of the precision at each positive along falling scores; equal scores go in the order of ``tie``.
+
+    Scores are counted first and summed inside ranges; rows are ordered only among those of one score.
+    """
+    y = F.col(label).cast("bigint")
+    points = df.groupBy(*by, (-F.col(score)).alias("_s")).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
+    before = running(points, by, "_s", ["n", "p"]).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_s").alias("_t"), "before_n", "before_p")
+    w = Window.partitionBy(*by, "_s").orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select(*by, (-F.col(score)).alias("_s"), F.col(tie).alias(tie), y.alias("y")).select(*by, "_s", "y", F.sum("y").over(w).alias("tp"), F.count("*").over(w).alias("k"))
+    steps = rows.join(before, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_s") == F.col("_t")])
     pos = F.sum("y")
-    return steps.groupBy(*by).agg(F.count("*").alias("rows"), F.when(pos > 0, F.round(F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("k"))) / pos, 6)).alias("average_precision"))
+    precision = (F.col("before_p") + F.col("tp")) / (F.col("before_n") + F.col("k"))
+    return steps.groupBy(*by).agg(F.count("*").alias("rows"), F.when(pos > 0, F.round(F.sum(F.when(F.col("y") == 1, precision)) / pos, 6)).alias("average_precision"))
 
 
 def confusion(df: DataFrame, by: Sequence[str], predicted: Column, label: Column) -> DataFrame:
@@ -57,20 +87,21 @@ def brier(p: Column, y: Column) -> Column:
 def threshold_scan(df: DataFrame, score: str, label: str, extra: Sequence[float] = (0.05, 0.95)) -> DataFrame:
     """Confusion counts at every distinct score, at midpoints between them, and at ``extra``: (threshold, tp, fp, tn, fn).
 
-    Two cumulative sums over distinct scores answer all thresholds; no threshold is joined with rows.
+    What lies below each distinct score is summed inside ranges of scores; between two scores the counts are those of
+    the upper one. So one list of distinct scores, cut into ranges, answers all thresholds.
     """
-    points = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy("s")
-    after = points.withColumn("next", F.lead("s").over(w))
-    grid = after.select(F.col("s").alias("threshold")).unionByName(after.filter("next is not null").select(((F.col("s") + F.col("next")) / 2).alias("threshold")))
-    spark = df.sparkSession
-    grid = grid.unionByName(spark.createDataFrame([(float(x),) for x in extra], "threshold double")).distinct()
-    # at an equal score rows come before the threshold's own line, as a score that reaches it counts as positive
-    both = points.select(F.col("s").alias("v"), F.lit(1).alias("kind"), "p", "n").unionByName(grid.select(F.col("threshold").alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n")))
-    down = Window.orderBy(F.desc("v"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = points.agg(F.sum("p").alias("pos"), F.sum("n").alias("rows"))
-    seen = both.select("v", "kind", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("hit")).filter("kind = 0").join(F.broadcast(total), F.lit(True))
-    return seen.select(F.col("v").alias("threshold"), "tp", (F.col("hit") - F.col("tp")).alias("fp"), (F.col("rows") - F.col("pos") - F.col("hit") + F.col("tp")).alias("tn"), (F.col("pos") - F.col("tp")).alias("fn"))
+    points = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
+    kept = stash(running(points, [], "s", ["n", "p"]), "scores")
+    total = kept.agg(F.sum("p").alias("pos"), F.sum("n").alias("rows"))
+    # the next lower score of each: the greatest of its range, or of the ranges before
+    below = kept.select(F.col("s").alias("_s"), F.col("before_n").alias("_b"), (F.col("before_n") + F.col("n")).alias("_upto"))
+    mids = kept.join(below, F.col("before_n") == F.col("_upto")).select(((F.col("s") + F.col("_s")) / 2).alias("threshold"), "before_n", "before_p")
+    own = kept.select(F.col("s").alias("threshold"), "before_n", "before_p")
+    asked = df.sparkSession.createDataFrame([(float(x),) for x in extra], "threshold double")
+    # a few fixed numbers, each looked up by an aggregate over the distinct scores
+    fixed = asked.join(kept.select("s", "n", "p"), F.col("s") < F.col("threshold"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before_n"), F.coalesce(F.sum("p"), F.lit(0)).alias("before_p"))
+    both = own.unionByName(mids).unionByName(fixed).groupBy("threshold").agg(F.max("before_n").alias("bn"), F.max("before_p").alias("bp")).join(F.broadcast(total), F.lit(True))
+    return both.select("threshold", (F.col("pos") - F.col("bp")).alias("tp"), (F.col("rows") - F.col("pos") - F.col("bn") + F.col("bp")).alias("fp"), (F.col("bn") - F.col("bp")).alias("tn"), F.col("bp").alias("fn"))
 
 
 def _metrics(scan: DataFrame) -> DataFrame:
@@ -105,10 +136,64 @@ def best_threshold(scan: DataFrame, metric: str, *, ties: Sequence[str] = TIES,
     return first.unionByName(second).orderBy("_turn").limit(1).withColumn("metric", F.col(metric)).drop("_turn", "higher_threshold", "lower_threshold")
 
 
-def distribution(x: Column) -> list[Column]:
-    """min, quantiles by linear interpolation, mean and max of a number over a group."""
-    q = lambda p: F.round(F.percentile(x, F.lit(p)), 6)
-    return [F.count(x).alias("n"), F.min(x).alias("min"), q(0.05).alias("p05"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.max(x).alias("max")]
+def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """n, mean, population deviation, min, quartiles and max of a number's present values, for groups of any size."""
+    points = exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
+    at = lambda p: F.round(F.max(F.when(F.col("point") == p, F.col("quantile"))), 6)
+    wide = points.groupBy(*by).agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
+    x = F.col(value).cast("double")
+    sums = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    same = [sums[c].eqNullSafe(wide[c]) for c in by]
+    return sums.join(wide, same).select(*(sums[c] for c in by), "n", "mean", "median", "sd", "q25", "q75", "min", "max")
+
+
+def with_baseline(rows: DataFrame, slices: Sequence[str], model: str, metric: str, baseline: str) -> DataFrame:
+    """``rows`` (slices, model, metric) with the baseline model's metric of the same slice and the difference; null without one."""
+    base = rows.filter(F.col(model) == baseline).select(*(F.col(c).alias(f"_{c}") for c in slices), F.col(metric).alias("baseline"))
+    out = rows.join(base, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in slices], "left").drop(*(f"_{c}" for c in slices))
+    return out.withColumn("delta", F.round(F.col(metric) - F.col("baseline"), 6))
+
+
+def top_by(rows: DataFrame, value: Column, ties: Sequence[str], most: int) -> DataFrame:
+    """The ``most`` rows of greatest value, missing ones last, with their place; ties in the order of ``ties``."""
+    best = rows.withColumn("_value", value).orderBy(F.desc_nulls_last("_value"), *ties).limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("_value"), *ties))).drop("_value")
+
+
+def bootstrap_threshold(df: DataFrame, score: str, label: str, metric: str, *, resamples: int = 200, seed: int = 7, take: str = "median", least_distinct: int = 3, most_points: int = 100_000) -> dict:
+    """A threshold from resamples of validation rows, as many of either label as there are: threshold, used, reason, distinct.
+
+    Each resample chooses by the metric with the usual ties; the result is the median or mean of the choices. With one
+    label only, or fewer than ``least_distinct`` different choices, it is the choice on the rows themselves. Rows come to
+    the driver as counts of distinct scores, of which there are few in a validation set: more than ``most_points`` are refused.
+    """
+    points = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n")).limit(most_points + 1).collect()
+    if len(points) > most_points:
+        raise ValueError(f"more than {most_points} distinct scores")
+    points.sort(key=lambda r: r["s"])
+    s, pos = np.array([r["s"] for r in points]), np.array([r["p"] for r in points], np.int64)
+    neg = np.array([r["n"] for r in points], np.int64) - pos
+    grid = np.unique(np.concatenate([s, (s[1:] + s[:-1]) / 2, [0.05, 0.95]]))
+
+    def choose(p: np.ndarray, q: np.ndarray) -> float:
+        at = np.searchsorted(s, grid)
+        fn, tn = np.append(0, np.cumsum(p))[at], np.append(0, np.cumsum(q))[at]
+        tp, fp = p.sum() - fn, q.sum() - tn
+        rate = lambda a, b: np.round(np.divide(a, b, out=np.zeros(len(grid)), where=b > 0), 9)
+        found = {"precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "specificity": rate(tn, tn + fp), "f1": rate(2 * tp, 2 * tp + fp + fn), "accuracy": rate(tp + tn, tp + fp + tn + fn), "higher_threshold": grid}
+        found["balanced_accuracy"] = np.round((found["recall"] + found["specificity"]) / 2, 9)
+        return float(grid[np.lexsort([found[t] for t in (*TIES[::-1], metric)])[-1]])
+
+    single = choose(pos, neg)
+    if not pos.sum() or not neg.sum():
+        return {"threshold": single, "used": False, "reason": "one_label", "distinct": 0}
+    rng = np.random.default_rng(seed)
+    draw = lambda n: rng.multinomial(n.sum(), n / n.sum())
+    chosen = [choose(draw(pos), draw(neg)) for _ in range(resamples)]
+    distinct = len({round(x, 6) for x in chosen})
+    if distinct < least_distinct:
+        return {"threshold": single, "used": False, "reason": "few_thresholds", "distinct": distinct}
+    return {"threshold": float(np.median(chosen) if take == "median" else np.mean(chosen)), "used": True, "reason": "", "distinct": distinct}
 
 
 def exclusive_p90(values: Column) -> Column:

@@ -35,6 +35,27 @@ def signature_values(counts: DataFrame, entity: Sequence[str], total: Column, k:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# Reasons to leave an item out, in the order in which they name an entity that has nothing else.
+REASONS = ("alias", "key", "contact", "script", "other")
+ENTITY_REASONS = {"alias": "alias_overlap", "key": "key_overlap", "contact": "contact_overlap", "script": "no_eligible_items_after_script_filter"}
+
+
+def entity_buckets(items: DataFrame, entity: str) -> DataFrame:
+    """Each entity's items by bucket and reason, and the bucket and reason that they give the entity.
+
+    ``items`` has bucket (source, strict, aux, excluded) and reason. The target's buckets go before the source's; an
+    entity of the source that lost items for a reason of its own is marked as partly excluded.
+    """
+    counts = items.groupBy(entity).agg(
+        F.count("*").alias("items"), *(F.count_if(F.col("bucket") == b).alias(b) for b in ("source", "strict", "aux")), *(F.count_if((F.col("bucket") == "excluded") & (F.col("reason") == r)).alias(f"excluded_{r}") for r in REASONS)
+    )
+    some = F.col("excluded_alias") + F.col("excluded_key") + F.col("excluded_contact") + F.col("excluded_script") > 0
+    bucket = F.when(F.col("strict") > 0, "strict").when(F.col("aux") > 0, "aux").when(F.col("source") > 0, "source").otherwise("excluded")
+    first = F.coalesce(*(F.when(F.col(f"excluded_{r}") > 0, said) for r, said in ENTITY_REASONS.items()), F.lit("no_eligible_items"))
+    reason = F.when(bucket.isin("strict", "aux"), "").when(bucket == "source", F.when(some, "partial_item_exclusion").otherwise("")).otherwise(first)
+    return counts.withColumn("bucket", bucket).withColumn("reason", reason)
+
+
 def number_stats(x: Column) -> Column:
     """count, min, median and max of a number as a struct, over a group."""
     return F.struct(F.count(x).alias("count"), F.min(x).alias("min"), F.median(x).alias("median"), F.max(x).alias("max"))

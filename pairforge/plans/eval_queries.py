@@ -90,7 +90,7 @@ def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def high_sim_negative_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each other language's low-quality documents that score above the 90 % point of the English good ones."""
     own = scored_labels(spark, sf_dir)
-    point = own.filter("lang = 'en' and quality = 1").agg(F.percentile("score", F.lit(0.9)).alias("q90"))
+    point = metrics.exact_quantiles(own.filter("lang = 'en' and quality = 1"), [], "score", [0.9]).select(F.col("quantile").alias("q90"))
     return own.filter("quality = 0").join(F.broadcast(point), F.lit(True)).groupBy("lang").agg(F.count("*").alias("negatives"), F.count_if(F.col("score") >= F.col("q90")).alias("high"), F.round(F.first("q90"), 6).alias("q90"))
 
 
@@ -150,7 +150,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hard_boundary_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = scored_labels(spark, sf_dir).select("doc_id", "score", "quality")
-    return split.hard_boundary_sample(own, "score", "quality", "doc_id", negatives=20, positives=20, middle=20)
+    return split.hard_boundary_sample(own, "score", "quality", "doc_id", 0.5, order=F.col("doc_id"))
 
 
 def _fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,8 +270,12 @@ ORACLE = {
         p as (select *, greatest((select want from w) - sum(base) over (), 0) as spare, sum((base < n)::int) over (order by part desc, lang, quality rows unbounded preceding) as place from b),
         q as (select lang, quality, base + (base < n and place <= spare)::int as quota from p)
         select doc_id, lang, quality from (select l.*, quota, row_number() over (partition by lang, quality order by doc_id) as k from l join q using (lang, quality)) where k <= quota""",
-    "hard_boundary_sample": f"""with {_SCORED}, a as (select doc_id, score, quality, 'hard_negative' as kind from s where quality = 0 order by score desc, doc_id limit 20), b as (select doc_id, score, quality, 'hard_positive' as kind from s where quality = 1 order by score, doc_id limit 20),
-        c as (select doc_id, score, quality, 'near_median' as kind from s where doc_id not in (select doc_id from a union all select doc_id from b) order by abs(score - (select median(score) from s)), doc_id limit 20)
+    "hard_boundary_sample": f"""with {_SCORED}, n as (select count(*) as n, count(*) filter (quality = 0) as neg, count(*) filter (quality = 1) as pos, round_even(count(*) * 0.5::double, 0)::bigint as want from s),
+        q as (select least(neg, greatest(1, round_even(want * 0.35::double, 0)::bigint)) as qn, least(pos, greatest(1, round_even(want * 0.35::double, 0)::bigint)) as qp, want from n),
+        a as (select doc_id, score, quality, 'hard_negative' as kind from (select *, row_number() over (order by score desc, doc_id) as k from s where quality = 0), q where k <= qn),
+        b as (select doc_id, score, quality, 'hard_positive' as kind from (select *, row_number() over (order by score, doc_id) as k from s where quality = 1), q where k <= qp),
+        m as (select quality, median(score) as mid from s group by quality),
+        c as (select doc_id, score, quality, 'typical' as kind from (select s.*, row_number() over (order by round(abs(score - mid), 9), doc_id) as k from s join m using (quality) where doc_id not in (select doc_id from a union all select doc_id from b)), q where k <= want - qn - qp)
         select * from a union all select * from b union all select * from c""",
     "fixed_logistic_score": f"with {_SCORED} select doc_id, round(1 / (1 + exp(-greatest(least(0.25::double + (chars - 1000) / 500 * 0.5::double + (stops - 40) / 20 * -0.75::double, 35), -35))), 6) as prob_positive from s",
     "model_choice": f"""with {_SCORED}, l as (select lang as family, quality, unnest(['lower', 'size', 'blanks']) as model_id, unnest([score, chars::double, -blanks::double]) as score from s),

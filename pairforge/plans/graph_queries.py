@@ -118,13 +118,13 @@ def member_set_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole components of labelled documents given to train, valid and test."""
-    labels = table(spark, sf_dir, "labels")
+    """Whole components of labelled documents given to train, valid and test, every split with good and bad ones of each language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = table(spark, sf_dir, "labels").join(docs, "doc_id")
     members = clone_components(spark, sf_dir)
-    rows = labels.join(members, labels["doc_id"] == members["id"], "left").select(F.coalesce("component", "doc_id").alias("component"), "quality")
-    per = rows.groupBy("component").agg(F.count("*").alias("rows"), F.sum("quality").alias("positives"))
-    # equal components are interchangeable: the greedy step gets one row for each
-    return split.split_components(per, {"train": 0.55, "valid": 0.2, "test": 0.25}, most_components=1_000_000)
+    rows = labels.join(members, labels["doc_id"] == members["id"], "left").select(F.coalesce("component", "doc_id").alias("component"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"), F.col("lang").alias("stratum"))
+    need = [{"label": label, "stratum": lang, "splits": ["train", "valid", "test"], "severity": severity, "least_in_pool": 3} for label, severity in (("positive", "error"), ("negative", "warning")) for lang in ("de", "en", "es", "fr")]
+    return split.split_components(split.component_table(rows, "component", "label", "stratum"), {"train": 0.55, "valid": 0.2, "test": 0.25}, requirements=need, most_components=1_000_000)
 
 
 def capped_greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,33 @@ def coverage(counts: DataFrame, required: DataFrame, keys: Sequence[str]) -> Dat
     return out.withColumn("enough", F.col("found") >= F.col("least"))
 
 
+def coverage_by_severity(rows: DataFrame, required: DataFrame, keys: Sequence[str], split: str) -> DataFrame:
+    """``required`` (keys, split, severity, least_in_pool) with what the pool and the split have, and ``status``.
+
+    A requirement holds only if the pool has as many rows; then a split without any gives the requirement's severity.
+    """
+    pool = rows.groupBy(*keys).agg(F.count("*").alias("in_pool"))
+    here = rows.groupBy(*keys, split).agg(F.count("*").alias("found"))
+    out = required.join(pool, list(keys), "left").join(here, [*keys, split], "left").fillna(0, ["in_pool", "found"])
+    status = F.when(F.col("in_pool") < F.col("least_in_pool"), "not_required").when(F.col("found") > 0, "covered").otherwise(F.col("severity"))
+    return out.withColumn("status", status).drop("least_in_pool")
+
+
+def missing_fields(df: DataFrame, mapping: dict[str, str]) -> list[str]:
+    """The fields of a source's mapping (field -> column, dots inside structs) that the table does not have, in order."""
+
+    def has(schema, path: list[str]) -> bool:
+        found = {f.name: f.dataType for f in getattr(schema, "fields", [])}
+        return path[0] in found and (len(path) == 1 or has(found[path[0]], path[1:]))
+
+    return [name for name, column in mapping.items() if not has(df.schema, column.split("."))]
+
+
+def acceptance(checks: dict[str, bool]) -> dict:
+    """Named results of a step's checks, with ``all_passed`` and the failed names."""
+    return {**checks, "all_passed": all(checks.values()), "failed": sorted(k for k, ok in checks.items() if not ok)}
+
+
 def sorted_thresholds(values: Sequence[float]) -> list[float]:
     if bad := [v for v in values if not 0 <= v <= 1]:
         raise CheckFailed(f"thresholds outside 0 to 1: {bad}")

@@ -4,10 +4,11 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pairforge.functions import numeric, text
-from pairforge.operators import block, features, graph, metrics, ml, profile, review, split, vectors
+from pairforge.operators import block, clusters, features, graph, metrics, ml, profile, queues, review, signals, split, vectors
 from pairforge.sources import checks, io
 
 
@@ -253,14 +254,110 @@ def test_trees_and_collapse_guard(spark):
     assert ml.family_gains({"x": 3.0, "y": 1.0}, {"f": ["x"], "g": ["x", "y"]}) == {"f": 0.75, "g": 0.25, "other": 0.0}
 
 
-def test_split_keeps_components_whole(spark):
-    rows = [(str(i), 1 + i % 4, i % 2) for i in range(60)]
-    got = split.split_components(spark.createDataFrame(rows, "component string, rows int, positives int"), {"train": 0.55, "valid": 0.2, "test": 0.25}).collect()
-    size = {c: n for c, n, _ in rows}
-    total = sum(size.values())
-    for name, want in (("train", 0.55), ("valid", 0.2), ("test", 0.25)):
-        assert sum(size[r.component] for r in got if r.split == name) / total == pytest.approx(want, abs=0.05)
+def components(spark, rows):
+    """(component, label, stratum) rows as a component table."""
+    return split.component_table(spark.createDataFrame(rows, "component string, label string, stratum string"), "component", "label", "stratum")
+
+
+def test_split_keeps_components_whole_and_balances_strata(spark):
+    rows = [(str(i), "positive" if (i + j) % 3 == 0 else "negative", f"s{i % 2}") for i in range(60) for j in range(1 + i % 4)]
+    ratios = {"train": 0.55, "valid": 0.2, "test": 0.25}
+    got = {r.component: r.split for r in split.split_components(components(spark, rows), ratios).collect()}
     assert len(got) == 60
+    for name, want in ratios.items():
+        for kind in (None, ("positive", "s0"), ("negative", "s1")):
+            own = [r for r in rows if kind is None or r[1:] == kind]
+            assert sum(got[c] == name for c, *_ in own) / len(own) == pytest.approx(want, abs=0.08), (name, kind)
+
+
+def test_split_seeds_rare_kinds(spark):
+    rows = [(f"c{i}", "negative", "common") for i in range(20)] + [("r1", "positive", "rare"), ("r2", "positive", "rare"), ("r2", "negative", "common"), ("r3", "positive", "rare"), ("only", "positive", "single")]
+    need = [{"label": "positive", "stratum": "rare", "splits": ["train", "valid", "test"], "severity": "error", "least_in_pool": 3}, {"label": "positive", "stratum": "single", "splits": ["valid"], "least_in_pool": 2}]
+    got = {r.component: r.split for r in split.split_components(components(spark, rows), {"train": 0.6, "valid": 0.2, "test": 0.2}, requirements=need).collect()}
+    # the smallest components first, by name: r1 and r3 have one row, r2 two
+    assert (got["r1"], got["r3"], got["r2"]) == ("train", "valid", "test")
+    with pytest.raises(ValueError, match="more than 3"):
+        split.split_components(components(spark, rows), {"a": 1.0}, most_components=3)
+
+
+def test_boundary_quotas():
+    assert split.boundary_quotas(100, 60, 40, 0.2, 0.35, 0.35) == (7, 7, 6)
+    assert split.boundary_quotas(10, 0, 10, 0.5, 0.35, 0.35) == (0, 2, 3)
+    assert split.boundary_quotas(3, 2, 1, 0.3, 0.9, 0.9) == (0, 1, 0)
+    assert split.boundary_quotas(5, 3, 2, 0.01, 0.35, 0.35) == (0, 1, 0)
+
+
+def test_running_sums_whatever_the_ranges(spark):
+    rng = random.Random(8)
+    rows = [(g, round(x, 4), rng.randrange(5)) for g in ("a", "b", None) for x in {rng.gauss(0, 1) for _ in range(300)}] + [("one", 1.0, 2)]
+    got = metrics.running(spark.createDataFrame(rows, "g string, x double, n bigint").groupBy("g", "x").agg(F.sum("n").alias("n")), ["g"], "x", ["n"], ranges=5).collect()
+    for r in got:
+        assert r.before_n == sum(n for g, x, n in rows if g == r.g and x < r.x)
+
+
+def test_thresholds_by_resamples(spark):
+    rng = random.Random(2)
+    rows = [(min(1.0, max(0.0, round(rng.gauss(0.4 + 0.2 * y, 0.15), 3))), y) for y in (0, 1) for _ in range(80)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    found = metrics.bootstrap_threshold(df, "s", "y", "balanced_accuracy")
+    assert found["used"] and 0.35 < found["threshold"] < 0.65 and found["distinct"] >= 3
+    alone = metrics.bootstrap_threshold(df, "s", "y", "balanced_accuracy", resamples=1)
+    assert alone["reason"] == "few_thresholds"
+    assert alone["threshold"] == metrics.best_threshold(metrics.threshold_scan(df, "s", "y"), "balanced_accuracy").first().threshold
+    assert metrics.bootstrap_threshold(df.filter("y = 1"), "s", "y", "f1")["reason"] == "one_label"
+
+
+def test_signals_of_all_kinds():
+    found = lambda text: [(k, v, e, facing, risk, direct) for k, v, _, e, _, facing, risk, direct, _ in signals.signals_of(text)]
+    assert found("联系 飞机号：@shop_one 微信：good_shop9 QQ 12345678") == [
+        ("telegram", "shop_one", "telegram_cue", 1, 0, 1), ("wechat", "good_shop9", "wechat_cue", 1, 0, 1), ("qq", "12345678", "qq_cue", 1, 0, 1),
+    ]
+    assert found("@nobody_here in the text") == [] and found("contact @some_body now")[0][:3] == ("telegram", "some_body", "telegram_at_handle_with_context")
+    assert found("PGP fingerprint: AAAA BBBB CCCC DDDD EEEE 1111 2222 3333 4444 5555")[0][:2] == ("pgp_fingerprint", "aaaabbbbccccddddeeee11112222333344445555")
+    assert found("see http://www.shop.onion/viewtopic, http://Good.Shop.com/a//b/c?x=1, youtube.com/x")[0][:2] == ("external_url", "good.shop.com/a/b") and len(found("youtube.com/x t.me")) == 0
+    assert [f[:2] for f in found("jabber: Joe.X@xmpp.org 蝙蝠 id 1234567")] == [("email", "joe.x@xmpp.org"), ("jabber", "joe.x@xmpp.org"), ("bat", "1234567")]
+    assert found("leak sample a@b.org") == [("email", "a@b.org", "plain_email", 0, 1, 0)] and found("a..b@c.org") == []
+    assert found("USDT 钱包 T" + "A" * 33)[0] == ("crypto_wallet", "T" + "A" * 33, "crypto_wallet", 1, 0, 1)
+    block = "-----BEGIN PGP PUBLIC KEY BLOCK-----\nx@y.org\n-----END PGP PUBLIC KEY BLOCK-----"
+    assert [f[0] for f in found(f"{block} wickr me: Fast_Shop")] == ["pgp_public_key", "wickr"] and found("Ｑ Ｑ：１２３４５６")[0][:2] == ("qq", "123456")
+    assert found("tel 电话：+86 138-0013-8000 and again 手机 8613800138000") == [("phone", "8613800138000", "phone_cue", 1, 0, 1)]
+    assert signals.in_context("phone", "138 0013", "call 1-380-013") and not signals.in_context("qq", "12", "1 2") and signals.in_context("qq", "aB", "xab")
+
+
+def test_signal_queues(spark):
+    rows = [("s1", "qq", "123", 1, 0, 0), ("s2", "qq", "123", 1, 0, 0), ("s3", "qq", "123", 1, 1, 0), ("s1", "email", "a@b", 1, 0, 0), ("s2", "email", "a@b", 1, 0, 0), ("s4", "url", "u", 0, 0, 1)]
+    df = spark.createDataFrame(rows, "entity string, kind string, value string, direct int, risk int, support_only int")
+    good = queues.eligible_signals(df, ["qq", "email"], {"*": ["none"], "email": ["A@B "]})
+    assert [tuple(r) for r in queues.signal_pairs(good).collect()] == [("s1", "s2", "qq", "123", 2)]
+    index, left_out = signals.signal_index(df, ["qq", "email"], {"email": ["a@b"]})
+    assert {r.entity: r.contacts for r in index.collect()} == {"s1": ["qq:123"], "s2": ["qq:123"]} and {r.reason: r.signals for r in left_out.collect()} == {"risk": 1, "excluded_value": 2, "kind": 1}
+
+
+def test_capped_order_and_routes(spark):
+    df = spark.createDataFrame([(i, f"t{i % 2}", f"b{i % 3}", 10.0 - i) for i in range(9)], "k int, token string, bucket string, score double")
+    got = [(r.k, r["rank"]) for r in queues.capped_in_order(df, [F.desc("score")], "k", {"token": 2, "bucket": 1}, 9).collect()]
+    assert got == [(0, 1), (1, 2), (2, 3)]
+    with pytest.raises(PySparkException, match="too few"):
+        queues.capped_in_order(df, [F.desc("score")], "k", {"token": 1}, 5, candidates=4).collect()
+    edges = spark.createDataFrame([(True, False, "x", 3, None), (False, False, "text_clone_primary", 3, "negative")], "contact boolean, fingerprint boolean, stratum string, cluster_rank int, review_label string")
+    assert [(r.target_bucket, r.suggested_label, r.route) for r in queues.routed(edges, {"template_clone": {"target_bucket": "own"}}).collect()] == [("cluster_0003_identifier_anchor", "positive_candidate", "queue"), ("own", "uncertain_candidate", "rereview")]
+    assert queues.threshold_token(0.735) == "0735000" and queues.ratio_token(0.5) == "050"
+
+
+def test_clusters(spark):
+    labels = spark.createDataFrame([("positive", True, 1, "", ""), ("positive", False, 1, "qq:1", ""), ("positive", True, 0, "QQ:1", ""), ("positive", True, 0, "email:a", "good"), ("positive", True, 0, "email:a", "good bad"), ("", None, None, None, None), (None,) * 5], "l string, u boolean, f int, v string, n string")
+    got = [r[0] for r in labels.select(clusters.label_class(*(F.col(c) for c in "lufvn"), ("qq:",), ("good",), ("bad",))).collect()]
+    assert got == ["proof_positive", "nonproof_positive", "proof_positive", "proof_positive", "nonproof_positive", "blank", "missing"]
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.4), (7, 8, 0.9)], "a int, b int, score double")
+    members = graph.connected_components(edges)
+    assert clusters.graph_agrees(edges, members, {"edges": 3, "nodes": 5, "clusters": 2}) == [] and clusters.graph_agrees(edges, members, {"edges": 2, "nodes": 5, "clusters": 3}) == ["edges", "clusters"]
+    assert clusters.run_overlap(edges, edges.limit(0), ["a", "b"]).first().jaccard == 0.0
+
+
+def test_contexts_of_sources(spark):
+    df = spark.createDataFrame([((1, "x"), 2)], "a struct<b: int, c: string>, d int")
+    assert checks.missing_fields(df, {"one": "a.b", "two": "a.z", "three": "d", "four": "e.f"}) == ["two", "four"]
+    assert checks.acceptance({"x": True, "y": False}) == {"x": True, "y": False, "all_passed": False, "failed": ["y"]}
 
 
 def test_capped_greedy(spark):
