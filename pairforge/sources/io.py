@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -13,12 +14,23 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file with a header, all columns as text; quoted line ends and a byte order mark are understood."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, line_ends_in_values: bool = True) -> DataFrame:
+    """A CSV file with a header, all columns as text; a byte order mark is understood.
+
+    Quoted line ends need a file to be read by one task. Without ``line_ends_in_values`` large files are cut into parts.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_ends_in_values).option("escape", '"').option("encoding", "UTF-8")
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path)
+    out = reader.csv(path)
+    return out.toDF(*(c.removeprefix("\ufeff") for c in out.columns))
+
+
+def _flat(df: DataFrame, column: str):
+    kind = dict(df.dtypes).get(column)
+    if kind is None:
+        return F.lit("").alias(column)
+    return F.to_json(column).alias(column) if kind.startswith(("array", "map", "struct")) else F.col(column)
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], *, tolerant: bool = False) -> None:
@@ -29,9 +41,33 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], *, tolerant: boo
     extra = set(df.columns) - set(columns)
     if extra and not tolerant:
         raise ValueError(f"columns that the file does not have: {sorted(extra)}")
-    kinds = dict(df.dtypes)
-    one = lambda c: F.lit("").alias(c) if c not in kinds else (F.to_json(c).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c))
-    df.select(*map(one, columns)).write.option("header", True).option("escape", '"').csv(path)
+    df.select(*(_flat(df, c) for c in columns)).write.option("header", True).option("escape", '"').csv(path)
+
+
+def write_union_csv(tables: Sequence[DataFrame], path: str) -> list[str]:
+    """Writes several tables as one, with all their columns in the order in which they first come; returns these.
+
+    What a table lacks is empty, nested columns become JSON.
+    """
+    columns = list(dict.fromkeys(c for t in tables for c in t.columns))
+    out = None
+    for t in tables:
+        own = t.select(*(_flat(t, c).cast("string").alias(c) for c in columns))
+        out = own if out is None else out.unionByName(own)
+    out.write.option("header", True).option("escape", '"').csv(path)
+    return columns
+
+
+def write_sorted_buckets(df: DataFrame, path: str, bucket: str, order: Sequence[str]) -> None:
+    """Writes CSV files in a folder for each bucket, each bucket's rows in order over its files' names.
+
+    Rows are dealt by ranges of bucket and order, so a large bucket has several files and no task holds it all.
+    """
+    df.repartitionByRange(bucket, *order).sortWithinPartitions(bucket, *order).write.partitionBy(bucket).option("header", True).option("escape", '"').csv(path)
+
+
+class BrokenLine(ValueError):
+    """A line that holds no JSON object, with its place."""
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -39,6 +75,24 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def need_json_lines(spark: SparkSession, path: str) -> None:
+    """Raises with the file and the number of the first line that is no JSON object; blank lines are no error.
+
+    Lines are looked at in parts; the number is counted only in a file that has a broken one.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    bad = lines.filter(F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")).select(F.min("file")).first()[0]
+    if bad is not None:
+        rows = spark.read.text(bad, wholetext=True).first()[0].split("\n")
+        for number, line in enumerate(rows, 1):
+            try:
+                found = json.loads(line) if line.strip() else {}
+            except ValueError:
+                found = None
+            if not isinstance(found, dict):
+                raise BrokenLine(f"{bad}, line {number}")
+
+
 def write_json_lines(df: DataFrame, path: str, bucket: str | None = None) -> None:
     writer = df.write
     (writer.partitionBy(bucket) if bucket else writer).json(path)
@@ -62,7 +116,7 @@ def insert_columns(spark: SparkSession, path: str) -> list[str]:
 
 def read_pages(spark: SparkSession, pattern: str) -> DataFrame:
     """Files as (file_name, html), one row each."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("html"))
+    return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("html"))
 
 
 class WorksheetSource(DataSource):
@@ -105,7 +159,7 @@ def worksheet_rows(path: str) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in names:
             for item in ET.fromstring(book.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        sheet = _first_sheet(book)
         with book.open(sheet) as file:
             for _, node in ET.iterparse(file):
                 if node.tag != f"{_NS}row":
@@ -124,6 +178,23 @@ def worksheet_rows(path: str) -> Iterator[list[str | None]]:
                 node.clear()
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The file of the sheet that the workbook lists first; without a list, that of the lowest number."""
+    names = book.namelist()
+    try:
+        listed = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
+        wanted = listed.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")
+        for link in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if link.get("Id") == wanted:
+                target = link.get("Target", "")
+                path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                if path in names:
+                    return path
+    except (KeyError, AttributeError, ET.ParseError):
+        pass
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
 def _column(place: str) -> int:
     n = 0
     for ch in re.match("[A-Z]*", place)[0]:
@@ -147,6 +218,12 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame, key: str) ->
     return cached if same else None
 
 
+def write_vectors(vectors: DataFrame, path: str, key: str) -> str:
+    """Writes a cache of vectors and, beside it, a digest of its keys; returns that. ``read_vectors`` takes it back."""
+    vectors.write.mode("overwrite").parquet(path)
+    return table_fingerprint(vectors, [key])
+
+
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> str:
     """A digest of a table's rows whatever their order: sums of row hashes and the number of rows."""
     cols = list(columns or df.columns)

@@ -484,6 +484,68 @@ def test_csv_json_and_dump_round_trips(spark, tmp_path):
     assert io.insert_columns(spark, str(tmp_path / "dump.sql")) == ["id", "name"]
 
 
+def test_result_files_and_lookups(spark, tmp_path):
+    from pairforge.sources import results
+
+    (tmp_path / "c.json").write_text('{"a": {"x": 2}, "b": [1]}')
+    assert results.load_config(str(tmp_path / "c.json"), {"a": {"x": 1, "y": 3}, "c": 4}) == {"a": {"x": 2, "y": 3}, "b": [1], "c": 4}
+    results.write_json({"k": "é"}, str(tmp_path / "o.json"))
+    assert (tmp_path / "o.json").read_text(encoding="utf-8") == '{\n  "k": "é"\n}\n'
+    assert results.resolved_features({"v": ["a", "b"], "w": ["b", "c"]}, ["w", "v"], ["d"], ["c"]) == ["b", "a", "d"]
+    with pytest.raises(KeyError):
+        results.resolved_features({}, ["v"])
+    assert results.allowed_name("step_a", ["step"], []) and not results.allowed_name("step_a", [], ["step_"]) and not results.allowed_name("x", ["step"], [])
+    manifest = spark.createDataFrame([("s", 1, "strict"), ("s", 2, "excluded"), ("t", 1, "aux")], "source string, row int, data_bucket string")
+    raw = spark.createDataFrame([("s", 1, "A"), ("s", 2, "B"), ("t", 1, "C"), ("u", 1, "D")], "source string, row int, title string")
+    got = results.with_raw_rows(results.eligible_lookup(manifest, ["strict", "aux"], ["source", "row"]), raw, "source", "row")
+    assert sorted(map(tuple, got.collect())) == [("s", 1, "strict", "A"), ("t", 1, "aux", "C")]
+    with pytest.raises(checks.CheckFailed):
+        results.eligible_lookup(manifest.union(manifest), ["strict"], ["source", "row"])
+    pairs = spark.createDataFrame([(" K ", "1"), ("k", "0"), ("k", " "), ("", "2")], "a string, f string")
+    assert [tuple(r) for r in results.multimap(pairs, "a", "f").collect()] == [("k", ["0", "1"])]
+    scores = spark.createDataFrame([("p", "0.5"), ("q", ""), ("r", "NaN")], "uid string, s string")
+    assert [tuple(r) for r in results.score_map(scores, "uid", "s").collect()] == [("p", 0.5)]
+    with pytest.raises(checks.CheckFailed):
+        results.score_map(scores, "uid", "none")
+    assert results.run_scores({"a": scores.limit(1), "b": scores.limit(1)}, "uid", "s").count() == 2
+    assert results.found_summaries(str(tmp_path), "*.json")[-1].endswith("o.json") and results.found_summaries(str(tmp_path / "no"), "*.json", str(tmp_path))
+    one = results.context_fingerprint([str(tmp_path / "c.json"), str(tmp_path / "gone")])
+    assert one == results.context_fingerprint([str(tmp_path / "gone"), str(tmp_path / "c.json")]) != results.context_fingerprint([str(tmp_path / "c.json")])
+    assert results.merged_summary({"context": 1, "runs": {"a": 1}}, {"context": 1, "runs": {"b": 2}}) == ({"context": 1, "runs": {"a": 1, "b": 2}}, False)
+    assert results.merged_summary({"context": 1}, {"context": 2}) == ({"context": 2}, True) and results.merged_summary(None, {"context": 2})[1] is False
+    runs = [{"family": "f", "run": "a", "auc": 0.7}, {"family": "f", "run": "b", "auc": 0.8}, {"family": "f", "run": "c", "auc": 0.8, "average_precision": 0.1}]
+    assert results.resolved_scorer(runs, "f")["run"] == "c" and results.resolved_scorer(runs, "f", "a")["run"] == "a"
+    assert results.missing_inputs({"x": str(tmp_path / "c.json"), "y": str(tmp_path / "gone")}, ["json", "no_such_module"]) == ["y", "no_such_module"]
+    assert results.grid(ratio=[1, 2], seed=[7]) == [{"ratio": 1, "seed": 7}, {"ratio": 2, "seed": 7}]
+    old, new = spark.createDataFrame([(1, 0.1, "x"), (2, 0.2, "y")], "k int, s double, t string"), spark.createDataFrame([(1, 0.9, 5), (3, 0.3, 6)], "k int, s double, u int")
+    assert sorted(map(tuple, results.merged_columns(old, new, "k", ["s", "u"]).collect())) == [(1, 0.9, "x", 5), (2, 0.2, "y", None)]
+    kept, left_out = results.core_eligible(spark.createDataFrame([("1",), ("0",), (None,)], "u string"), "u")
+    assert kept.count() == 1 and left_out == 2
+    assert [tuple(r) for r in results.read_config_table(spark, [{"a": "x"}, {"b": 2}], "a string, b int").collect()] == [("x", None), (None, 2)]
+
+
+def test_sinks_and_broken_lines(spark, tmp_path):
+    one, two = spark.createDataFrame([(1, ["x"])], "a int, b array<string>"), spark.createDataFrame([("z", 2)], "c string, a int")
+    assert io.write_union_csv([one, two], str(tmp_path / "u")) == ["a", "b", "c"]
+    assert sorted(tuple(r) for r in io.read_csv(spark, str(tmp_path / "u")).collect()) == [("1", '["x"]', None), ("2", None, "z")]
+    rows = spark.createDataFrame([(f"b{i % 2}", (i * 7) % 50) for i in range(50)], "bucket string, n int")
+    io.write_sorted_buckets(rows, str(tmp_path / "s"), "bucket", ["n"])
+    for b in ("b0", "b1"):
+        lines = [int(x) for f in sorted((tmp_path / "s" / f"bucket={b}").glob("part-*")) for x in f.read_text().split()[1:]]
+        assert lines == sorted(lines) and len(lines) == 25
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.html").write_text("<p>one\ntwo</p>\n")
+    assert [tuple(r) for r in io.read_pages(spark, str(tmp_path / "h" / "*.html")).collect()] == [("a.html", "<p>one\ntwo</p>\n")]
+    (tmp_path / "good.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n{"a": \n')
+    io.need_json_lines(spark, str(tmp_path / "good.jsonl"))
+    with pytest.raises(io.BrokenLine, match="bad.jsonl, line 3"):
+        io.need_json_lines(spark, str(tmp_path / "bad.jsonl"))
+    vectors_ = spark.createDataFrame([(1, [0.5])], "id int, v array<double>")
+    assert io.write_vectors(vectors_, str(tmp_path / "v"), "id") == io.table_fingerprint(vectors_, ["id"])
+    assert io.read_vectors(spark, str(tmp_path / "v"), vectors_, "id").count() == 1 and io.read_vectors(spark, str(tmp_path / "v"), vectors_.limit(0), "id") is None
+
+
 def test_worksheet_source(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row r="2"><c r="B2"><v>7</v></c></row></sheetData></worksheet>'
