@@ -215,10 +215,11 @@ def ks_statistic(df: DataFrame, value: str, side: Column, by: Sequence[str] = ()
     """The greatest distance of two samples' distribution functions; ``side`` is 0 or 1, other rows are passed over."""
     points = df.select(*by, F.col(value).alias("v"), side.cast("int").alias("side")).filter("v is not null and side in (0, 1)")
     points = points.groupBy(*by, "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    up = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = points.select(*by, (F.sum("a").over(up) / F.sum("a").over(w)).alias("fa"), (F.sum("b").over(up) / F.sum("b").over(w)).alias("fb"))
-    return far.groupBy(*by).agg(F.round(F.max(F.abs(F.col("fa") - F.col("fb"))), 6).alias("ks"))
+    upto = running(points, by, "v", ["a", "b"])
+    sums = points.groupBy(*by).agg(F.sum("a").alias("_all_a"), F.sum("b").alias("_all_b")).withColumnsRenamed({c: f"_{c}" for c in by})
+    both = upto.join(sums, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else upto.join(F.broadcast(sums), F.lit(True))
+    far = F.abs((F.col("before_a") + F.col("a")) / F.nullif("_all_a", F.lit(0)) - (F.col("before_b") + F.col("b")) / F.nullif("_all_b", F.lit(0)))
+    return both.groupBy(*by).agg(F.round(F.max(far), 6).alias("ks"))
 
 
 def ensemble(scores: list[DataFrame], key: str, score: str = "score", *, need_all: bool) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.operators.ranks import global_rank
+
 
 def balanced_queue(df: DataFrame, stratum: str, order: Sequence[Column], strata_order: Sequence[str] | None = None) -> DataFrame:
     """Rows of all strata in turn: the first of each, then the second of each, and so on; adds ``turn`` and ``queue_rank``.
@@ -15,7 +17,10 @@ def balanced_queue(df: DataFrame, stratum: str, order: Sequence[Column], strata_
     that reach its turn; so no window runs over the whole queue.
     """
     first = F.array_position(F.array(*map(F.lit, strata_order)), F.col(stratum)) if strata_order else F.lit(0)
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    # a row's turn is its place in the order of all strata one after another, less that of its stratum's first row
+    placed = global_rank(df, [F.col(stratum).asc_nulls_first(), *order], "_queue_place")
+    firsts = placed.groupBy(F.col(stratum).alias("_stratum")).agg(F.min("_queue_place").alias("_from"))
+    ranked = placed.join(F.broadcast(firsts), F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn("turn", (F.col("_queue_place") - F.col("_from") + 1).cast("int")).drop("_queue_place", "_from", "_stratum")
     sizes = ranked.groupBy(F.col(stratum).alias("_s")).agg(F.max("turn").alias("_n"))
     names = sizes.select("_s", "_n").withColumn("_o", F.array_position(F.array(*map(F.lit, strata_order)), F.col("_s")) if strata_order else F.lit(0))
     # one row for each stratum: all strata's sizes in order, as an array

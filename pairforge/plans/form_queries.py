@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import numeric, text
-from pairforge.operators import features, graph, ml, profile, queues, review, rules
+from pairforge.operators import features, graph, ml, profile, queues, review, reviewers, rules
 from pairforge.plans.eval_queries import _SCORED, scored_labels
 from pairforge.plans.graph_queries import _CLUSTERS, _components, evidence_edges
 from pairforge.plans.tables import table
@@ -132,10 +132,34 @@ def pages_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "key", F.coalesce("note", F.lit("0")).alias("note"), F.concat_ws("\n", F.concat(F.lit("Key: "), "key"), F.when(F.col("note").isNotNull(), F.concat(F.lit("Note: "), "note"))).alias("section"))
 
 
+def boundary_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules' readings of labelled documents as pairs near a boundary: their scores stand for likeness and gaps."""
+    own = scored_labels(spark, sf_dir)
+    n = F.col("doc_id")
+    bucket = F.when(n % 3 == 0, "positive_probe_high_semantic_high_structure").when(n % 3 == 1, "negative_probe_high_semantic_style_divergence")
+    read = reviewers.boundary_review(bucket, (n % 2).cast("string"), (n % 17 == 0).cast("int"), F.col("score") + 0.15, F.col("score"), F.col("score") + 0.05, (n % 4) * F.col("score"), n % 3)
+    return own.select("doc_id", read.alias("r")).select("doc_id", "r.label", "r.reason", "r.rule")
+
+
+# What stands around tokens that two sellers share.
+CONTEXTS = ["write on 微信", "see youtube.com/watch?v=1", "plain words", "数据格式 sample", "MEGA and tg"]
+
+
+def anchor_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules' readings of labelled documents as pairs that share a token, and as pairs that a model scores highly."""
+    own = table(spark, sf_dir, "labels").select("doc_id")
+    n = F.col("doc_id")
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    kind, token, context = at(["WeChat", "external_url", "qq", "bat", "fax", "telegram"], n), at(["wechat:Store", "url:x.org", "qq:12345", "Support", "a_shop"], F.floor(n / 6)), at(CONTEXTS, F.floor(n / 30))
+    one = reviewers.anchor_review(kind, token, (n % 13 == 0).cast("int"), (n % 7 != 0).cast("int"), context)
+    other = reviewers.targeted_review(F.when(n % 4 == 0, F.concat(F.lit("qq:"), n.cast("string"))).when(n % 4 == 1, F.lit("email:a@b.c")), (n % 5 == 0).cast("int"), context)
+    return own.select("doc_id", one["label"].alias("anchor_label"), one["reason"].alias("anchor_reason"), other["label"].alias("targeted_label"), other["reason"].alias("targeted_reason"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        text_forms, alias_pairs, style_gaps, signature_states, own_lines, consistent_clusters, closure_candidates, best_appearances, appended_queue, pending_rows, weighted_rows, source_value_texts, pages_of_keys,
+        boundary_reviews, anchor_reviews, text_forms, alias_pairs, style_gaps, signature_states, own_lines, consistent_clusters, closure_candidates, best_appearances, appended_queue, pending_rows, weighted_rows, source_value_texts, pages_of_keys,
     )
 }
 
@@ -178,4 +202,16 @@ ORACLE = {
     "pages_of_keys": r"""with r as (select page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^?#]+)', 1) as rest from pages), p as (select page_id, case when rest <> '' then array_to_string(list_prepend(regexp_replace(string_split(rest, '/')[1], '^www\.', ''),
             list_filter(string_split(rest, '/')[2:], lambda x: x <> '')[1:1]), '/') end as key from r), k as (select p.page_id, key, quality::varchar as note from p left join labels on doc_id = p.page_id where key in (select key from p where page_id % 9 = 0))
         select page_id, key, coalesce(note, '0') as note, concat_ws(chr(10), 'Key: ' || key, 'Note: ' || note) as section from k""",
+    "boundary_reviews": f"""with {_SCORED}, b as (select doc_id, case doc_id % 3 when 0 then 'p' when 1 then 'n' end as bucket, doc_id % 2 > 0 as kept, doc_id % 17 = 0 as anchor, score + 0.15 as sem, score, score + 0.05 as cat, (doc_id % 4) * score as gap, doc_id % 3 as clone from s),
+        r as (select doc_id, case when anchor then 1 when bucket = 'p' and kept and sem >= 0.9 and score >= 0.7 and cat >= 0.75 and gap <= 1.2 and clone >= 1 then 2 when bucket = 'n' and not kept and sem >= 0.75 and gap >= 2.2 then 3
+            when not kept and sem >= 0.8 and gap >= 2.7 then 4 else 0 end as rule from b)
+        select doc_id, case when rule = 1 then 'positive' when rule in (3, 4) then 'negative' else 'uncertain' end as label, case rule when 1 then 'direct_identifier_anchor' when 2 then 'strong_overlap_without_identity_anchor'
+            when 3 then 'high_semantic_high_style_gap_negative' when 4 then 'unsupported_high_style_gap_negative' else 'insufficient_identity_closure' end as reason, rule from r""",
+    "anchor_reviews": rf"""with c as (select doc_id, ['wechat', 'external_url', 'qq', 'bat', 'fax', 'telegram'][doc_id % 6 + 1] as kind, ['store', 'x.org', '12345', 'support', 'a_shop'][(doc_id // 6) % 5 + 1] as token,
+            [{', '.join(f"'{c}'" for c in CONTEXTS)}][(doc_id // 30) % 5 + 1] as x from labels),
+        a as (select doc_id, x, case when doc_id % 13 = 0 then 1 when doc_id % 7 = 0 then 2 when token in ('store', 'support') then 3 when kind = 'external_url' then 4 when kind in ('wechat', 'telegram') and contains(x, 'youtube.com/watch') then 5
+            when kind in ('wechat', 'telegram', 'qq', 'bat') then 6 else 0 end as r, case when doc_id % 4 = 0 and (contains(x, '微信') or contains(x, ' tg')) then 1 when doc_id % 5 = 0 then 2 when regexp_matches(x, '(?i)(数据格式|mega)') then 3 else 0 end as t from c)
+        select doc_id, case when r in (3, 5) then 'negative' when r = 6 then 'positive' else 'uncertain' end as anchor_label, ['unsupported_anchor_type', 'product_or_victim_data_risk', 'weak_or_one_sided_seller_contact_context', 'generic_parser_token',
+            'support_only_external_url', 'public_media_id_not_seller_identity', 'shared_seller_facing_direct_identifier'][r + 1] as anchor_reason, case when t = 1 then 'positive' else 'uncertain' end as targeted_label,
+            ['model_high_score_without_identity_anchor', 'seller_facing_shared_direct_contact', 'proof_anchor_neighbor_no_independent_direct_identity', 'product_or_template_overlap_no_identity_anchor'][t + 1] as targeted_reason from a""",
 }
