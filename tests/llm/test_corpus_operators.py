@@ -317,3 +317,109 @@ def test_pipeline_stages(spark, con):
     own = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     sizes = sorted((r.doc_id, len(own.encode(r.text))) for r in four.collect())
     assert sorted((r.doc_id, r.n_tokens) for r in pipeline.run(spark, SF).collect()) == sizes
+
+
+def plain_mixture(rows, seed=20, exponent=0.5):
+    """Copies of (doc_id, text, source) rows: Poisson draws by adding up the distribution, part by part."""
+    import math
+
+    mass = {}
+    for _, text, source in rows:
+        mass[source] = mass.get(source, 0) + len(text or "")
+    mass = {s: max(m, 1) for s, m in mass.items()}
+    total, shares = sum(mass.values()), sum(m**exponent for m in mass.values())
+    out = []
+    for doc_id, _, source in rows:
+        rate = mass[source] ** exponent * total / (shares * mass[source])
+        parts = max(math.ceil(rate / 16), 1)
+        copies = 0
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            p = below = math.exp(-rate / parts)
+            k = 0
+            while below <= u and k < 100:
+                k += 1
+                p *= rate / parts / k
+                below += p
+                copies += 1
+        out += [doc_id] * copies
+    return sorted(out, key=repr)
+
+
+def test_mixture_against_plain_draws(spark):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for rows in (docs, odd_rows()):
+        got = sorted((r.doc_id for r in mixing.mix_sources(documents(spark, rows)).collect()), key=repr)
+        assert got == plain_mixture(rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, an extra column of a clashing name, and empty tables, stage by stage."""
+    import corpus_pipeline as pipeline
+    import numpy as np
+    import public_tokenizers
+
+    from pairforge.llm import bpe, quality
+    from pairforge.shared import stash
+
+    own = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.desc("n_chars")).limit(6).collect()]
+    rows = odd_rows() + [(20 + i, t, "c" if i else None) for i, t in enumerate(good)] + [(20, good[0], None), (40, good[1].replace(" ", "  ", 3), "c"), (41, "frame line here\n" + good[2], "d"), (42, "frame line here\nown words of one page", "d")]
+    docs = stash(documents(spark, rows).withColumn("copies", F.lit("clash")).withColumn("score", F.lit(0)), "odd")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    scored = [(i, t) for i, t, _ in rows if model.score(np.array([quality.describe(t or "")]))[0] >= 0.7]
+    one = stash(pipeline.drop_low_quality(spark, docs, SF), "t")
+    assert one.columns == pipeline.COLUMNS and key(one) == sorted(scored, key=repr)
+    # the later stages see all of the odd rows
+    two = stash(pipeline.drop_lines(spark, docs, SF), "t")
+    lines_of = lambda t: {x.strip(" ") for x in (t or "").split("\n")} - {""}
+    pages = {}
+    for _, t, s in rows:
+        pages.setdefault(s, []).append(lines_of(t))
+    want = []
+    for i, t, s in rows:
+        bad = {x for x in lines_of(t) if (n := sum(x in p for p in pages[s])) > 1 and n > 0.02 * len(pages[s])}
+        kept = [x for x in (t or "").split("\n") if x.strip(" ") not in bad]
+        want.append((i, "\n".join(kept) if bad and any(x.strip(" ") for x in kept) else t))
+    assert two.columns == pipeline.COLUMNS and key(two) == sorted(want, key=repr)
+    three = stash(pipeline.drop_near_copies(spark, docs, SF), "t")
+    classes = brute_components([(i, t) for i, t, _ in rows if i is not None], 5, 80)
+    stay = {d for d, _, c in classes if d == c} | {None}
+    assert three.columns == pipeline.COLUMNS and key(three) == sorted(((i, t) for i, t, _ in rows if i in stay), key=repr)
+    four = stash(pipeline.mix(spark, docs, SF), "t")
+    assert four.columns == pipeline.COLUMNS and sorted((r.doc_id for r in four.collect()), key=repr) == plain_mixture(rows)
+    five = pipeline.encode(spark, docs, SF)
+    assert sorted(((r.doc_id, r.n_tokens, r.decoded_sha256) for r in five.collect()), key=repr) == sorted(((i, len(own.encode(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows), key=repr)
+    empty = stash(docs.limit(0), "t")
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_jaccard_of_many_short_texts_with_a_token_that_all_share(spark, tmp_path):
+    """More documents than a block has places, in one file: two and two are near copies, and all hold one passage."""
+    n = 70_000
+    text = lambda i: "shared words here now " + " ".join(f"w{i // 2}x{j}" for j in range(14)) + f" end{i % 2}"
+    spark.range(n, numPartitions=1).select(F.col("id").alias("doc_id"), F.udf(text)("id").alias("text")).write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = jaccard.jaccard_components(spark.read.parquet(str(tmp_path / "d")), words=4, percent=80).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == n and all(r.component_id == r.doc_id // 2 * 2 and r.n_shingles == 16 for r in got)
+
+
+def test_jaccard_of_a_long_list_of_documents_that_do_not_link(spark, tmp_path, monkeypatch):
+    """A long passage and few own words: hundreds of documents stand in the list of a frequent token, most of them apart."""
+    monkeypatch.setattr(jaccard, "CHUNK", 48)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(100)]
+    rows = []
+    for i in range(420):
+        own = [f"o{i}x{j}" for j in range(rng.choice((12, 12, 12, 13, 11, 3)))]
+        at = rng.randrange(2)
+        rows.append((i, " ".join(own + passage if at else passage + own)))
+    rows += [(1000 + i, rows[i * 7][1] + " tail") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = jaccard.jaccard_components(spark.read.parquet(str(tmp_path / "d")), words=4, percent=85)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 85)
