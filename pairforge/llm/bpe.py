@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 #: The characters of the Unicode property White_Space, as the library's regular expressions take them.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Bytes that the cache holds, estimated, before it is emptied; a block of texts may pass it by what that block holds.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 72 << 20
 
 
 @cache
@@ -124,7 +124,10 @@ class Encoder:
         self.tokens = tokens
         self.split_any, self.split_latin = compiled(pattern).findall, compiled(pattern, 0x100).findall
         self.table = PairTable(tokens)
-        self.whole = {t: i for i, t in enumerate(tokens)}
+        # one object for each id, which all results share
+        self.numbers = np.empty(len(tokens), object)
+        self.numbers[:] = range(len(tokens))
+        self.whole = dict(zip(tokens, self.numbers.tolist(), strict=True))
         self.byte = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
         self.decimal = [str(i) for i in range(len(tokens))]
         self.ids: dict[str, tuple[int, ...]] = {}
@@ -152,7 +155,7 @@ class Encoder:
             self.ids, self.held = {}, 0
         found = self._pieces(set(chain.from_iterable(texts)).difference(self.ids))
         self.ids.update(found)
-        self.held += 300 * len(found) + 9 * sum(map(len, found))
+        self.held += 240 * len(found) + 4 * sum(map(len, found))
 
     def _pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct matches of the pattern."""
@@ -198,7 +201,7 @@ class Encoder:
             least = ranks.min(1)
             over = least == NONE
             if over.any():
-                for r, ended, size in zip(row[over].tolist(), ids[over].tolist(), sizes[over].tolist(), strict=True):
+                for r, ended, size in zip(row[over].tolist(), self.numbers[ids[over]].tolist(), sizes[over].tolist(), strict=True):
                     out[r] = ended[:size]
                 stay = ~over
                 row, sizes, ids, ranks, least = row[stay], sizes[stay], ids[stay], ranks[stay], least[stay]
