@@ -42,7 +42,7 @@ U = np.uint64
 #: Odd multipliers of the hashes.
 _R, _M1, _M2, _K = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 #: A block of documents ends when it has so many shingles or documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 #: A token that so many documents of a block have leaves the block once, with their number.
 FREQUENT = 32
 
