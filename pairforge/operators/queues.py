@@ -88,6 +88,18 @@ def signal_pairs(signals: DataFrame, *, least: int = 2, most: int = 6) -> DataFr
     return here.withColumnRenamed("id", "left").join(other, ["kind", "value"]).filter("left < right").select("left", "right", "kind", "value", "members")
 
 
+def anchored(pairs: DataFrame, order: Sequence[str], limits: Mapping[str, int]) -> DataFrame:
+    """Pairs (left, right, members, anchor) under the first kind of anchor in ``order`` that they have, and of each kind the rarest up to its limit.
+
+    Adds ``anchor_rank``. A pair with several anchors of a kind counts with that of the fewest members.
+    """
+    place = F.coalesce(*(F.when(F.col("anchor") == a, k) for k, a in enumerate(order)))
+    first = pairs.withColumn("_o", place).filter("_o is not null").groupBy("left", "right").agg(F.min(F.struct("_o", "members", "anchor")).alias("a")).select("left", "right", "a.members", "a.anchor")
+    w = Window.partitionBy("anchor").orderBy("members", "left", "right")
+    limit = F.coalesce(*(F.when(F.col("anchor") == a, n) for a, n in limits.items()))
+    return first.withColumn("anchor_rank", F.row_number().over(w)).filter(F.col("anchor_rank") <= limit)
+
+
 def capped_in_order(rows: DataFrame, order: Sequence[Column], key: str, caps: Mapping[str, int], most: int, candidates: int = 50_000) -> DataFrame:
     """Rows in order, passing over those whose value in a capped column was taken that often, until ``most`` are taken: (key, rank).
 

@@ -156,10 +156,28 @@ def anchor_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", one["label"].alias("anchor_label"), one["reason"].alias("anchor_reason"), other["label"].alias("targeted_label"), other["reason"].alias("targeted_reason"))
 
 
+def source_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules' readings of documents as pairs of the source's own expansion, by facts that follow from their number, and as pairs around anchors."""
+    own = table(spark, sf_dir, "documents").select("doc_id")
+    n = F.col("doc_id")
+    bucket = F.element_at(F.array(*map(F.lit, ("seller_facing_identifier_plus_text", "strong_text_clone_positive_probe", "english_hard_negative_template_probe", "other"))), (n % 4 + 1).cast("int"))
+    facts = {f: (F.floor(n / (k + 3)) % (k % 3 + 2)) == 1 for k, f in enumerate(reviewers.SOURCE_FACTS)}
+    facts = facts | {"soft_same_alias": n % 19 == 0, "fingerprint": n % 23 == 0}
+    one = reviewers.source_review(bucket, F.floor(n / 4) % 5, F.floor(n / 20) % 4, facts)
+    anchored = F.element_at(F.array(*map(F.lit, (
+        "positive_component_transitive_closure", "supplemental_shared_seller_contact", "rare_external_url_with_text_overlap", "cross_market_unique_alias_closure", "direct_contact_existing_pending", "none"))), (n % 6 + 1).cast("int"))
+    token = F.element_at(F.array(*map(F.lit, ("telegram:shop", "crypto_wallet:1x", "Email:a@b", "bat:1", "telegram:https", "url:youtube.com"))), (F.floor(n / 6) % 6 + 1).cast("int"))
+    flag = lambda k: F.floor(n / k) % 3 == 0
+    other = reviewers.positive_anchor_review(
+        anchored, token, (n % 16) / 100, (n % 11) / 20, n % 29 == 0, evidence=F.when(flag(5), "strong_contact").otherwise("weak"), facing=flag(7), victim=flag(11), wallet=flag(13), product_url=flag(17), own_url=flag(2)
+    )
+    return own.select("doc_id", one["label"].alias("source_label"), one["rule"].alias("source_rule"), other["label"].alias("anchor_label"), other["rule"].alias("anchor_rule"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        boundary_reviews, anchor_reviews, text_forms, alias_pairs, style_gaps, signature_states, own_lines, consistent_clusters, closure_candidates, best_appearances, appended_queue, pending_rows, weighted_rows, source_value_texts, pages_of_keys,
+        source_reviews, boundary_reviews, anchor_reviews, text_forms, alias_pairs, style_gaps, signature_states, own_lines, consistent_clusters, closure_candidates, best_appearances, appended_queue, pending_rows, weighted_rows, source_value_texts, pages_of_keys,
     )
 }
 
@@ -214,4 +232,17 @@ ORACLE = {
         select doc_id, case when r in (3, 5) then 'negative' when r = 6 then 'positive' else 'uncertain' end as anchor_label, ['unsupported_anchor_type', 'product_or_victim_data_risk', 'weak_or_one_sided_seller_contact_context', 'generic_parser_token',
             'support_only_external_url', 'public_media_id_not_seller_identity', 'shared_seller_facing_direct_identifier'][r + 1] as anchor_reason, case when t = 1 then 'positive' else 'uncertain' end as targeted_label,
             ['model_high_score_without_identity_anchor', 'seller_facing_shared_direct_contact', 'proof_anchor_neighbor_no_independent_direct_identity', 'product_or_template_overlap_no_identity_anchor'][t + 1] as targeted_reason from a""",
+    "source_reviews": """with f as (select doc_id, doc_id % 4 as b, (doc_id // 4) % 5 as t, (doc_id // 20) % 4 as d, doc_id % 19 = 0 as f_soft, doc_id % 23 = 0 as f_print, (doc_id // 5) % 4 = 1 as f_contact, (doc_id // 6) % 2 = 1 as f_email, (doc_id // 7) % 3 = 1 as f_direct, (doc_id // 8) % 4 = 1 as f_facing, (doc_id // 9) % 2 = 1 as f_goods, (doc_id // 10) % 3 = 1 as f_template, (doc_id // 11) % 4 = 1 as f_specific, (doc_id // 12) % 2 = 1 as f_support, (doc_id // 13) % 3 = 1 as f_alias_related, (doc_id // 14) % 4 = 1 as f_placeholder from documents),
+        r as (select doc_id, case when f_soft then 1 when f_print then 2
+            when b = 0 then case when not f_contact then 3 when f_goods and not f_facing then 4 when f_direct and f_facing and f_support then 5 when f_email and f_facing and f_support and not f_goods then 6 when f_email and f_goods then 7 else 8 end
+            when b = 1 then case when t >= 2 and d >= 1 and f_alias_related and not (f_template or f_goods) then 9 when t >= 3 and d >= 2 and f_specific and not (f_template or f_goods) then 10 when (f_template or f_goods) and not f_specific then 11 else 12 end
+            when b = 2 then case when f_contact then 13 when f_placeholder then 14 when f_template or f_goods then 15 when not f_alias_related then 16 else 17 end else 0 end as source_rule from f),
+        g as (select doc_id, doc_id % 6 as b, (doc_id // 6) % 6 as k, (doc_id % 16) / 100 as lex, (doc_id % 11) / 20 as st, doc_id % 29 = 0 as clone, (doc_id // 5) % 3 = 0 as sure, (doc_id // 7) % 3 = 0 as facing, (doc_id // 11) % 3 = 0 as victim,
+            (doc_id // 13) % 3 = 0 as wallet, (doc_id // 17) % 3 = 0 as purl, (doc_id // 2) % 3 = 0 as ourl from documents),
+        h as (select *, clone or lex >= 0.05 or st >= 0.2 as support, clone or lex >= 0.14 or st >= 0.5 as strong from g),
+        a as (select doc_id, case b when 0 then 1 when 1 then case when victim and not facing then 2 when k in (0, 4) and sure and facing and support then 3 when k = 1 and wallet and strong then 4 when k = 2 and facing and not victim and strong then 5 when k = 2 then 6 else 7 end
+            when 2 then case when victim or purl then 8 when ourl and strong and k <> 5 then 9 else 10 end when 3 then case when strong and not victim then 11 else 12 end
+            when 4 then case when k = 4 then 13 when k = 2 then 14 when k = 0 and (clone or lex >= 0.1 or st >= 0.35) then 15 else 16 end else 0 end as anchor_rule from h)
+        select doc_id, case when source_rule in (2, 5, 6, 9, 10) then 'positive' when source_rule in (14, 15, 16) then 'negative' else 'uncertain' end as source_label, source_rule,
+            case when anchor_rule in (1, 3, 4, 5, 9, 11, 15) then 'positive' when anchor_rule = 13 then 'negative' else 'uncertain' end as anchor_label, anchor_rule from r join a using (doc_id)""",
 }
