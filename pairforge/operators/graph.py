@@ -178,9 +178,26 @@ def consistent_components(positive: DataFrame, negative: DataFrame) -> DataFrame
 
 
 def closure_pairs(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """Pairs inside a component that are not among ``known`` (a, b), the first ``most`` of each component in key order."""
-    left = members.select(F.col("id").alias("a"), "component")
-    right = members.select(F.col("id").alias("b"), "component")
-    new = left.join(right, "component").filter("a < b").join(known.select("a", "b"), ["a", "b"], "left_anti")
+    """Pairs inside a component that are not among ``known`` (a, b), the first ``most`` of each component in key order: (component, a, b, rank).
+
+    For each member the number of its new pairs with greater ones follows from its place and its known pairs. Only members
+    that the first ``most`` new pairs can begin with are taken, each with as many that follow it as could be needed; so a
+    large component does not form all of its pairs.
+    """
+    from pairforge.operators.metrics import running
+    from pairforge.operators.ranks import global_rank
+
+    placed = global_rank(members.select("id", "component"), [F.col("component"), F.col("id")], "_at")
+    sizes = placed.groupBy("component").agg(F.min("_at").alias("_from"), F.count("*").alias("size"))
+    own = stash(placed.join(sizes, "component").select("component", "id", (F.col("_at") - F.col("_from")).alias("place"), "size"), "members")
+    pairs = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    left, right = own.select(F.col("id").alias("a"), "component"), own.select(F.col("id").alias("b"), F.col("component").alias("_c"))
+    inside = stash(pairs.join(left, "a").join(right, "b").filter("component = _c").select("component", "a", "b"), "known")
+    counts = inside.groupBy("component", F.col("a").alias("id")).agg(F.count("*").alias("known"))
+    new = own.join(counts, ["component", "id"], "left").fillna(0, ["known"]).withColumn("new", F.col("size") - F.col("place") - 1 - F.col("known")).filter("new > 0")
+    first = running(new, ["component"], "place", ["new"]).filter(F.col("before_new") < most)
+    last = F.least(F.col("size") - 1, F.col("place") + most + F.col("known"))
+    asked = first.select("component", F.col("id").alias("a"), F.explode(F.sequence(F.col("place") + 1, last)).alias("place"))
+    found = asked.join(own.select("component", "place", F.col("id").alias("b")), ["component", "place"]).join(inside, ["component", "a", "b"], "left_anti")
     w = Window.partitionBy("component").orderBy("a", "b")
-    return new.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return found.select("component", "a", "b").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

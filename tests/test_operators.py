@@ -179,6 +179,16 @@ def test_conflicting_components_and_closure_pairs(spark):
     assert [(r.a, r.b) for r in graph.closure_pairs(members, pos, 5).collect()] == [(7, 9)]
 
 
+def test_closure_pairs_against_all_pairs(spark):
+    rng = random.Random(6)
+    members = [(i, i % 3) for i in range(60)] + [(100, 100)]
+    known = [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and (a < 3 or rng.random() < 0.6)] + [(1, 2), (5, 100)]
+    got = graph.closure_pairs(spark.createDataFrame(members, "id int, component int"), spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in known], "a int, b int"), 7).collect()
+    for c in range(3):
+        want = [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == c == b % 3 and (a, b) not in set(known)][:7]
+        assert sorted((r.a, r.b) for r in got if r.component == c) == want
+
+
 def test_auc_and_average_precision_with_ties(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([0.1, 0.3, 0.5, 0.9]), rng.randint(0, 1)) for i in range(60)]
