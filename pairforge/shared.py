@@ -69,6 +69,14 @@ def release(df: DataFrame) -> None:
             _written.remove(entry)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark removes the shuffle files of plans that are gone only then.
+
+    For long jobs of many steps, after a step whose shuffles were large.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(entry: tuple[SparkSession, str]) -> None:
     spark, path = entry
     jvm = spark.sparkContext._jvm
