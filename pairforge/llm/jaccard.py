@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.rows import flat_schema, slices, text_of
 from pairforge.operators.graph import connected_components
-from pairforge.shared import release, ship, stash
+from pairforge.shared import release, ship, stash, tidy
 
 U = np.uint64
 #: Odd multipliers of the hashes.
@@ -484,8 +484,8 @@ def _blocks(percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, percent: int) -> DataFrame:
-    """The documents of long lists as (list, lo, hi, side, node, component, n, rest, marks2, marks3), in chunks that meet two by two.
+def _dealt(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of long lists as (list, lo, hi, side, node, component, n, rest, marks2, marks3), in chunks that meet two by two; and two stashed tables behind it.
 
     Chunks hold documents of one size class, and of one component or of small ones. Chunks of one large component don't
     meet, nor do those whose sizes and remaining tokens exclude every pair of theirs. A document goes to a pair of chunks
@@ -518,7 +518,7 @@ def _dealt(rows: DataFrame, percent: int) -> DataFrame:
         enough = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("_theirs")) * percent
         return placed.join(met, ["list", "unit"]).filter(enough).select("list", "lo", "hi", F.lit(which).alias("side"), "node", "component", "n", "rest", "marks2", "marks3")
 
-    return side(0, "lo", "hi_least").unionByName(side(1, "hi", "lo_least"))
+    return side(0, "lo", "hi_least").unionByName(side(1, "hi", "lo_least")), cells, pairs
 
 
 def _apart(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -527,12 +527,16 @@ def _apart(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) ->
     lists = open_.groupBy("list1", "list2", "size").agg(F.min(F.struct("first", "token")).alias("t")).select(F.col("t.token").alias("list"), "size")
     rows = here.join(lists, F.col("token") == F.col("list")).select("list", "size", "node", "component", "n", (F.col("n") - F.col("pos")).alias("rest"), "marks2", "marks3")
     rows = stash(rows, "members")
+    long = _dealt(rows.filter(F.col("size") > CHUNK).drop("size"), percent)
     short = rows.filter(F.col("size") <= CHUNK).select("list", F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi"), F.lit(0).alias("side"), "node", "component", "n", "rest", "marks2", "marks3")
-    met = short.unionByName(_dealt(rows.filter(F.col("size") > CHUNK).drop("size"), percent))
+    met = short.unionByName(long[0])
     met = met.join(sets.select("node", "tokens").mapInArrow(_outline, OUTLINES), "node")
     met = met.select("list", "lo", "hi", "side", "node", "component", "n", "rest", "marks2", "marks3", "outline", "tokens")
     dealt = met.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "side")
-    return dealt.mapInArrow(_blocks(percent), "a bigint, b bigint")
+    links = stash(dealt.mapInArrow(_blocks(percent), "a bigint, b bigint"), "links")
+    for known in (rows, *long[1:]):
+        release(known)
+    return links
 
 
 def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -562,6 +566,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     parts = own.mapInArrow(_cut(words, buckets), PARTS)
     shared = parts.groupBy("key").applyInArrow(_shared, PARTS)
     table = stash(shared.groupBy("block").applyInArrow(_gathered(percent), DOCS), "sets")
+    tidy(docs.sparkSession)
 
     key = F.concat(F.hex("d1"), F.lit("-"), F.hex("d2"), F.lit("-"), F.col("n").cast("string"))
     members = table.filter("n > 0").select(key.alias("key"), "doc_id")
@@ -572,12 +577,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     postings = stash(sets.select("node", "n", "tokens", "classes").mapInArrow(_post(percent), POSTINGS), "postings")
 
     component = None
-    spent = [sets, postings]
     for turn in range(3):
         here = postings.withColumn("component", F.col("node"))
         if component is not None:
             here = stash(postings.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "postings")
-            spent.append(here)
         # first a star around any document, then one around the smallest set: what it can't reach, larger ones can't by size
         by = F.xxhash64("node") if turn == 0 else F.col("n")
         which = F.struct(by.alias("by"), "node", "n", "s", "marks2", "marks3", "component")
@@ -591,13 +594,17 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
             pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
             links = _links(sets, pairs, percent).filter("linked").select("a", "b")
         else:
-            links = stash(_apart(here, open_, sets, percent), "links")
-        component = _merged(component, links)
-        spent += [links, component]
+            links = _apart(here, open_, sets, percent)
+        before, component = component, _merged(component, links)
+        # the components are written: what led to them is spent
+        for known in [links, *([] if before is None else [here, before])]:
+            release(known)
+        tidy(docs.sparkSession)
+    release(postings)
 
     joined = classes.join(sets.select("key", "node"), "key", "left").join(component.withColumnRenamed("id", "node"), "node", "left")
     joined = stash(joined.filter("size > 1 or component is not null").select("key", "least", "component"), "classes")
-    for known in spent:  # what follows reads only the two tables that are left
+    for known in (sets, component):  # what follows reads only the two tables that are left
         release(known)
     low = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("low"))
     ids = joined.join(low, "component", "left").select(F.col("key"), F.coalesce("low", "least").alias("_least"))
