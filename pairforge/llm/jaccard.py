@@ -565,15 +565,17 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     buckets = max(64, 8 * own.rdd.getNumPartitions())
     parts = own.mapInArrow(_cut(words, buckets), PARTS)
     shared = parts.groupBy("key").applyInArrow(_shared, PARTS)
-    table = stash(shared.groupBy("block").applyInArrow(_gathered(percent), DOCS), "sets")
+    full = stash(shared.groupBy("block").applyInArrow(_gathered(percent), DOCS), "sets")
+    table = stash(full.select("doc_id", "n", "d1", "d2"), "documents")
     tidy(docs.sparkSession)
 
     key = F.concat(F.hex("d1"), F.lit("-"), F.hex("d2"), F.lit("-"), F.col("n").cast("string"))
     members = table.filter("n > 0").select(key.alias("key"), "doc_id")
     classes = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
-    one = table.filter("tokens is not null").groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.max(F.struct("tokens", "classes")).alias("s"))
+    one = full.filter("tokens is not null").groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.max(F.struct("tokens", "classes")).alias("s"))
     # the numbers are fixed by being written: what reads them later sees the same ones
     sets = stash(one.select("key", F.monotonically_increasing_id().alias("node"), "n", "s.tokens", "s.classes"), "classes")
+    release(full)  # one set of each class is enough
     postings = stash(sets.select("node", "n", "tokens", "classes").mapInArrow(_post(percent), POSTINGS), "postings")
 
     component = None
