@@ -56,7 +56,7 @@ def halves(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["candidate_queue"])
+@pytest.mark.parametrize("name", ["candidate_queue", "candidate_rank"])
 def test_ranks_match_sql_where_shares_end_in_a_half(spark, halves, name):
     found = registry.QUERIES[name](spark, halves)
     assert found.count() >= 80
